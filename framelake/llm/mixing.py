@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import numbered
+from .runtime import inline_table, numbered
 
 #: Parts that weights are rounded to, most sources scheduled by themselves, rows of a block.
 PARTS, MOST_SOURCES, BLOCK_ROWS = 1000, 256, 100
@@ -92,7 +92,7 @@ def mixed(df: DataFrame, source: str = "source", order: list[str] | None = None,
     plan = phases({i: -(-n // block_rows) for i, n in counts.items()}, to_parts(given)) if counts else []
     rows = [(s, p["done"][s], p["first"], p["parts"][s], p["q"], p["at"][s]) for p in plan for s in p["parts"]]
     # by source, its phases in order: sources (bounded) times phases (one for each source that runs out)
-    table = spark.createDataFrame(rows, "__k int, done long, first long, parts int, q int, at array<int>")
+    table = inline_table(spark, rows, "__k int, done long, first long, parts int, q int, at array<int>")
     steps = F.broadcast(table.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("done", "first", "parts", "q", "at"))).alias("__steps")))
     step = F.element_at(F.filter("__steps", lambda x: x["done"] <= F.col("block")), -1)
     joined = placed.join(steps, "__k").withColumn("__step", step)

@@ -41,6 +41,26 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small literal table, made in the JVM. Cells: None, numbers, strings, lists of whole numbers."""
+
+    def cell(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, str):
+            return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if isinstance(x, (list, tuple)):
+            return "array(" + ", ".join(map(cell, x)) + ")"
+        return f"CAST('{x!r}' AS DOUBLE)" if isinstance(x, float) else repr(x)
+
+    fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
+    if not rows:
+        return spark.range(0).selectExpr(*(f"CAST(NULL AS {kind}) AS {name}" for name, kind in fields))
+    values = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+    cast = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    return spark.sql(f"SELECT {cast} FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})")
+
+
 def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     """schema with a field of that name at its end; one of the same name is replaced."""
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])

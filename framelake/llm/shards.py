@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpoint, numbered
+from .runtime import checkpoint, inline_table, numbered
 
 BINS, SHARDS, PASSES = 1024, 40, 3
 #: A cut may be off by this share of a shard's bytes before it is looked for more finely.
@@ -70,7 +70,7 @@ def kd_shards(df: DataFrame, id: str, text: str, metadata: list[str], shards: in
 
 def _table(like: DataFrame, rows: list, schema: str) -> DataFrame:
     """A row for each node, of which there are no more than shards."""
-    return F.broadcast(like.sparkSession.createDataFrame(rows, schema))
+    return F.broadcast(inline_table(like.sparkSession, rows, schema))
 
 
 def _cuts(placed: DataFrame, nodes: dict, dims: list[str]) -> dict:
