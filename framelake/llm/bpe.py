@@ -3,8 +3,8 @@
 encode() takes the texts of an input partition block by block. The distinct words of a block stand in one symbol
 array; an inverted index leads from each pair of neighbouring tokens to its positions in all those words. Merges are
 applied in rank order to all their positions at once, and only the two neighbours of a merged pair change the index.
-Words repeat far more than texts, so what has been replayed is kept and the replay sees each word once per worker
-(until CACHE_WORDS words are held; then the store starts anew). Merges never cross a word's border, so the
+Words repeat far more than texts, so what has been replayed is kept and the replay sees a frequent word once per worker
+(of CACHE_WORDS words held, the less used half goes). Merges never cross a word's border, so the
 replay of a block gives the ids that one replay over the whole corpus would. There is no shuffle and no state
 between tasks: a lost executor costs its running tasks.
 """
@@ -12,6 +12,7 @@ between tasks: a lost executor costs its running tasks.
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 from array import array
 from itertools import islice
@@ -26,9 +27,11 @@ from pyspark.sql import types as T
 from .runtime import small_batches, with_field
 
 #: Characters of a block, and words handled at once in a longer text.
-BLOCK_CHARS, BLOCK_WORDS, CACHE_WORDS = 500_000, 100_000, 300_000
+BLOCK_CHARS, BLOCK_WORDS, CACHE_WORDS = 2_000_000, 400_000, 600_000
+#: Places from which on one merge is done in arrays.
+WIDE = 24
 _SHIFT = 20
-_BORDER, _GONE = -1, -2
+_BORDER, _GONE, _PAIR = -1, -2, (1 << 2 * _SHIFT) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,93 +47,162 @@ class MergeReplay:
         import regex
 
         self.ranks, self.words_of = ranks, regex.compile(pattern)
-        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)])
+        self.byte_pair = np.array([[ranks.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)])
         self.merge = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     self.merge[a << _SHIFT | b] = rank
+        # ranks whose merge can make a pair of a lower rank
+        self.odd = {x for pair, rank in self.merge.items() for x in (pair >> _SHIFT, pair & (1 << _SHIFT) - 1) if rank < x}
+        self.pair_keys = np.array(sorted(self.merge), np.int64)
+        self.pair_ranks = np.array([self.merge[x] for x in self.pair_keys.tolist()], np.int64)
         self.forget()
 
     def forget(self) -> None:
+        """Drops every word held."""
         self.at: dict[str, int] = {}
-        self.starts, self.ids = array("q", [0]), array("i")
-        self.arrays = (np.zeros(1, np.int64), np.zeros(0, np.int32))
+        self.used, self.arrays = np.zeros(0, np.int64), (np.zeros(1, np.int64), np.zeros(0, np.int32))
+
+    def thin(self) -> None:
+        """Keeps the words used most since the last time, half of what can be held at most."""
+        starts, ids = self.arrays
+        bar = 2
+        while (keep := np.nonzero(self.used >= bar)[0]).size > CACHE_WORDS // 2:
+            bar *= 2
+        words = np.array(list(self.at), object)[keep].tolist()
+        sizes = starts[keep + 1] - starts[keep]
+        self.at = dict(zip(words, range(len(words))))
+        self.used, self.arrays = np.zeros(len(words), np.int64), (np.concatenate(([0], np.cumsum(sizes))), ids[gather(starts[keep], sizes)])
 
     def learn(self, words) -> None:
-        """Replays the words not yet held."""
+        """Replays the words not yet held; a word that is a token needs no merge."""
         new = [w for w in words if w not in self.at]
         if not new:
             return
-        whole, rest = {}, []
-        for w in new:
-            raw = w.encode()
-            rank = self.ranks.get(raw)
-            if rank is None:
-                rest.append(raw)
-            else:
-                whole[w] = rank
-        merged = iter(self.replay(rest))
-        for w in new:
-            self.at[w] = len(self.starts) - 1
-            if w in whole:
-                self.ids.append(whole[w])
-            else:
-                self.ids.extend(next(merged))
-            self.starts.append(len(self.ids))
-        self.arrays = (np.array(self.starts, np.int64), np.array(self.ids, np.int32))
+        raw = [w.encode() for w in new]
+        whole = np.fromiter((self.ranks.get(w, -1) for w in raw), np.int64, len(raw))
+        merged, counts = self.replayed([w for w, r in zip(raw, whole.tolist()) if r < 0])
+        sizes = np.ones(len(new), np.int64)
+        sizes[whole < 0] = counts
+        ids, by_merge = np.zeros(int(sizes.sum()), np.int32), np.repeat(whole < 0, sizes)
+        ids[by_merge], ids[~by_merge] = merged, whole[whole >= 0]
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        starts, before = self.arrays
+        self.arrays = np.concatenate((starts, starts[-1] + np.cumsum(sizes))), np.concatenate((before, ids))
+        self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        token, word = [], []
-        for k, w in enumerate(words):
-            token += [self.byte[b] for b in w]
-            token.append(_BORDER)
-            word += [k] * (len(w) + 1)
-        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-        merge, index, due = self.merge, {}, []
-
-        def enter(pair: int, at: int) -> int | None:
-            rank = merge.get(pair)
-            if rank is not None:
-                if pair in index:
-                    index[pair].append(at)
-                else:
-                    index[pair] = [at]
-                    heapq.heappush(due, (rank, pair))
-            return rank
-
-        for i in range(len(token) - 1):
-            if token[i] >= 0 and token[i + 1] >= 0:
-                enter(token[i] << _SHIFT | token[i + 1], i)
+        """Ids of each word."""
+        ids, counts = self.replayed(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    def replayed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has. token, after and before are one chain of symbols for all words, a border after each."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        symbols = self.byte[raw].astype(np.int64)
+        symbols[np.cumsum(sizes + 1) - 1] = _BORDER
+        # the index's first entries: neighbouring bytes that merge, grouped by their pair
+        inner = np.nonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))[0]
+        ranks = self.byte_pair[raw[inner], raw[inner + 1]]
+        inner, ranks = inner[ranks >= 0], ranks[ranks >= 0]
+        keys = ranks << 2 * _SHIFT | symbols[inner] << _SHIFT | symbols[inner + 1]
+        by = np.argsort(keys, kind="stable")
+        inner, keys = inner[by], keys[by]
+        cuts = np.nonzero(np.diff(keys, prepend=-1))[0]
+        due = keys[cuts].tolist()  # sorted, so a heap: rank, then the pair
+        at = np.append(cuts, len(keys)).tolist()
+        places = inner.tolist()
+        index = {key & _PAIR: places[s:e] for key, s, e in zip(due, at, at[1:])}
+        token, after, before = (array("q", x.tobytes()) for x in (symbols, np.arange(1, len(raw) + 1), np.arange(-1, len(raw) - 1)))
+        chain = tuple(np.frombuffer(x, np.int64) for x in (token, after, before))
+        starts = (np.cumsum(sizes + 1) - sizes - 1).tolist()
+        merges, listed, push, pop = self.merge.get, index.get, heapq.heappush, heapq.heappop
         while due:
-            rank, places = due[0][0], []
-            while due and due[0][0] == rank:
-                places += index.pop(heapq.heappop(due)[1])
-            places.sort()
-            held = -1  # a word in which a merge made a pair of a lower rank, which comes first there
+            rank, pairs = due[0] >> 2 * _SHIFT, [pop(due) & _PAIR]
+            places = index.pop(pairs[0])
+            while due and due[0] >> 2 * _SHIFT == rank:
+                pairs.append(pop(due) & _PAIR)
+                places += index.pop(pairs[-1])
+            odd = rank in self.odd
+            if len(places) >= WIDE and not odd:
+                places = self.wide(chain, rank, pairs, places, index, due)
+            elif len(places) > 1:
+                places.sort()
+            left, held = rank << _SHIFT, -1  # held: a word in which a merge made a pair of a lower rank, which comes first there
             for i in places:
-                j = after[i] if token[i] >= 0 else -1
-                if j < 0 or token[j] < 0 or merge.get(pair := token[i] << _SHIFT | token[j]) != rank:
+                if token[i] < 0:
+                    continue
+                j = after[i]
+                if token[j] < 0 or merges(pair := token[i] << _SHIFT | token[j]) != rank:
                     continue
-                if word[i] == held:
-                    enter(pair, i)
+                if odd and bisect.bisect_right(starts, i) == held:
+                    if (entry := listed(pair)) is None:
+                        index[pair] = [i]
+                        push(due, rank << 2 * _SHIFT | pair)
+                    else:
+                        entry.append(i)
                     continue
                 k, p = after[j], before[i]
                 token[i], token[j], after[i], before[k] = rank, _GONE, k, i
-                if token[k] >= 0 and (enter(rank << _SHIFT | token[k], i) or rank) < rank:
-                    held = word[i]
-                if p >= 0 and token[p] >= 0 and (enter(token[p] << _SHIFT | rank, p) or rank) < rank:
-                    held = word[i]
-        out, at = [], 0
-        for w in words:
-            ids, i, end = [], at, at + len(w)
-            while i < end:
-                ids.append(token[i])
-                i = after[i]
-            out.append(ids)
-            at = end + 1
-        return out
+                if (x := token[k]) >= 0 and (made := merges(pair := left | x)) is not None:
+                    if (entry := listed(pair)) is None:
+                        index[pair] = [i]
+                        push(due, made << 2 * _SHIFT | pair)
+                    else:
+                        entry.append(i)
+                    if made < rank:
+                        held = bisect.bisect_right(starts, i)
+                if p >= 0 and (x := token[p]) >= 0 and (made := merges(pair := x << _SHIFT | rank)) is not None:
+                    if (entry := listed(pair)) is None:
+                        index[pair] = [p]
+                        push(due, made << 2 * _SHIFT | pair)
+                    else:
+                        entry.append(p)
+                    if made < rank:
+                        held = bisect.bisect_right(starts, i)
+        live = np.concatenate(([0], np.cumsum(chain[0] >= 0)))
+        ends = np.cumsum(sizes + 1)
+        return chain[0][chain[0] >= 0], live[ends] - live[ends - sizes - 1]
+
+    def wide(self, chain, rank: int, pairs: list[int], places: list[int], index: dict, due: list[int]) -> list[int]:
+        """One merge at many places, in arrays. Returns the places instead where some of them overlap."""
+        token, after, before = chain
+        at = np.unique(np.array(places))
+        at = at[token[at] >= 0]
+        nxt = after[at]
+        valid = np.isin(token[at] << _SHIFT | token[nxt], pairs) if len(pairs) > 1 else (token[at] == pairs[0] >> _SHIFT) & (token[nxt] == pairs[0] & (1 << _SHIFT) - 1)
+        valid &= token[nxt] >= 0
+        at, nxt = at[valid], nxt[valid]
+        if (nxt[:-1] == at[1:]).any():
+            return at.tolist()
+        end = after[nxt]
+        token[at], token[nxt], after[at], before[end] = rank, _GONE, end, at
+        prev = before[at]  # -1 at the very start leads to the last border
+        keys = np.concatenate((rank << _SHIFT | token[end], token[prev] << _SHIFT | rank))
+        place = np.concatenate((at, prev))
+        inner = np.concatenate((token[end], token[prev])) >= 0
+        keys, place = keys[inner], place[inner]
+        found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        hit = self.pair_keys[found] == keys
+        keys, place, made = keys[hit], place[hit], self.pair_ranks[found[hit]]
+        by = np.argsort(keys, kind="stable")
+        keys, made, place = keys[by], made[by], place[by].tolist()
+        cuts = np.nonzero(np.diff(keys, prepend=-1))[0]
+        ends = np.append(cuts, len(keys)).tolist()
+        for pair, r, s, e in zip(keys[cuts].tolist(), made[cuts].tolist(), ends, ends[1:]):
+            entry = index.get(pair)
+            if entry is None:
+                index[pair] = place[s:e]
+                heapq.heappush(due, r << 2 * _SHIFT | pair)
+            else:
+                entry += place[s:e]
+        return []
 
     def block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each word has."""
@@ -139,8 +211,9 @@ class MergeReplay:
         which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         sizes = starts[which + 1] - starts[which]
         flat = ids[gather(starts[which], sizes)]
+        self.used += np.bincount(which, minlength=len(self.used))
         if len(self.at) > CACHE_WORDS:
-            self.forget()
+            self.thin()
         return flat, sizes
 
     def encode(self, texts: list[str | None]):

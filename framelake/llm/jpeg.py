@@ -21,6 +21,8 @@ from .runtime import small_batches
 
 #: Blocks in a row and rows in one image (its height stays under 65,536); longer payloads are several images.
 ROW, MOST_ROWS = 64, 8191
+#: Rows of blocks that are packed at once.
+ROWS_AT_ONCE = 256
 _DC = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 _DC_CODES = [(0, 2), (2, 3), (3, 3), (4, 3), (5, 3), (6, 3), (14, 4), (30, 5), (62, 6)]
 
@@ -41,6 +43,24 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
+def _pack(scan: bytearray, bits: np.ndarray, count: np.ndarray, first: int, rows: int) -> None:
+    """Appends rows of blocks from row `first` on, each padded to whole bytes by ones, stuffed, a restart marker after each but the image's last."""
+    row_bits = count.reshape(-1, ROW).sum(axis=1)
+    room = (row_bits + 7) // 8 * 8
+    row_start = np.cumsum(room) - room
+    before = np.cumsum(count) - count
+    start = before.reshape(-1, ROW)
+    start = (start - start[:, :1] + row_start[:, None]).ravel()
+    stream, within = np.ones(int(room.sum()), np.uint8), np.arange(count.sum()) - np.repeat(before, count)
+    stream[np.repeat(start, count) + within] = np.repeat(bits, count) >> np.repeat(count, count) - 1 - within & 1
+    packed = np.packbits(stream).tobytes()
+    cuts = (row_start // 8).tolist() + [len(packed)]
+    for i, (s, e) in enumerate(zip(cuts, cuts[1:]), first):
+        scan += packed[s:e].replace(b"\xff", b"\xff\x00")
+        if i + 1 < rows:
+            scan += bytes((0xFF, 0xD0 + i % 8))
+
+
 def _image(values: np.ndarray) -> bytes:
     """A grey baseline JPEG whose DC thumbnail (ROW blocks a row) is values (uint8, a multiple of ROW of them)."""
     dc = values.reshape(-1, ROW).astype(np.int64) - 128
@@ -54,22 +74,9 @@ def _image(values: np.ndarray) -> bytes:
     # Huffman code of the size, the step's bits, then the end-of-block code, a single 0 bit
     bits = ((codes[size, 0] << size) + np.where(step < 0, step + (1 << size) - 1, step)) << 1
     count = codes[size, 1] + size + 1
-    row_bits = count.reshape(-1, ROW).sum(axis=1)
-    room = (row_bits + 7) // 8 * 8
-    row_start = np.cumsum(room) - room
-    start = (np.cumsum(count) - count).reshape(-1, ROW)
-    start = (start - start[:, :1] + row_start[:, None]).ravel()
-    stream = np.ones(int(room.sum()), np.uint8)
-    lane = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    shift = np.repeat(count, count) - 1 - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    stream[lane] = np.repeat(bits, count) >> shift & 1
-    packed = np.packbits(stream).tobytes()
-    cuts = (row_start // 8).tolist() + [len(packed)]
     scan = bytearray()
-    for i, (s, e) in enumerate(zip(cuts, cuts[1:])):
-        scan += packed[s:e].replace(b"\xff", b"\xff\x00")
-        if i + 2 < len(cuts):
-            scan += bytes((0xFF, 0xD0 + i % 8))
+    for row in range(0, len(dc), ROWS_AT_ONCE):
+        _pack(scan, bits[row * ROW : (row + ROWS_AT_ONCE) * ROW], count[row * ROW : (row + ROWS_AT_ONCE) * ROW], row, len(dc))
     return b"".join((
         b"\xff\xd8",
         _segment(0xDB, b"\x00" + b"\x08" * 64),
@@ -270,7 +277,7 @@ def with_media(df: DataFrame, text: str = "text") -> DataFrame:
             at, texts = 0, batch.column(text).to_pylist()
             while at < len(texts):
                 first, size, sizes, media = at, 0, [], []
-                while at < len(texts) and size < 8_000_000:
+                while at < len(texts) and size < 2_000_000:
                     raw = (texts[at] or "").encode("utf-8", "surrogatepass")
                     sizes.append(len(raw))
                     media.append(store(raw + bytes(-len(raw) % ROW or (0 if raw else ROW))))
@@ -294,7 +301,7 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
             values, at = batch.column(media).to_pylist(), 0
             while at < len(values):
                 first, size, rows = at, 0, []
-                while at < len(values) and size < 2_000_000:
+                while at < len(values) and size < 1_000_000:
                     size, at = size + len(values[at] or b""), at + 1
                 found = iter(thumbnails([x for x in values[first:at] if x is not None]))
                 for x in values[first:at]:

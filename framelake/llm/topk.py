@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-QUERY_BLOCK, DATA_BLOCK = 8192, 8192
-LEAF, QUERY_LEAF, FANOUT = 64, 8, 16
+QUERY_BLOCK, DATA_BLOCK, MOST_TASKS = 8192, 4096, 20_000
+LEAF, QUERY_LEAF, FANOUT = 64, 16, 16
+#: Candidates compared with a leaf's queries before its worst kth score is looked at again.
+CHUNK = 1024
 
 
 class CoverTree:
@@ -86,16 +88,19 @@ def search(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: in
     def compare(a, nodes):
         nonlocal products
         mine = tq.order[tq.start[a] : tq.end[a]]
-        cols = np.sort(np.concatenate([tr.order[tr.start[n] : tr.end[n]] for n in nodes]))
+        cols = np.concatenate([tr.order[tr.start[n] : tr.end[n]] for n in nodes])
         s = q[mine] @ r[cols].T
         products += s.size
-        s = s.astype(np.int64)
-        s[qid[mine][:, None] == rid[cols][None, :]] = none
-        top = np.argsort(-(s + (s == none)), axis=1, kind="stable")[:, :k]
-        s, ids = np.take_along_axis(s, top, 1), rid[cols][top]
-        s, ids = np.concatenate((score[mine], s), 1), np.concatenate((best[mine], np.where(s == none, -1, ids)), 1)
-        top = np.lexsort((ids, -(s + (s == none))), axis=1)[:, :k]
-        score[mine], best[mine] = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
+        # only what reaches a query's kth score so far can enter its list
+        i, j = np.nonzero((s >= score[mine, -1][:, None]) & (qid[mine][:, None] != rid[cols][None, :]))
+        if not len(i):
+            return
+        rows = np.concatenate((np.repeat(np.arange(len(mine)), k), i))
+        new_score, new_id = np.concatenate((score[mine].ravel(), s[i, j].astype(np.int64))), np.concatenate((best[mine].ravel(), rid[cols[j]]))
+        by = np.lexsort((new_id, -(new_score + (new_score == none)), rows))
+        first = np.searchsorted(rows[by], np.arange(len(mine)))
+        top = by[first[:, None] + np.arange(k)]
+        score[mine], best[mine] = new_score[top], new_id[top]
 
     leaves_q = [n for n, c in enumerate(tq.children) if not c]
     leaves_r = np.array([n for n, c in enumerate(tr.children) if not c])
@@ -127,8 +132,9 @@ def search(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: in
         while len(nodes):
             nodes = nodes[bound(a, nodes) >= worst(a)]
             if len(nodes):
-                compare(a, nodes[:8])
-                nodes = nodes[8:]
+                some = max(1, int(np.searchsorted(np.cumsum(tr.end[nodes] - tr.start[nodes]), CHUNK, "right")))
+                compare(a, nodes[:some])
+                nodes = nodes[some:]
     return score, best, products
 
 
@@ -165,6 +171,7 @@ def top_products(vectors: DataFrame, is_query: Column, id: str = "vec_id", vecto
         asked, at = np.nonzero(best >= 0) if not (ids < 0).any() else np.nonzero(score > np.iinfo(np.int64).min)
         return pa.table({"query_id": pa.array(ids[q][asked], pa.int64()), "id": pa.array(best[asked, at], pa.int64()), "score": pa.array(score[asked, at], pa.int64())})
 
-    part = asks.union(data).groupBy("d", "b", "c").applyInArrow(run, "query_id long, id long, score long")
+    # as many partitions as pairs of blocks, up to a bound: pairs are small in bytes and long in seconds
+    part = asks.union(data).repartition(min(nq * nr, MOST_TASKS), "d", "b", "c").groupBy("d", "b", "c").applyInArrow(run, "query_id long, id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return part.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id), "score")
