@@ -263,6 +263,12 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return np.packbits(mean > mean.mean()).tobytes().hex()
 
 
+def _stored(text: str | None) -> tuple[int, bytes]:
+    """Bytes of the text, and its padded payload as images."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return len(raw), store(raw + bytes(-len(raw) % ROW or (0 if raw else ROW)))
+
+
 def with_media(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces the text by n_bytes (unpadded UTF-8) and media (binary): the padded payload as baseline JPEG.
 
@@ -278,41 +284,70 @@ def with_media(df: DataFrame, text: str = "text") -> DataFrame:
             while at < len(texts):
                 first, size, sizes, media = at, 0, [], []
                 while at < len(texts) and size < 2_000_000:
-                    raw = (texts[at] or "").encode("utf-8", "surrogatepass")
-                    sizes.append(len(raw))
-                    media.append(store(raw + bytes(-len(raw) % ROW or (0 if raw else ROW))))
-                    size, at = size + len(media[-1]), at + 1
+                    n, stored = _stored(texts[at])
+                    sizes.append(n)
+                    media.append(stored)
+                    size, at = size + len(stored), at + 1
                 part = batch.slice(first, at - first)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+_READ = [("payload", T.BinaryType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("images", T.IntegerType()), ("thumb_hash", T.StringType())]
+
+
+def _read_back(values: list) -> list[pa.Array]:
+    """Columns _READ of stored images; nulls for null."""
+    rows, found = [], iter(thumbnails([x for x in values if x is not None]))
+    for x in values:
+        if x is None:
+            rows.append((None,) * 5)
+        else:
+            got = next(found)
+            rows.append((b"".join(t.tobytes() for _, _, t in got), got[0][0], got[0][1], len(got), thumbnail_hash(got[0][2])))
+    return [pa.array(x, k) for x, k in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+
+
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """Reads the stored images back: adds payload (binary, the thumbnails' samples), width, height (of the first
+    """Reads stored images back: adds payload (binary, the thumbnails' samples), width, height (of the first
     image), images (their number) and thumb_hash (of the first). A null value has nulls; a broken one is an error."""
     small_batches(df.sparkSession, 200)
-    added = [("payload", T.BinaryType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("images", T.IntegerType()), ("thumb_hash", T.StringType())]
-    keep = [f for f in df.schema.fields if f.name not in dict(added)]
-    schema = T.StructType([*keep, *(T.StructField(*x) for x in added)])
+    keep = [f for f in df.schema.fields if f.name not in dict(_READ)]
+    schema = T.StructType([*keep, *(T.StructField(*x) for x in _READ)])
 
     def run(batches):
         for batch in batches:
             values, at = batch.column(media).to_pylist(), 0
             while at < len(values):
-                first, size, rows = at, 0, []
+                first, size = at, 0
                 while at < len(values) and size < 1_000_000:
                     size, at = size + len(values[at] or b""), at + 1
-                found = iter(thumbnails([x for x in values[first:at] if x is not None]))
-                for x in values[first:at]:
-                    if x is None:
-                        rows.append((None,) * 5)
-                    else:
-                        got = next(found)
-                        rows.append((b"".join(t.tobytes() for _, _, t in got), got[0][0], got[0][1], len(got), thumbnail_hash(got[0][2])))
                 part = batch.slice(first, at - first)
-                new = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *new], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *_read_back(values[first:at])], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def stored_features(df: DataFrame, text: str = "text") -> DataFrame:
+    """media_features(with_media(df)) in one pass through Python: each text is stored, and its features come from the stored bytes."""
+    small_batches(df.sparkSession, 200)
+    new = [("n_bytes", T.LongType()), ("media", T.BinaryType()), *_READ]
+    keep = [f for f in df.schema.fields if f.name != text and f.name not in dict(new)]
+    schema = T.StructType([*keep, *(T.StructField(*x) for x in new)])
+
+    def run(batches):
+        for batch in batches:
+            at, texts = 0, batch.column(text)
+            while at < len(texts):
+                first, size, sizes, media = at, 0, [], []
+                while at < len(texts) and size < 1_000_000:
+                    n, stored = _stored(texts[at].as_py())
+                    sizes.append(n)
+                    media.append(stored)
+                    size, at = size + len(stored), at + 1
+                part = batch.slice(first, at - first)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), *_read_back(media)], schema.names)
 
     return df.mapInArrow(run, schema)
 

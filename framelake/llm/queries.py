@@ -32,8 +32,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = jpeg.with_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return jpeg.media_features(media).select("doc_id", "n_bytes", *jpeg.digests())
+    media = jpeg.stored_features(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.select("doc_id", "n_bytes", *jpeg.digests())
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,9 @@ def test_jpeg_round_trip(docs, none):
         want[len(raw), sha(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))] += 1
     assert Counter((r["n_bytes"], r["payload_sha256"]) for r in got) == want
     assert all(r["tail_crc32"] == zlib.crc32(bytes(r["payload"])[-64:]) and r["payload_bytes"] % 64 == 0 for r in got)
-    assert jpeg.media_features(jpeg.with_media(none)).count() == 0
+    once = jpeg.stored_features(docs).select("n_bytes", "payload", *jpeg.digests())
+    assert Counter(map(str, once.collect())) == Counter(map(str, got))
+    assert jpeg.media_features(jpeg.with_media(none)).count() == 0 and jpeg.stored_features(none).count() == 0
 
 
 def test_jpeg_many_images_and_errors():
