@@ -11,6 +11,7 @@ than it has rows (a spanning forest), so a group of n copies gives O(n) rows, no
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -18,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .components import connected_components, roots
 from .runtime import checkpoint, small_batches, with_field
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 TILE, TILE_ROWS = 256, 4096
+#: For similarity of shingle sets: words of a shingle, least similarity, bits of the 64 within which pairs are looked at, rows of a task's side.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS, SIMILAR_TILE_ROWS, WIDE_BITS = 5, 0.8, 10, 8192, 512
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_ODD = np.arange(1, 2 * (WIDE_BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -66,8 +71,8 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = SHINGLE, out: s
     return df.mapInArrow(run, schema)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i into a, j into b) of all pairs within the radius; b None: pairs i < j within a.
+def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int):
+    """Yields, tile pair by tile pair, indices (i into a, j into b) of all pairs within the radius; b None: pairs within a, each once.
 
     Both are uint64 in any order. Tiles are cut along the population counts; tile pairs apart by more than the
     radius there are skipped.
@@ -76,7 +81,6 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     pa_, pb = np.bitwise_count(a), np.bitwise_count(b)
     oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb, kind="stable")
     sa, sb, pa_, pb = a[oa], b[ob], pa_[oa].astype(np.int64), pb[ob].astype(np.int64)
-    left, right = [], []
     for i in range(0, len(sa), TILE):
         low, high = pa_[i] - radius, pa_[min(i + TILE, len(sa)) - 1] + radius
         first, last = np.searchsorted(pb, low), np.searchsorted(pb, high, "right")
@@ -86,67 +90,92 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
             if same:
                 x, y = x[x < y], y[x < y]
             if len(x):
-                left.append(oa[x])
-                right.append(ob[y])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+                yield oa[x], ob[y]
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprints u, v) of a spanning forest of the pairs within the radius."""
-    nodes = a if b is None else np.concatenate((a, b))
-    i, j = close_pairs(a, b, radius)
-    root = roots(len(nodes), i, j if b is None else j + len(a))
-    child = np.nonzero(root != np.arange(len(nodes)))[0]
-    return nodes[child], nodes[root[child]]
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices into a, then b) of a spanning forest of the pairs within the radius and, where wide
+    fingerprints (rows of a, then b) are given, within wide_radius by these.
+
+    Each tile's pairs are joined as they come; pairs that are joined already aren't looked at, so memory is that of one tile pair.
+    """
+    n, shift = len(a) + (0 if b is None else len(b)), 0 if b is None else len(a)
+    label = np.arange(n)
+    for i, j in close_pairs(a, b, radius):
+        j = j + shift
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if wide is not None and len(i):
+            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_radius
+            i, j = i[near], j[near]
+        if len(i):
+            used, at = np.unique(np.concatenate((label[i], label[j])), return_inverse=True)
+            to = np.arange(n)
+            to[used] = used[roots(len(used), at[: len(i)], at[len(i) :])]
+            label = to[label]
+    child = np.nonzero(label != np.arange(n))[0]
+    return child, label[child]
 
 
 def _small_cells(cell: np.ndarray, fp: np.ndarray, radius: int):
-    """Links within runs of equal cell (ordered by it): neighbours at distance 1, 2, ... in the whole array at once."""
-    u, v, d = [], [], 1
+    """Index pairs within runs of equal cell (ordered by it): neighbours at distance 1, 2, ... in the whole array at once."""
+    i, j, d = [], [], 1
     at = np.arange(len(fp) - 1) if len(fp) > 1 else np.zeros(0, np.int64)
     while len(at := at[at + d < len(fp)]) and len(at := at[cell[at] == cell[at + d]]):
         hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
-        u.append(fp[hit])
-        v.append(fp[hit + d])
+        i.append(hit)
+        j.append(hit + d)
         d += 1
-    return u, v
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, np.int64),) * 2
 
 
-def _links(radius: int):
-    """(task, side, fp) ordered by task -> links u, v. side 1 rows are compared with side 0 rows, or, if all
-    rows are on side 0, these with one another."""
+def _links(radius: int, wide_radius: int):
+    """(task, side, fp, node, wide) ordered by task and side -> links u, v between nodes. side 1 rows are compared with side 0 rows,
+    or, if all rows are on side 0, these with one another. wide may be null."""
 
-    def of(task, side, fp):
+    def of(task, side, fp, node, wide):
         u, v = [], []
         starts = np.concatenate(([0], np.nonzero(np.diff(task))[0] + 1, [len(task)]))
         sizes = np.diff(starts)
-        tiny = np.repeat(sizes <= 32, sizes) & (side == 0) & np.repeat(np.maximum.reduceat(side, starts[:-1]) == 0, sizes)
+        tiny = np.repeat((sizes <= 32) & (np.maximum.reduceat(side, starts[:-1]) == 0), sizes)
         if tiny.any():
-            a, b = _small_cells(task[tiny], fp[tiny], radius)
-            u, v = u + a, v + b
+            at = np.nonzero(tiny)[0]
+            i, j = (at[x] for x in _small_cells(task[tiny], fp[tiny], radius))
+            if wide is not None:
+                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_radius
+                i, j = i[near], j[near]
+            u.append(node[i])
+            v.append(node[j])
         for s, e in zip(starts[:-1], starts[1:]):
             if not tiny[s]:
-                mine, other = fp[s:e][side[s:e] == 0], fp[s:e][side[s:e] == 1]
-                a, b = forest(mine, other if len(other) else None, radius)
-                u.append(a)
-                v.append(b)
-        u, v = np.concatenate(u) if u else np.zeros(0, np.uint64), np.concatenate(v) if v else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                cut = s + int(np.searchsorted(side[s:e], 1))
+                i, j = forest(fp[s:cut], fp[cut:e] if cut < e else None, radius, None if wide is None else wide[s:e], wide_radius)
+                u.append(node[s + i])
+                v.append(node[s + j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], ["u", "v"])
+
+    def columns(batch):
+        out = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+        has = len(batch) and batch.column(4).null_count == 0
+        raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(batch), -1) if has else None
+        return [out[0], out[1], out[2].view(np.uint64), out[3], raw]
 
     def run(batches):
-        held = None
+        held = []  # the pieces of the last task, which may go on in the next batch
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-            if not len(rows[0]):
+            if not len(batch):
+                continue
+            rows = columns(batch)
+            if held and held[0][0][-1] == rows[0][0] == rows[0][-1]:
+                held.append(rows)
                 continue
-            last = np.searchsorted(rows[0], rows[0][-1])  # that task may go on in the next batch
-            held = [x[last:] for x in rows]
+            rows = [None if x[0] is None else np.concatenate(x) for x in zip(*held, rows)]
+            last = int(np.nonzero(rows[0] != rows[0][-1])[0].max(initial=-1)) + 1
+            held = [[None if x is None else x[last:] for x in rows]]
             if last:
-                yield of(rows[0][:last], rows[1][:last], rows[2][:last].astype(np.int64).view(np.uint64))
-        if held is not None and len(held[0]):
-            yield of(held[0], held[1], held[2].astype(np.int64).view(np.uint64))
+                yield of(*(None if x is None else x[:last] for x in rows))
+        if held:
+            yield of(*(None if x[0] is None else np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -156,27 +185,81 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
 
     Nulls are ignored. Every returned link is one within the radius, but for those a forest puts to its root.
     """
+    rows = fps.where("fp IS NOT NULL").select("fp").distinct().select("fp", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("wide"))
+    return _node_links(rows, radius, 0, tile_rows)
+
+
+def _node_links(rows: DataFrame, radius: int, wide_radius: int, tile_rows: int) -> DataFrame:
+    """Links between nodes of rows (fp, node, wide); rows must be cheap to read several times."""
     if not 0 <= radius <= 15:
         raise ValueError("the radius must be from 0 to 15")
     bands = radius + 1
     edges = [64 * i // bands for i in range(bands + 1)]
     cells = F.array(*(F.lit(i).cast("long") * F.lit(1 << 56) + F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << e - s) - 1).cast("long")) for i, (s, e) in enumerate(zip(edges, edges[1:])))) if radius else F.array(F.lit(0).cast("long"))
-    rows = fps.where("fp IS NOT NULL").select("fp").distinct().select("fp", F.bit_count("fp").alias("pop"), F.explode(cells).alias("cell"))
+    rows = rows.withColumn("pop", F.bit_count("fp")).withColumn("cell", F.explode(cells))
     counts = checkpoint(rows.groupBy("cell", "pop").agg(F.count(F.lit(1)).alias("n")))
-    sizes = counts.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > tile_rows)
-    # at most (rows / tile_rows) cells are hot, and as many parts in all, plus one for each of their 65 population counts
-    parts = counts.join(sizes.select("cell"), "cell").select("cell", "pop", F.ceil(F.col("n") / tile_rows).cast("int").alias("parts"))
-    tiles = parts.select("cell", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    other = tiles.select("cell", F.col("pop").alias("pop2"), F.col("part").alias("part2"))
-    pairs = tiles.join(other, "cell").where((F.struct("pop", "part") <= F.struct("pop2", "part2")) & (F.col("pop2") - F.col("pop") <= radius))
-    task = F.xxhash64("cell", "pop", "part", "pop2", "part2").alias("task")
-    own = (F.col("pop") == F.col("pop2")) & (F.col("part") == F.col("part2"))
-    sides = pairs.select("cell", "pop", "part", task, F.lit(0).alias("side")).union(pairs.where(~own).select("cell", "pop2", "part2", task, F.lit(1)))
+    # a cell over tile_rows is cut along its population counts (65 at most) into parts of about that many rows
+    upto = F.sum("n").over(W.partitionBy("cell").orderBy("pop"))
+    cut = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(W.partitionBy("cell"))).where(F.col("all") > tile_rows)
+    parts = cut.select("cell", "pop", F.floor((F.col("upto") - F.col("n")) / tile_rows).cast("int").alias("first"), F.floor((F.col("upto") - 1) / tile_rows).cast("int").alias("last"))
+    tiles = parts.select("cell", "pop", F.explode(F.sequence("first", "last")).alias("part")).groupBy("cell", "part").agg(F.min("pop").alias("low"), F.max("pop").alias("high"))
+    other = tiles.select("cell", F.col("part").alias("part2"), F.col("low").alias("low2"))
+    pairs = tiles.join(other, "cell").where((F.col("part") <= F.col("part2")) & (F.col("low2") - F.col("high") <= radius))
+    task = F.xxhash64("cell", "part", "part2").alias("task")
+    sides = pairs.select("cell", "part", task, F.lit(0).alias("side")).union(pairs.where("part < part2").select("cell", "part2", task, F.lit(1)))
     marked = rows.join(parts, ["cell", "pop"], "left")
-    hot = marked.where("parts IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).join(sides, ["cell", "pop", "part"]).select("task", "side", "fp")
-    cold = marked.where("parts IS NULL").select(F.col("cell").alias("task"), F.lit(0).alias("side"), "fp")
+    part = (F.col("first") + F.pmod(F.xxhash64("node"), F.col("last") - F.col("first") + 1)).cast("int")
+    hot = marked.where("first IS NOT NULL").withColumn("part", part).join(sides, ["cell", "part"]).select("task", "side", "fp", "node", "wide")
+    cold = marked.where("first IS NULL").select(F.col("cell").alias("task"), F.lit(0).alias("side"), "fp", "node", "wide")
     dealt = cold.union(hot).repartition("task").sortWithinPartitions("task", "side")
-    return dealt.mapInArrow(_links(radius), "u long, v long").distinct()
+    return dealt.mapInArrow(_links(radius, wide_radius), "u long, v long").distinct()
+
+
+def wide_fingerprint(text: str | None, words: int) -> bytes:
+    """WIDE_BITS of SimHash over shingles of `words` words, from their XXH64 hashes and mixes of these."""
+    from xxhash import xxh64_intdigest
+
+    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    k = min(words, len(found))
+    joined, sizes = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    whole, starts, ends = memoryview(joined), (ends - sizes)[: len(found) - k + 1].tolist() if found else [], ends[max(k - 1, 0) :].tolist()
+    hashes = np.fromiter({xxh64_intdigest(whole[s:e], SEED) for s, e in zip(starts, ends)}, np.uint64)
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), 8192):
+        h = hashes[at : at + 8192, None] * _ODD
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        counts += np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, fp, component_id) like near_duplicates(), but linking texts whose sets of `words`-word shingles have at least that
+    Jaccard similarity, as WIDE_BITS of SimHash tell (its standard error there is 0.04).
+
+    Pairs to be looked at are those within SIMILAR_RADIUS bits of the 64-bit fingerprint, all of which are compared;
+    a link needs the wide fingerprints to differ in no more bits than two sets of that similarity do on average. Nulls, empty
+    texts and repeated rows are as in near_duplicates().
+    """
+    small_batches(df.sparkSession)
+    cosine = 2 * similarity / (1 + similarity)
+    wide_radius = round(WIDE_BITS * math.acos(cosine) / math.pi)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fp = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array([wide_fingerprint(x, words) for x in texts], pa.binary())], ["__id", "fp", "wide"])
+
+    own = df.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
+    schema = T.StructType([own.schema["__id"], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
+    fps = checkpoint(own.mapInArrow(run, schema))
+    nodes = checkpoint(fps.groupBy("fp", "wide").agg(F.min("__id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    root = connected_components(_node_links(nodes.select("fp", "node", "wide"), SIMILAR_RADIUS, wide_radius, SIMILAR_TILE_ROWS))
+    joined = nodes.join(root.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("fp", "wide", "least", "root")
+    low = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("low"))
+    member = joined.join(low, "root", "left").select("fp", "wide", F.coalesce("low", "least").alias("component_id"))
+    return fps.join(member, ["fp", "wide"]).select(F.col("__id").alias(id), "fp", "component_id")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -196,12 +279,11 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     return fps.join(member, "fp").select(F.col("__id").alias(id), "fp", "component_id")
 
 
-def kept(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """df without near-duplicates: of each component the row with the smallest id stays.
+def kept(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """df without near-duplicates by similar_documents(): of each component the row with the smallest id stays.
 
-    Rows that share that id and are equal in all columns are one; rows with a null id stay where their component
-    has no id at all, one of each such component's equal rows.
+    Of rows that share that id one stays; rows with a null id stay, as one, where a component has no id at all.
     """
-    found = near_duplicates(df, id, text, words, radius)
+    found = similar_documents(df, id, text, words, similarity)
     stay = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__stay")).distinct()
     return df.join(stay, F.col(id).eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id])
