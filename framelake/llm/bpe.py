@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .runtime import small_batches, with_field
 
 #: Characters of a block, and words handled at once in a longer text.
-BLOCK_CHARS, BLOCK_WORDS, CACHE_WORDS = 2_000_000, 300_000, 400_000
+BLOCK_CHARS, BLOCK_WORDS, CACHE_WORDS = 1_000_000, 200_000, 200_000
 #: Places from which on one merge is done in arrays.
 WIDE = 24
 _SHIFT = 20
