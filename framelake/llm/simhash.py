@@ -286,4 +286,7 @@ def kept(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIM
     """
     found = similar_documents(df, id, text, words, similarity)
     stay = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__stay")).distinct()
-    return df.join(stay, F.col(id).eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id])
+    # a plain equality, so that the rows of an id, texts and all, move once for the join and the choice of one
+    named = df.where(F.col(id).isNotNull()).join(stay, F.col(id) == F.col("__stay"), "left_semi").dropDuplicates([id])
+    nameless = df.where(F.col(id).isNull()).join(F.broadcast(stay.where("__stay IS NULL")), F.col("__stay").isNull(), "left_semi").dropDuplicates([id])
+    return named.unionByName(nameless)
