@@ -34,7 +34,7 @@ def malformed(told: DataFrame, roles: list[str]) -> DataFrame:
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, digest) of the files under a folder, paths relative to it."""
+    """(path, bytes, digest) of the files under a folder, paths relative to it. Spark's source leaves out empty files, which no manifest may list."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     relative = F.regexp_replace(F.col("path"), "^.*?" + path.rstrip("/").replace(".", r"\.") + "/", "")
     return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))

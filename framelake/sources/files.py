@@ -1,4 +1,4 @@
-"""File sources and sinks: IVF packets, event streams, state text."""
+"""File sources and sinks: IVF and Matroska packets, event streams, state text."""
 
 from __future__ import annotations
 
@@ -45,6 +45,157 @@ def ivf_packets(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, width int, height int, rate long, scale long, packet_no long, timestamp long, data binary")
 
 
+# Element numbers of the container format.
+SEGMENT, INFO, TRACKS, CLUSTER, BLOCK_GROUP = 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0xA0
+EBML_HEADER, SCALE, TRACK, TIME, SIMPLE_BLOCK, BLOCK, REFERENCE = 0x1A45DFA3, 0x2AD7B1, 0xAE, 0xE7, 0xA3, 0xA1, 0xFB
+NUMBER, KIND, CODEC, ENCODINGS, ENCODING, DELAY, PREROLL, VIDEO, WIDTH, HEIGHT = 0xD7, 0x83, 0x86, 0x6D80, 0x6240, 0x56AA, 0x56BB, 0xE0, 0xB0, 0xBA
+
+
+def _vint(raw: bytes, at: int, marked: bool) -> tuple[int | None, int]:
+    """(value, next place) of a number whose first byte's leading zeros give its length; marked keeps the marker bit. None: size unknown."""
+    if at >= len(raw) or not raw[at]:
+        raise ValueError("an element is cut off or malformed")
+    n = 9 - raw[at].bit_length()
+    if at + n > len(raw):
+        raise ValueError("an element is cut off or malformed")
+    v, bits = int.from_bytes(raw[at : at + n], "big"), 7 * n
+    if marked:
+        return v, at + n
+    v &= (1 << bits) - 1
+    return (None if v == (1 << bits) - 1 else v), at + n
+
+
+def _elements(raw: bytes, at: int, end: int, entered: tuple = ()):
+    """Yields (number, start, end) of the elements from at to end; the children of entered ones follow them in the same row."""
+    while at < end:
+        number, at = _vint(raw, at, True)
+        size, at = _vint(raw, at, False)
+        if number in entered:
+            yield number, at, at
+            continue
+        if size is None or at + size > end:
+            raise ValueError("an element is cut off or malformed")
+        yield number, at, at + size
+        at += size
+
+
+def _laced(raw: bytes, at: int, end: int, lacing: int):
+    """The frames of a block's payload."""
+    if not lacing:
+        return [raw[at:end]]
+    n, at = raw[at] + 1, at + 1
+    sizes = []
+    if lacing == 2:
+        sizes = [(end - at) // n] * (n - 1)
+        if (end - at) % n:
+            raise ValueError("a block's frames are not of one size")
+    for k in range(n - 1 if lacing != 2 else 0):
+        if lacing == 1:
+            v = 0
+            while raw[at] == 255:
+                v, at = v + 255, at + 1
+            v, at = v + raw[at], at + 1
+        else:
+            before = at
+            v, at = _vint(raw, at, False)
+            v = v if not k else sizes[-1] + v - ((1 << (7 * (at - before) - 1)) - 1)
+        sizes.append(v)
+    out = []
+    for size in sizes:
+        out.append(raw[at : at + size])
+        at += size
+    if at > end or min(sizes, default=0) < 0:
+        raise ValueError("a block's frames are cut off")
+    return [*out, raw[at:end]]
+
+
+def parse_matroska(raw: bytes):
+    """Yields (width, height, scale_ns, packet_no, timestamp, keyframe, invisible, data) of a file with one AV1 video track and no other.
+
+    Timestamps are in units of scale_ns. Encoded content, codec delay and pre-roll are errors, as are cut-off elements.
+    """
+    number = lambda a, b: int.from_bytes(raw[a:b], "big")
+    scale, tracks, now, n = 1_000_000, [], 0, 0
+    for e, a, b in _elements(raw, 0, len(raw), (SEGMENT, INFO, TRACKS, CLUSTER)):
+        if e != EBML_HEADER and a and not raw.startswith(EBML_HEADER.to_bytes(4, "big")):
+            raise ValueError("not a Matroska file")
+        if e == SCALE:
+            scale = number(a, b)
+        elif e == TRACK:
+            tracks.append({x: (c, d) for x, c, d in _elements(raw, a, b)})
+        elif e == TIME:
+            now = number(a, b)
+        elif e == CLUSTER and not n:
+            track, width, height = _checked(raw, tracks)
+        elif e in (SIMPLE_BLOCK, BLOCK_GROUP):
+            inside = {x: (c, d) for x, c, d in _elements(raw, a, b)} if e == BLOCK_GROUP else {BLOCK: (a, b)}
+            if BLOCK not in inside:
+                raise ValueError("a group has no block")
+            c, d = inside[BLOCK]
+            of, c = _vint(raw, c, False)
+            if c + 3 > d:
+                raise ValueError("a block is cut off")
+            shift, flags = int.from_bytes(raw[c : c + 2], "big", signed=True), raw[c + 2]
+            if of != track:
+                continue
+            key = bool(flags & 0x80) if e == SIMPLE_BLOCK else REFERENCE not in inside
+            for data in _laced(raw, c + 3, d, flags >> 1 & 3):
+                yield width, height, scale, n, now + shift, key, bool(flags & 8), data
+                n += 1
+
+
+def _checked(raw: bytes, tracks: list[dict]) -> tuple[int, int, int]:
+    """(number, width, height) of the only track."""
+    if len(tracks) != 1:
+        raise ValueError(f"{len(tracks)} tracks, not one")
+    (t,) = tracks
+    number = lambda e, of=t: int.from_bytes(raw[slice(*of[e])], "big") if e in of else 0
+    if number(KIND) != 1:
+        raise ValueError("the track is not video")
+    if raw[slice(*t.get(CODEC, (0, 0)))].rstrip(b"\0") != b"V_AV1":
+        raise ValueError("the codec is not AV1")
+    if ENCODINGS in t and any(x == ENCODING for x, _, _ in _elements(raw, *t[ENCODINGS])):
+        raise ValueError("the content is encoded")
+    if number(DELAY) or number(PREROLL):
+        raise ValueError("the codec has a delay")
+    if VIDEO not in t:
+        raise ValueError("the track has no video settings")
+    video = {x: (c, d) for x, c, d in _elements(raw, *t[VIDEO])}
+    size = number(WIDTH, video), number(HEIGHT, video)
+    if not all(0 < v < 1 << 32 for v in size):
+        raise ValueError("the frame has no valid size")
+    return number(NUMBER), *size
+
+
+def matroska_packets(spark: SparkSession, path: str) -> DataFrame:
+    """Packets of the Matroska files at path, one file a row of work (binaryFile holds a file whole: 2 GB at most)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    columns = ["path", "width", "height", "scale_ns", "packet_no", "timestamp", "keyframe", "invisible", "data"]
+
+    def run(frames):
+        for f in frames:
+            for p, raw in zip(f["path"], f["content"]):
+                yield pd.DataFrame([(p, *x) for x in parse_matroska(raw)], columns=columns)
+
+    return files.mapInPandas(run, "path string, width long, height long, scale_ns long, packet_no long, timestamp long, keyframe boolean, invisible boolean, data binary")
+
+
+def decoded(packets: DataFrame, decoder, schema: str, stream: str = "path") -> DataFrame:
+    """Frames of each stream by an injected decoder: decoder() gives an object whose packet(data, timestamp) and drain() list rows of schema.
+
+    A stream's packets go through one decoder in order, drained at the end; schema starts with the stream's column.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        d, out = decoder(), []
+        for r in rows.sort_values("packet_no").itertuples():
+            out += d.packet(bytes(r.data), int(r.timestamp))
+        return pd.DataFrame([(key[0], *x) for x in [*out, *d.drain()]], columns=names)
+
+    return packets.groupBy(stream).applyInPandas(run, schema)
+
+
 def seek(packets: DataFrame, timestamp: int) -> DataFrame:
     return packets.where(F.col("timestamp") >= timestamp)
 
