@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activity, evaluation, frames, manifests
+from ..operators import activity, evaluation, frames, manifests, quality, regions
 from ..sources.tables import observations, pixels, table
 from ..streaming import episodes as sessions
 from ..streaming import tracker
@@ -111,3 +111,34 @@ def visual_episodes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def compact_text(spark: SparkSession, d: str) -> DataFrame:
     return compact.state_text(tracker.batch_events(observations(spark, d)))
+
+
+PROPOSALS = """proposals AS (SELECT stream_no, ts_ms, x // 40 * 40 AS "left", y // 40 * 40 AS top, x // 40 * 40 + 80 AS "right", y // 40 * 40 + 40 AS bottom FROM observations)"""
+
+
+def _proposals(spark: SparkSession, d: str) -> DataFrame:
+    return observations(spark, d).selectExpr("stream_no", "ts_ms", "x div 40 * 40 AS left", "y div 40 * 40 AS top", "x div 40 * 40 + 80 AS right", "y div 40 * 40 + 40 AS bottom")
+
+
+@query(f"""WITH {PROPOSALS}, g AS (SELECT *, count(*) AS proposals FROM proposals GROUP BY ALL)
+SELECT *, row_number() OVER w - 1 AS leaf_no, CAST(coalesce(sum(proposals) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_member FROM g WINDOW w AS (PARTITION BY stream_no, ts_ms ORDER BY "left", top, "right", bottom)""")
+def proposal_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return regions.leaves(_proposals(spark, d), ["stream_no", "ts_ms"])
+
+
+@query()
+def merged_regions(spark: SparkSession, d: str) -> DataFrame:
+    return regions.merged(_proposals(spark, d), ["stream_no", "ts_ms"], 480, 1280)
+
+
+@query(f"""WITH {FRAMES}, o AS (SELECT stream_no, frame_no, CASE WHEN frame_no % 9 = 5 THEN ts_ms - 1000000000 ELSE ts_ms END AS ts_ms, CASE WHEN frame_no % 17 = 4 THEN 0 ELSE 560 END AS fw, fh, obs_index, x, y, w, h, conf * 1.05 AS conf FROM numbered),
+e AS (SELECT *, CASE WHEN NOT conf BETWEEN 0 AND 1 THEN 'confidence' WHEN NOT (w > 0 AND h > 0 AND x + w <= fw AND y + h <= fh) THEN 'box' END AS wrong FROM o),
+f AS (SELECT stream_no, frame_no, min(ts_ms) AS ts_ms, any_value(fw) AS fw, count(*) AS n, min(CASE WHEN wrong IS NOT NULL THEN obs_index END) AS first_at, arg_min(wrong, obs_index) AS what FROM e GROUP BY 1, 2),
+b AS (SELECT *, max(CASE WHEN fw > 0 AND what IS NULL AND n <= 9 THEN ts_ms END) OVER (PARTITION BY stream_no ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
+p AS (SELECT *, CASE WHEN fw = 0 THEN 'frame_size' WHEN ts_ms < before THEN 'time_goes_back' WHEN what IS NOT NULL THEN what WHEN n > 9 THEN 'too_many_elements' END AS problem FROM b)
+SELECT stream_no, frame_no, problem, CASE WHEN problem IN ('confidence', 'box') THEN first_at END AS obs_index FROM p WHERE problem IS NOT NULL""")
+def frame_validation(spark: SparkSession, d: str) -> DataFrame:
+    n = frames.frame_numbers(observations(spark, d)).withColumn("conf", F.col("conf") * 1.05)
+    n = n.withColumn("ts_ms", F.when(F.col("frame_no") % 9 == 5, F.col("ts_ms") - 1_000_000_000).otherwise(F.col("ts_ms")))
+    n = n.withColumn("fw", F.when(F.col("frame_no") % 17 == 4, 0).otherwise(560).cast("long"))
+    return quality.frame_problems(n, "frame_no", most=9)

@@ -227,4 +227,4 @@ def write_events(events: DataFrame, path: str, source: str = "urn:framelake:stre
         F.lit("1.0").alias("specversion"), F.concat_ws(":", "stream_no", "sequence").alias("id"), F.concat(F.lit(source), F.col("stream_no")).alias("source"), "sequence",
         F.col("ts_ms").alias("frametime"), F.lit("application/json").alias("datacontenttype"), "type", data.alias("data"),
     ))
-    events.repartitionByRange("stream_no").sortWithinPartitions("stream_no", "sequence").select(line.alias("value")).write.mode("errorifexists").text(path)
+    events.repartitionByRange("stream_no", "sequence").sortWithinPartitions("stream_no", "sequence").select(line.alias("value")).write.mode("errorifexists").text(path)

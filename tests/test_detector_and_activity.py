@@ -1,11 +1,14 @@
 """Detector shapes, contours, activity, manifests and the Matroska reader, against values worked out by hand or one by one."""
 
+import itertools
+import math
 import random
 import struct
+from fractions import Fraction
 
 import pytest
 from framelake.functions import detector as D
-from framelake.operators import activity, contours, manifests
+from framelake.operators import activity, contours, manifests, quality, regions
 from framelake.sources import files
 from pyspark.sql import functions as F
 
@@ -158,3 +161,54 @@ def test_matroska(spark, tmp_path):
 
     frames = files.decoded(packets, Late, "path string, ts_ms long, size long").orderBy("ts_ms", "size").collect()
     assert len(frames) == 10 and (frames[0]["ts_ms"], frames[0]["size"]) == (100, 3) and frames[-1]["size"] == 3
+
+
+def slowest_merge(h, w, proposals):
+    """Every pair looked at before each merge."""
+    nh, nw = (736, ((w * 736 + h // 2) // h + 16) // 32 * 32) if h <= w else (((h * 736 + w // 2) // w + 16) // 32 * 32, 736)
+    scale = max(Fraction(nh, h), Fraction(nw, w))
+    pixels = lambda r: math.prod(math.ceil((r[k + 2] - r[k]) * scale / 32) * 32 for k in (0, 1))
+    nodes, at = [], 0
+    for n, r in enumerate(sorted(set(proposals))):
+        nodes.append((n, r, list(range(at, at + proposals.count(r)))))
+        at += proposals.count(r)
+    n = len(nodes)
+    while True:
+        best = []
+        for a, b in itertools.combinations(nodes, 2):
+            r = (*map(min, a[1][:2], b[1][:2]), *map(max, a[1][2:], b[1][2:]))
+            saved = pixels(a[1]) + pixels(b[1]) - pixels(r)
+            if saved >= 0:
+                best.append((-saved, r, sorted(a[2] + b[2]), a[0], b[0]))
+        if not best:
+            return sorted((*r, m, pixels(r)) for _, r, m in nodes)
+        _, r, m, a, b = min(best)
+        nodes = [x for x in nodes if x[0] not in (a, b)] + [(n, r, m)]
+        n += 1
+
+
+def test_merged_regions(spark):
+    rnd = random.Random(3)
+    sizes = [0, 1, 2, 12, 25, 25]
+    frames = {}
+    for f, n in enumerate(sizes):
+        grid = [(x := rnd.randrange(30) * 10, y := rnd.randrange(20) * 10, x + rnd.choice((20, 60)), y + 20) for _ in range(n)]
+        frames[f] = grid + grid[: n // 3]
+    rows = spark.createDataFrame([(f, *map(int, r)) for f, rs in frames.items() for r in rs], "f long, left long, top long, right long, bottom long")
+    for h, w in ((240, 400), (400, 380)):
+        got = {}
+        for r in regions.merged(rows, ["f"], h, w).orderBy("region_no").collect():
+            got.setdefault(r["f"], []).append((r["left"], r["top"], r["right"], r["bottom"], list(r["members"]), r["pixels"]))
+        assert got == {f: slowest_merge(h, w, rs) for f, rs in frames.items() if rs}
+    with pytest.raises(Exception, match="leaves the frame"):
+        regions.merged(rows, ["f"], 100, 400).collect()
+    assert regions.merged(rows.limit(0), ["f"], 240, 400).count() == 0
+
+
+def test_frame_problems(spark):
+    schema = "stream_no long, n long, ts_ms long, fw long, fh long, obs_index long, x long, y long, w long, h long, txt string, role string, conf double"
+    ok = (0, 0, 5, 5, "t", None, 0.5)
+    rows = [(1, 0, 10, 9, 9, 0, *ok), (1, 1, 10, 9, 9, 0, *ok), (1, 2, 9, 9, 9, 0, *ok), (1, 3, 50, 9, 9, 0, 5, 0, 5, 5, "t", None, 0.5), (1, 3, 50, 9, 9, 1, *ok[:6], 2.0), (1, 4, 20, 9, 9, None, *[None] * 7), (1, 5, 15, 0, 9, 0, *ok)]
+    rows += [(1, 6, 30, 9, 9, k, *ok) for k in range(3)] + [(1, 7, 31, 9, 9, 0, *ok[:6], float("nan")), (1, 8, 32, 9, 9, 0, *ok[:4], "x" * 99, None, 0.1), (1, 9, 19, 9, 9, 0, *ok[:6], None)]
+    got = quality.frame_problems(spark.createDataFrame(rows, schema), "n", most=2, most_bytes=50).orderBy("n").collect()
+    assert [tuple(r)[1:] for r in got] == [(2, "time_goes_back", None), (3, "box", 0), (5, "frame_size", None), (6, "too_many_elements", None), (7, "confidence", 0), (8, "too_many_bytes", None), (9, "time_goes_back", None)]
