@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detector as D
+from ..functions import recognition
+from ..functions import texts as T
 from ..operators import contours
-from ..sources.tables import table
+from ..sources.tables import observations, table
 from .catalog import query
 
 SIZES = """sizes AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS line, CAST(l_partkey % 3000 + 1 AS BIGINT) AS h, CAST(l_suppkey * 37 % 4000 + 1 AS BIGINT) AS w FROM lineitem)"""
@@ -89,3 +91,21 @@ CASE WHEN event_id % 3 = 1 THEN '1 event' ELSE event_id % 3 || ' events' END AS
 def display_labels(spark: SparkSession, d: str) -> DataFrame:
     ms = F.col("event_id") % 200_000
     return table(spark, d, "events").select("event_id", D.clock(ms).alias("clock"), D.duration_label(ms).alias("label"), D.plural(F.col("event_id") % 3, "event").alias("n"))
+
+
+@query("""WITH steps AS (SELECT vec_id, r.i AS step, (SELECT arg_min(j, {'v': -embedding[8 * r.i + j + 1], 'j': j}) FROM range(8) q(j)) AS label FROM embeddings, range(8) r(i)),
+l AS (SELECT *, lag(label) OVER (PARTITION BY vec_id ORDER BY step) AS before FROM steps)
+SELECT vec_id, coalesce(string_agg(substr('abcdef ', CAST(label AS BIGINT), 1), '' ORDER BY step) FILTER (label <> 0 AND label IS DISTINCT FROM before), '') AS text FROM l GROUP BY 1""")
+def ctc_text(spark: SparkSession, d: str) -> DataFrame:
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    return table(spark, d, "embeddings").select("vec_id", recognition.ctc_text(steps, recognition.dictionary(list("abcdef"))).alias("text"))
+
+
+@query("""WITH l AS (SELECT stream_no, w * h AS area, conf < 0.25 AS missing, y >= 300 AS outside, obs_index % 5 = 0 AS silent FROM observations),
+d AS (SELECT stream_no, CASE WHEN missing THEN 'missing' WHEN outside THEN 'geometry_clamp' WHEN silent THEN 'text_filter' ELSE 'emitted' END AS disposition, area FROM l)
+SELECT stream_no, disposition, count(*) AS lines, CAST(sum(CASE WHEN disposition = 'emitted' THEN area ELSE 0 END) AS BIGINT) AS emitted_area FROM d GROUP BY 1, 2""")
+def line_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    txt = F.when(F.col("conf") < 0.25, None).when(F.col("obs_index") % 5 == 0, " -- ").otherwise(F.col("txt"))
+    lines = observations(spark, d).select("stream_no", (F.col("w") * F.col("h")).alias("area"), T.line_disposition(txt, F.col("y") < 300).alias("disposition"))
+    emitted = F.when(F.col("disposition") == "emitted", F.col("area")).otherwise(0)
+    return lines.groupBy("stream_no", "disposition").agg(F.count(F.lit(1)).alias("lines"), F.sum(emitted).alias("emitted_area"))

@@ -8,8 +8,12 @@ from fractions import Fraction
 
 import pytest
 from framelake.functions import detector as D
+from framelake.functions import recognition
 from framelake.operators import activity, contours, manifests, quality, regions
-from framelake.sources import files
+from framelake.plans import compact
+from framelake.sources import files, outputs
+from framelake.sources.tables import observations
+from framelake.streaming import tracker
 from pyspark.sql import functions as F
 
 
@@ -212,3 +216,36 @@ def test_frame_problems(spark):
     rows += [(1, 6, 30, 9, 9, k, *ok) for k in range(3)] + [(1, 7, 31, 9, 9, 0, *ok[:6], float("nan")), (1, 8, 32, 9, 9, 0, *ok[:4], "x" * 99, None, 0.1), (1, 9, 19, 9, 9, 0, *ok[:6], None)]
     got = quality.frame_problems(spark.createDataFrame(rows, schema), "n", most=2, most_bytes=50).orderBy("n").collect()
     assert [tuple(r)[1:] for r in got] == [(2, "time_goes_back", None), (3, "box", 0), (5, "frame_size", None), (6, "too_many_elements", None), (7, "confidence", 0), (8, "too_many_bytes", None), (9, "time_goes_back", None)]
+
+
+def test_ctc(spark):
+    hot = lambda *ids: [[float(k == i) for k in range(4)] for i in ids]
+    rows = [(hot(1, 1, 0, 1, 2, 2, 3),), (hot(0, 0),), ([],), (None,), ([[0.5, 0.5, 0.0, 0.5], [0.0, 0.7, 0.7, 0.0]],)]
+    labels = recognition.dictionary(["a", "b"])
+    got = spark.createDataFrame(rows, "s array<array<double>>").select(recognition.ctc_text(F.col("s"), labels)).collect()
+    assert [r[0] for r in got] == ["aab ", "", "", None, "a"]
+    for bad in ([[0.0, float("nan"), 0.0, 0.0]], [[0.0, 1.0]]):
+        with pytest.raises(Exception, match="finite|classes"):
+            spark.createDataFrame([(bad,)], "s array<array<double>>").select(recognition.ctc_text(F.col("s"), labels)).collect()
+    for entries in (["a", "a"], ["a", ""], ["a", " "]):
+        with pytest.raises(ValueError):
+            recognition.dictionary(entries)
+    with pytest.raises(ValueError):
+        recognition.dictionary(["a"], sha256="0" * 64)
+
+
+def test_write_run(spark, tmp_path):
+    events = tracker.batch_events(observations(spark, "/root/testdata/sf0.001").where("stream_no < 5")).cache()
+    lines = compact.state_text(events).cache()
+    out = str(tmp_path / "run")
+    outputs.write_run(events, lines, out)
+    read = files.event_lines(spark, out + "/events")
+    assert read.count() == events.count() and read.where("problem IS NOT NULL").count() == 0
+    told = spark.read.json(out + "/metrics").first()
+    assert (told["events"], told["streams"]) == (events.count(), events.select("stream_no").distinct().count())
+    assert spark.read.text(out + "/state").where("value = 'screenevents-state'").count() == told["streams"]
+    with pytest.raises(FileExistsError):
+        outputs.write_run(events, lines, out)
+    with pytest.raises(Exception):
+        outputs.write_run(events, lines.select("stream_no"), out + "2")
+    assert not (tmp_path / "run2").exists()
