@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activity, evaluation, frames, manifests, quality, regions
+from ..operators import activity, detection, evaluation, frames, manifests, quality, regions
 from ..sources.tables import observations, pixels, table
 from ..streaming import episodes as sessions
 from ..streaming import tracker
@@ -142,3 +142,10 @@ def frame_validation(spark: SparkSession, d: str) -> DataFrame:
     n = n.withColumn("ts_ms", F.when(F.col("frame_no") % 9 == 5, F.col("ts_ms") - 1_000_000_000).otherwise(F.col("ts_ms")))
     n = n.withColumn("fw", F.when(F.col("frame_no") % 17 == 4, 0).otherwise(560).cast("long"))
     return quality.frame_problems(n, "frame_no", most=9)
+
+
+@query()
+def text_regions(spark: SparkSession, d: str) -> DataFrame:
+    scores = F.transform("embedding", lambda v: F.least(F.lit(1.0), F.abs(v.cast("double")) * 6).cast("float"))
+    maps = table(spark, d, "embeddings").select("vec_id", F.lit(8).alias("map_h"), F.lit(8).alias("map_w"), F.lit(80).alias("src_h"), F.lit(160).alias("src_w"), scores.alias("scores"))
+    return detection.detect(maps, "vec_id")

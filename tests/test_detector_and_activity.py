@@ -6,10 +6,11 @@ import random
 import struct
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from framelake.functions import detector as D
 from framelake.functions import recognition
-from framelake.operators import activity, contours, manifests, quality, regions
+from framelake.operators import activity, contours, detection, manifests, quality, regions
 from framelake.plans import compact
 from framelake.sources import files, outputs
 from framelake.sources.tables import observations
@@ -249,3 +250,42 @@ def test_write_run(spark, tmp_path):
     with pytest.raises(Exception):
         outputs.write_run(events, lines.select("stream_no"), out + "2")
     assert not (tmp_path / "run2").exists()
+
+
+def test_components():
+    rnd = np.random.default_rng(1)
+    for share in (0.2, 0.4, 0.6):
+        active = rnd.random((17, 23)) < share
+        left, want = set(zip(*np.nonzero(active))), []
+        for start in sorted(left):
+            if start in left:
+                todo, own = [start], set()
+                left.discard(start)
+                while todo:
+                    y, x = todo.pop()
+                    own.add((x, y))
+                    near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                    left -= near
+                    todo += near
+                want.append(own)
+        got = detection.components(active)
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert set(map(tuple, g.astype(int).tolist())) <= w and set(map(tuple, detection.hull(g).tolist())) == set(map(tuple, detection.hull(np.array(sorted(w))).tolist()))
+
+
+def test_detection(spark):
+    turned = np.array([(0, 0), (8, 6), (5, 10), (-3, 4)], float)
+    corners, a, b = detection.smallest_rectangle(turned)
+    assert sorted((round(a, 9), round(b, 9))) == [5, 10] and {tuple(p) for p in np.rint(corners).tolist()} == {tuple(p) for p in turned.tolist()}
+    page = np.zeros((40, 60), np.float32)
+    page[5:10, 10:31] = 0.9  # 20 x 4 between pixel centres: grown by 80 * 1.4 / 48 = 2.33
+    page[20:22, 5:30] = 0.9  # too flat
+    page[30:36, 40:50] = 0.3  # too faint
+    blank, wrong = np.zeros((40, 60), np.float32), page + 1
+    rows = lambda *ps: spark.createDataFrame([(i, 40, 60, 80, 120, p.ravel().tolist()) for i, p in enumerate(ps)], "k long, map_h int, map_w int, src_h int, src_w int, scores array<float>")
+    got = detection.detect(rows(page, blank), "k").collect()
+    assert [(r["k"], r["contour_no"], r["disposition"]) for r in got] == [(0, 2, "score"), (0, 1, "first_side"), (0, 0, "admitted")]
+    assert abs(got[2]["score"] - 0.9) < 1e-6 and [tuple(p) for p in got[2]["quad"]] == [(15, 5), (65, 5), (65, 23), (15, 23)]
+    with pytest.raises(Exception, match="from 0 to 1"):
+        detection.detect(rows(wrong), "k").collect()
