@@ -26,8 +26,10 @@ from .runtime import checkpoint, small_batches, with_field
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 TILE, TILE_ROWS = 256, 4096
-#: For similarity of shingle sets: words of a shingle, least similarity, bits of the 64 within which pairs are looked at, rows of a task's side.
-SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS, SIMILAR_TILE_ROWS, WIDE_BITS = 5, 0.8, 10, 8192, 512
+#: For similarity of shingle sets: words of a shingle, least similarity, bits of a wide fingerprint.
+SIMILAR_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, 512
+#: Texts of the sample that tells common shingles, and these at most; slack of bounds in doubles.
+SAMPLE_TEXTS, COMMON, _EPS = 20_000, 20_000, 1e-9
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = np.arange(1, 2 * (WIDE_BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -233,33 +235,130 @@ def wide_fingerprint(text: str | None, words: int) -> bytes:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH64 hashes of the shingles of `words` words, in order; words and short texts as in fingerprints()."""
+    from xxhash import xxh64_intdigest
+
+    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not found:
+        return np.zeros(0, np.uint64)
+    k = min(words, len(found))
+    joined, sizes = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    whole, starts, ends = memoryview(joined), (ends - sizes)[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
+    return np.sort(np.fromiter({xxh64_intdigest(whole[s:e], SEED) for s, e in zip(starts, ends)}, np.uint64))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of found in an order of all shingles (those not in common first, then by hash) that suffice to meet.
+
+    A set of that similarity has at least ceil(similarity * n) of the n, so two such sets share one of their first
+    n - ceil(similarity * n) + 1 each, whatever the order is. Sets so small that only equal ones are similar: none.
+    """
+    n = len(found)
+    if n < similarity * (n + 1) - _EPS:
+        return found[:0]
+    order = np.lexsort((found, np.isin(found, common, assume_unique=True)))
+    return found[order[: n - math.ceil(similarity * n - _EPS) + 1]]
+
+
+def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many texts of a sample share, COMMON at most. They only come last in prefix()'s order: results don't depend on them."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, own.count()))
+    sample = own.where(F.pmod("__hash", F.lit(1 << 20)) < share * (1 << 20)).select("__hash", "__text").dropDuplicates(["__hash"]).select("__text")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x, words) for x in batch.column(0).to_pylist()]
+            found, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3")
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs (u, v: nodes) whose shingle sets, made again from the texts, have that Jaccard similarity."""
+    wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("__h"))
+    texts = own.select("__hash", "__text").join(wanted, F.col("__hash") == F.col("__h")).dropDuplicates(["node"]).select("node", "__text")
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    def decide(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both / (len(a) + len(b) - both) >= similarity)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    of = checkpoint(texts.mapInArrow(sets, "node long, set binary"))
+    joined = pairs.join(of.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return checkpoint(joined.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"))
+
+
 def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, fp, component_id) like near_duplicates(), but linking texts whose sets of `words`-word shingles have at least that
-    Jaccard similarity, as WIDE_BITS of SimHash tell (its standard error there is 0.04).
+    """(id, text_hash, component, component_id), one row for each row of df: texts whose sets of `words`-word shingles have at
+    least that Jaccard similarity are linked, and only these; component_id is the smallest id of those linked.
 
-    Pairs to be looked at are those within SIMILAR_RADIUS bits of the 64-bit fingerprint, all of which are compared;
-    a link needs the wide fingerprints to differ in no more bits than two sets of that similarity do on average. Nulls, empty
-    texts and repeated rows are as in near_duplicates().
+    Every such pair is found: sets that equal are one node, others meet in a cell, that of a shingle in the prefix() of both, and
+    sets are compared themselves. First each node of a cell is compared with its neighbour and with the first; then, in cells
+    that aren't one component by that, all pairs between components that sizes and places in the prefixes allow. Nulls, empty
+    texts and repeated rows are as in near_duplicates(): texts without a word are equal.
     """
     small_batches(df.sparkSession)
-    cosine = 2 * similarity / (1 + similarity)
-    wide_radius = round(WIDE_BITS * math.acos(cosine) / math.pi)
+    own = df.select(F.col(id).alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
+    common = _common_shingles(own, words)
 
     def run(batches):
+        from xxhash import xxh128_digest
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fp = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array([wide_fingerprint(x, words) for x in texts], pa.binary())], ["__id", "fp", "wide"])
-
-    own = df.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
-    schema = T.StructType([own.schema["__id"], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
-    fps = checkpoint(own.mapInArrow(run, schema))
-    nodes = checkpoint(fps.groupBy("fp", "wide").agg(F.min("__id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    root = connected_components(_node_links(nodes.select("fp", "node", "wide"), SIMILAR_RADIUS, wide_radius, SIMILAR_TILE_ROWS))
-    joined = nodes.join(root.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("fp", "wide", "least", "root")
-    low = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("low"))
-    member = joined.join(low, "root", "left").select("fp", "wide", F.coalesce("low", "least").alias("component_id"))
-    return fps.join(member, ["fp", "wide"]).select(F.col("__id").alias(id), "fp", "component_id")
+            keys, sizes, heads = [], [], []
+            for x in batch.column(2).to_pylist():
+                found = shingle_set(x, words)
+                keys.append(xxh128_digest(found.tobytes()))
+                sizes.append(len(found))
+                heads.append(prefix(found, common, similarity).view(np.int64))
+            ends = np.cumsum([0, *map(len, heads)])
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), made], schema.names)
+
+    schema = T.StructType([
+        own.schema["__id"], T.StructField("__hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.ArrayType(T.LongType())),
+    ])
+    found = checkpoint(own.mapInArrow(run, schema))
+    nodes = found.groupBy("key").agg(F.min("__id").alias("least"), F.min("__hash").alias("text_hash"), F.first("n").alias("n"), F.first("head").alias("head"))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+    def fits(a: str, b: str):  # whether sets that meet first at these places can be similar
+        n, m, i, j = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - _EPS) & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - _EPS)
+
+    ranked = W.partitionBy("token").orderBy("n", "node")
+    row = F.struct("node", "n", "pos")
+    cells = nodes.select("node", "n", F.posexplode("head").alias("pos", "token"))
+    cells = cells.select("token", "node", "n", "pos", F.lag(row).over(ranked).alias("before"), F.lead("node").over(ranked).alias("after"), F.first(row).over(ranked).alias("first"))
+    cells = checkpoint(cells.where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
+    pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+    near = [cells.where(F.col(x).isNotNull() & (F.col(f"{x}.node") != F.col("node")) & fits("", f"{x}.")).select(*pair("node", f"{x}.node")) for x in ("before", "first")]
+    tried = checkpoint(near[0].union(near[1]).distinct())
+    linked = _alike(tried, nodes, own, words, similarity)
+    root = connected_components(linked)
+    rows = cells.select("token", "node", "n", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    rows = checkpoint(rows.join(mixed, "token", "left_semi"))
+    other = rows.select("token", *(F.col(x).alias(f"__{x}") for x in ("node", "n", "pos", "root")))
+    rest = rows.join(other, "token").where((F.col("node") < F.col("__node")) & (F.col("root") != F.col("__root")) & fits("", "__")).select(*pair("node", "__node")).distinct()
+    rest = checkpoint(rest.join(tried, ["u", "v"], "left_anti"))
+    root = connected_components(linked.union(_alike(rest, nodes, own, words, similarity)))
+    joined = nodes.select("key", "least", "node").join(root, "node", "left").select("key", "least", F.coalesce("root", "node").alias("component"))
+    low = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    member = joined.select("key", "component").join(low, "component")
+    return found.select("__id", "__hash", "key").join(member, "key").select(F.col("__id").alias(id), F.col("__hash").alias("text_hash"), "component", "component_id")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -203,6 +203,39 @@ def test_simhash_groups(docs, none):
     assert {r["doc_id"] for r in simhash.kept(docs).collect()} - {None} == {c for _, _, c in want if c is not None}
 
 
+def brute_components(rows):
+    """Least index of those reached over pairs of Jaccard similarity 0.8 of the sets of five-word shingles."""
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t in rows for w in [(t or "").lower().split()]]
+    i, j = zip(*((i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])))
+    from framelake.llm.components import roots
+
+    return roots(len(sets), np.array(i), np.array(j)).tolist()
+
+
+def test_similar_documents_are_those_of_exact_similarity(spark):
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    line, texts = " ".join(word() for _ in range(12)), ["a b c", "a b c", "", None, "w"]
+    for copies in (10, 30):  # a line twice or often: the sets equal but for the seams
+        base = " ".join(word() for _ in range(300))
+        texts += [base + (" " + line) * 2, base + (" " + line) * copies]
+    for size in [*range(6, 30), *range(30, 200, 17)]:  # around the bound, on either side
+        base = [word() for _ in range(size)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3):
+            new = list(base)
+            for _ in range(edits):
+                new[rnd.randrange(size)] = word()
+            texts.append(" ".join(new[: size - rnd.randrange(3)]) + (" " + word()) * rnd.randrange(3))
+    base = [word() for _ in range(80)]  # many near copies that share most cells
+    texts += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert got[6] == 5 and got[8] == 7 and 50 < len(set(want)) < len(texts) - 80
+
+
 @pytest.mark.parametrize("tile_rows", [4096, 40])
 def test_links_lose_no_component(spark, tile_rows):
     rnd, fps = random.Random(4), set()
