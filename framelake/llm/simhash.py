@@ -379,13 +379,15 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
 
 def kept(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """df without near-duplicates by similar_documents(): of each component the row with the smallest id stays.
+    """df without near-duplicates by similar_documents(): of each component one row stays, that with the smallest id.
 
-    Of rows that share that id one stays; rows with a null id stay, as one, where a component has no id at all.
+    A null id comes after all others; of rows with that id the one with the smallest hash of its text stays, and of
+    rows that agree in both (copies) any one. Components don't share rows, whatever their ids.
     """
     found = similar_documents(df, id, text, words, similarity)
-    stay = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__stay")).distinct()
-    # a plain equality, so that the rows of an id, texts and all, move once for the join and the choice of one
-    named = df.where(F.col(id).isNotNull()).join(stay, F.col(id) == F.col("__stay"), "left_semi").dropDuplicates([id])
-    nameless = df.where(F.col(id).isNull()).join(F.broadcast(stay.where("__stay IS NULL")), F.col("__stay").isNull(), "left_semi").dropDuplicates([id])
-    return named.unionByName(nameless)
+    least = found.groupBy("component").agg(F.min(F.struct(F.col(id).isNull().alias("nameless"), F.col(id).alias("id"), "text_hash")).alias("__s"))
+    stay = least.select(F.col("__s.id").alias("__stay"), F.col("__s.text_hash").alias("__stay_hash"))
+    # rows of an id and a text are in one component; the keys let them move once for the join and the choice of one
+    rows = df.withColumn("__hash", F.xxhash64(text))
+    rows = rows.join(stay, F.col(id).eqNullSafe(F.col("__stay")) & (F.col("__hash") == F.col("__stay_hash")), "left_semi")
+    return rows.dropDuplicates([id, "__hash"]).select(*df.columns)

@@ -236,6 +236,15 @@ def test_similar_documents_are_those_of_exact_similarity(spark):
     assert got[6] == 5 and got[8] == 7 and 50 < len(set(want)) < len(texts) - 80
 
 
+def test_one_row_of_each_component_stays(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(40)) for _ in range(12)]
+    # nameless texts of their own, one id for unrelated texts, nameless copies of a named one, copies of nameless ones
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:8]] + [(8, texts[8]), (None, texts[8]), (None, texts[8] + " end"), (None, texts[0]), (9, texts[9]), (9, texts[9]), (None, None), (None, "")]
+    got = simhash.kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter({*((None, t) for t in texts[:4]), *((7, t) for t in texts[4:8]), (8, texts[8]), (9, texts[9]), (None, "")})
+
+
 @pytest.mark.parametrize("tile_rows", [4096, 40])
 def test_links_lose_no_component(spark, tile_rows):
     rnd, fps = random.Random(4), set()
