@@ -4,102 +4,132 @@ Each source's rows are cut into blocks. A source with p of q parts of the weight
 (k = 0, 1, ...) released in slot floor(k q / p) and done by slot ceil((k + 1) q / p); one block a slot, and among
 the released blocks the one with the earliest deadline goes first. Unit jobs with whole release times and deadlines
 on one machine: this always meets them, so after any number t of slots a source has had less than one
-block more or less than t p / q. The schedule repeats after q slots, so one period of it (bounded by PARTS) is
-made on the driver, and a block's slot follows from its number. When a source has run out, the others go on by
-their own weights from the next slot on, in a schedule of its own. Nothing is dropped or repeated: every prefix of the order
-is mixed to the weights as long as all sources last.
+block more or less than t p / q. The parts are whole numbers that stand to one another exactly as the weights do, and every
+source is scheduled by itself. The schedule goes slot by slot in one task, which gets a row a source and writes one a
+block, holding the sources only. When a source has run out, the others go on by their own weights from the next slot on, in a
+schedule of its own. Nothing is dropped or repeated: every prefix of the order is mixed to the weights as long as all sources last.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import inline_table, numbered
+from .runtime import numbered
 
-#: Parts that weights are rounded to, most sources scheduled by themselves, rows of a block.
-PARTS, MOST_SOURCES, BLOCK_ROWS = 1000, 256, 100
+#: Rows of a block; rows of a batch of the schedule.
+BLOCK_ROWS, PLAN_ROWS = 100, 50_000
 
 
-def period(parts: dict) -> list:
-    """The source of each slot of one period (sum of parts) of the earliest-deadline-first schedule."""
-    q, order, ready, slots = sum(parts.values()), sorted(parts, key=str), [], []
-    due = sorted((k * q // parts[s], -(-(k + 1) * q // parts[s]), i) for i, s in enumerate(order) for k in range(parts[s]))
-    at = 0
-    for t in range(q):
-        while at < len(due) and due[at][0] <= t:
-            heapq.heappush(ready, due[at][1:])
-            at += 1
-        deadline, i = heapq.heappop(ready)
+def endless(parts: list[int]) -> Iterator[int]:
+    """The index of each slot's source, earliest deadline first, as if blocks never ran out; ties go to the lesser index."""
+    q, waiting, t = sum(parts), [], 0
+    ready = [(-(-q // p), i, 0) for i, p in enumerate(parts) if p]
+    heapq.heapify(ready)
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * q // parts[i]), i, k))
+        deadline, i, k = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
-        slots.append(order[i])
-    return slots
-
-
-def phases(blocks: dict, parts: dict) -> list[dict]:
-    """Stretches of the schedule between sources running out: first (its first slot), parts, done (blocks that each
-    source had before), slots (one period)."""
-    left, done, first, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        mine = {s: parts[s] for s in left}
-        slots, q = period(mine), sum(mine.values())
-        at = {s: [t for t, x in enumerate(slots) if x == s] for s in left}
-        end = 1 + min((n - 1) // mine[s] * q + at[s][(n - 1) % mine[s]] for s, n in left.items())
-        out.append({"first": first, "parts": mine, "done": dict(done), "at": at, "q": q})
-        for s in list(left):
-            had = end // q * mine[s] + sum(t < end % q for t in at[s])
-            done[s], left[s] = done[s] + had, left[s] - had
-            if not left[s]:
-                del left[s]
-        first += end
-    return out
-
-
-def to_parts(weights: dict, parts: int = PARTS) -> dict:
-    """Whole parts, one at least, of about `parts` in all; weights are not negative and not all zero."""
-    total = sum(weights.values())
-    return {s: max(1, round(parts * w / total)) for s, w in weights.items()}
-
-
-def mixed(df: DataFrame, source: str = "source", order: list[str] | None = None, weights: dict | None = None, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, most_sources: int = MOST_SOURCES) -> DataFrame:
+        yield i
+        heapq.heappush(waiting, ((k + 1) * q // parts[i], i, k + 1))
+        t += 1
+
+
+def period(parts: dict) -> list:
+    """The source of each slot of one period (sum of parts) of the earliest-deadline-first schedule."""
+    order = sorted(parts, key=str)
+    return [order[i] for i in islice(endless([parts[s] for s in order]), sum(parts.values()))]
+
+
+def schedule(blocks: list[int], parts: list[int]) -> Iterator[int]:
+    """The index of each slot's source until all blocks are done, begun anew when a source has run out.
+
+    Sources without parts come when all others have run out, evenly.
+    """
+    left = [n for n in blocks]
+    alive = [i for i, n in enumerate(left) if n]
+    while alive:
+        mine = [i for i in alive if parts[i]] or alive
+        for at in endless([parts[i] or 1 for i in mine]):
+            i = mine[at]
+            yield i
+            left[i] -= 1
+            if not left[i]:
+                alive.remove(i)
+                break
+
+
+def to_parts(weights: dict) -> dict:
+    """Whole parts in exactly the ratio of the weights (numbers, doubles by their shortest decimal form), not negative."""
+    exact = {s: Fraction(repr(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * common) for s, w in exact.items()}
+    shared = math.gcd(*whole.values()) or 1
+    return {s: w // shared for s, w in whole.items()}
+
+
+def _plan(groups: DataFrame, weights: dict | None, alpha: float, block_rows: int) -> DataFrame:
+    """(__from, block, slot) for every block of groups (__from: struct of pooled and source, n: rows), made in one task."""
+    schema = T.StructType([groups.schema["__from"], T.StructField("block", T.LongType()), T.StructField("slot", T.LongType())])
+
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        names, counts = table.column(0).combine_chunks(), table.column(1).to_pylist()
+        if weights is None:
+            given = [n**alpha for n in counts]
+        else:
+            given = [min(weights.values()) if g["pooled"] else weights.get(g["source"], min(weights.values())) for g in names.to_pylist()]
+        parts = to_parts(dict(enumerate(given)))
+        slots, first, had = schedule([-(-n // block_rows) for n in counts], list(parts.values())), 0, [0] * len(counts)
+        while piece := list(islice(slots, PLAN_ROWS)):
+            block = np.empty(len(piece), np.int64)
+            for at, i in enumerate(piece):
+                block[at] = had[i]
+                had[i] += 1
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(piece)), pa.array(block), pa.array(np.arange(first, first + len(piece)))], ["__from", "block", "slot"])
+            first += len(piece)
+
+    lined = groups.repartition(1).sortWithinPartitions(F.col("__from.pooled"), F.desc("n"), F.asc_nulls_first("__from.source"))
+    return lined.select("__from", "n").mapInArrow(run, schema)
+
+
+def mixed(df: DataFrame, source: str = "source", order: list[str] | None = None, weights: dict | None = None, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, most_sources: int | None = None) -> DataFrame:
     """Adds block (of its source), slot (of the whole schedule) and mix_pos (place in the slot) to every row.
 
     weights: target weight by source; a source without one has the smallest given. None: rows to the power of alpha.
-    The most_sources - 1 sources with most rows are scheduled by themselves, all others together as one. order: the columns that
-    tell rows apart; rows are numbered in the order of a hash of these (repeated rows next to one another).
-    A null source is a source. An empty table gives an empty result. Columns block, slot and mix_pos are replaced.
+    Every source is scheduled by itself; only where most_sources is given are all but the most_sources - 1 with most rows
+    scheduled together as one. order: the columns that tell rows apart; rows are numbered in the order of a hash of these
+    (repeated rows next to one another). A null source is a source. An empty table gives an empty result. Columns block, slot
+    and mix_pos are replaced.
     """
     order = order or [source]
     df = df.drop("block", "slot", "mix_pos")
-    spark = df.sparkSession
-    top = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_first(source)).limit(most_sources - 1).collect()
-    total = df.count()
-    rest = total - sum(r["n"] for r in top)
-    counts = {i: r["n"] for i, r in enumerate(top)} | ({len(top): rest} if rest else {})
-    if weights is None:
-        given = {i: n**alpha for i, n in counts.items()}
-    else:
-        given = {i: weights.get(r[source], min(weights.values())) for i, r in enumerate(top)} | ({len(top): min(weights.values())} if rest else {})
-    schema = T.StructType([T.StructField("__s", df.schema[source].dataType), T.StructField("__k", T.IntegerType())])
-    keys = F.broadcast(spark.createDataFrame([(r[source], i) for i, r in enumerate(top)], schema))  # most_sources rows at most
-    keyed = df.join(keys, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("__k", F.coalesce("__k", F.lit(len(top))))
-    placed = numbered(keyed, "__k", [F.xxhash64(*order), *(F.col(c) for c in order)], "__n", bucket_rows=20_000)
+    pooled, keyed = F.lit(False), df
+    if most_sources is not None:
+        top = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_first(source)).limit(most_sources - 1)
+        keyed = df.join(F.broadcast(top.select(F.col(source).alias("__s"), F.lit(False).alias("__top"))), F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
+        pooled = F.coalesce("__top", F.lit(True))
+    keyed = keyed.withColumn("__from", F.struct(pooled.alias("pooled"), F.when(~pooled, F.col(source)).alias("source")))
+    groups = keyed.groupBy("__from").agg(F.count(F.lit(1)).alias("n"))
+    plan = _plan(groups, weights, alpha, block_rows).select(F.col("__from").alias("__h"), F.col("block").alias("__b"), "slot")
+    placed = numbered(keyed, "__from", [F.xxhash64(*order), *(F.col(c) for c in order)], "__n", bucket_rows=20_000)
     placed = placed.withColumn("block", F.expr(f"__n div {block_rows}")).withColumn("mix_pos", (F.col("__n") % block_rows).cast("int"))
-    plan = phases({i: -(-n // block_rows) for i, n in counts.items()}, to_parts(given)) if counts else []
-    rows = [(s, p["done"][s], p["first"], p["parts"][s], p["q"], p["at"][s]) for p in plan for s in p["parts"]]
-    # by source, its phases in order: sources (bounded) times phases (one for each source that runs out)
-    table = inline_table(spark, rows, "__k int, done long, first long, parts int, q int, at array<int>")
-    steps = F.broadcast(table.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("done", "first", "parts", "q", "at"))).alias("__steps")))
-    step = F.element_at(F.filter("__steps", lambda x: x["done"] <= F.col("block")), -1)
-    joined = placed.join(steps, "__k").withColumn("__step", step)
-    nth = F.col("block") - F.col("__step.done")
-    cycle = F.floor(nth / F.col("__step.parts"))
-    slot = F.col("__step.first") + cycle * F.col("__step.q") + F.element_at(F.col("__step.at"), (nth - cycle * F.col("__step.parts") + 1).cast("int"))
-    return joined.withColumn("slot", slot.cast("long")).select(*df.columns, "block", "slot", "mix_pos")
+    return placed.join(plan, F.col("__from").eqNullSafe(F.col("__h")) & (F.col("block") == F.col("__b"))).select(*df.columns, "block", "slot", "mix_pos")
 
 
 def ordered(df: DataFrame, source: str = "source", order: list[str] | None = None, **how) -> DataFrame:

@@ -324,6 +324,25 @@ def test_mixing_order(docs, none, spark):
     assert len(pooled) == len(rows) and len({(r["slot"], r["mix_pos"]) for r in pooled}) == len(rows)
 
 
+def test_mixing_follows_the_weights_given(spark):
+    for n, slots in ((20, 30_000), (200, 20_000)):  # against the weights themselves, not what they may be rounded to
+        weights = {i: (n * 75 if i == 0 else 150 + i) ** 0.5 for i in range(n)} | ({1: 0.0001, 2: 0.0} if n == 20 else {})
+        parts, had, total = mixing.to_parts(weights), np.zeros(n), sum(weights.values())
+        target = np.array([weights[i] / total for i in range(n)])
+        for t, i in enumerate(mixing.schedule([10**6] * n, list(parts.values()))):
+            if t == slots:
+                break
+            had[i] += 1
+            assert abs(had - (t + 1) * target).max() < 1 + 1e-6
+    assert list(mixing.schedule([2, 1], [1, 0])) == [0, 0, 1]
+    rows = [(s * 1000 + i, f"s{s}") for s in range(300) for i in range(3 + (s == 7) * 60)]  # more sources than were scheduled
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), "source", ["doc_id"], {"s7": 30, "s299": 5, "": 1}, block_rows=1).collect()
+    order = [r["source"] for r in sorted(got, key=lambda r: r["slot"])]
+    assert [r["slot"] for r in sorted(got, key=lambda r: r["slot"])] == list(range(len(rows)))
+    for t in range(1, 133):  # before any has run out
+        assert all(abs(order[:t].count(x) - t * w / 333) < 1 for x, w in (("s7", 30), ("s299", 5), ("s0", 1), ("s298", 1)))
+
+
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(0, 0.3, (700, 8)).astype(np.float32)
