@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .runtime import numbered
 
@@ -136,11 +137,24 @@ def ordered(df: DataFrame, source: str = "source", order: list[str] | None = Non
     """The rows of df, its columns alone, in mixed order: files hold ranges of slots, ordered within.
 
     Places are found from the source and order columns alone, so long columns move twice: to their places, and into
-    order. Rows that agree in the order columns go to the first of their places.
+    order. Rows that agree in all of these go to the first of their places.
     """
-    order = order or ["doc_id"]
-    light = df.select(*dict.fromkeys([source, *order]))
-    places = mixed(light, source, order, **how).groupBy(*order).agg(F.min(F.struct("slot", "mix_pos")).alias("__place"))
-    places = places.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(order)), "__place")
-    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(order)]
+    keys = list(dict.fromkeys([source, *(order or ["doc_id"])]))
+    places = mixed(df.select(*keys), source, order or ["doc_id"], **how).groupBy(*keys).agg(F.min(F.struct("slot", "mix_pos")).alias("__place"))
+    places = places.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keys)), "__place")
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(keys)]
     return df.join(places, same, "left").repartitionByRange("__place").sortWithinPartitions("__place").select(*df.columns)
+
+
+def with_places(df: DataFrame, rows: DataFrame, source: str = "source", order: list[str] | None = None, **how) -> DataFrame:
+    """df, a row for each of rows, with the slot and mix_pos that ordered() put rows by. Both have the source and order columns.
+
+    Rows that agree in all of these share their places out, one each.
+    """
+    keys = list(dict.fromkeys([source, *(order or ["doc_id"])]))
+    copy = lambda by: F.row_number().over(W.partitionBy(*keys).orderBy(*by))
+    places = mixed(rows.select(*keys), source, order or ["doc_id"], **how).withColumn("__copy", copy(["slot", "mix_pos"]))
+    places = places.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keys)), F.col("__copy").alias("__nth"), "slot", "mix_pos")
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(keys)]
+    copies = df.withColumn("__copy", copy(keys))
+    return copies.join(places, [*same, F.col("__copy") == F.col("__nth")]).select(*df.columns, "slot", "mix_pos")

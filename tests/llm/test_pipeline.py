@@ -1,10 +1,13 @@
 """corpus_pipeline against a brute-force version, stage by stage."""
 
+from collections import Counter
+
 import corpus_pipeline
-from framelake.llm import simhash
+from framelake.llm import mixing, simhash
 from framelake.llm.queries import vocabulary
 
-from test_operators import base_spans, brute_fingerprint, sha
+import pyarrow.parquet as pq
+from test_operators import base_spans, brute_fingerprint, sha, simulate
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +49,33 @@ def test_pipeline(spark):
         else:
             assert r["decoded_sha256"] != sha(second[i]["text"])
     assert clean >= 0.95 * sum(not base_spans(x["text"]) for x in second.values())
+
+
+def test_encoded_rows_have_their_places(spark, tmp_path):
+    rows = [(i if i % 5 else None, f"text number {i}", "en", f"s{min(i % 7, 2)}", 10) for i in range(1500)]
+    rows += [(9, "other text of one id", "en", "s0", 5)] * 2 + [(None, None, "de", None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several files
+    try:
+        stages["mixing"](spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    again = spark.read.parquet(f"{tmp_path}/mixed")
+    got = sorted(stages["encode"](spark, again, "").collect(), key=lambda r: (r["slot"], r["mix_pos"]))
+    assert len(got) == len(rows) == len({(r["slot"], r["mix_pos"]) for r in got})
+    files = sorted(tmp_path.glob("mixed/*.parquet"))
+    written = [(r["doc_id"], sha(r["text"] or "")) for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 1 and [(r["doc_id"], r["decoded_sha256"]) for r in got] == written
+    # brute force: EDF slot by slot, begun anew when a source has run out
+    n = Counter(r[3] for r in rows)
+    rank = sorted(n, key=lambda s: (-n[s], s is not None, s or ""))
+    parts, left, order = mixing.to_parts({i: n[s] ** 0.5 for i, s in enumerate(rank)}), {i: -(-n[s] // 100) for i, s in enumerate(rank)}, []
+    while left:
+        for i in simulate({i: parts[i] for i in left}, 1000):
+            order.append(rank[i])
+            left[i] -= 1
+            if not left[i]:
+                del left[i]
+                break
+    assert [{r["source"] for r in got if r["slot"] == t} for t in range(len(order))] == [{s} for s in order] and got[-1]["slot"] == len(order) - 1
