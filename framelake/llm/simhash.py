@@ -29,7 +29,9 @@ TILE, TILE_ROWS = 256, 4096
 #: For similarity of shingle sets: words of a shingle, least similarity, bits of a wide fingerprint.
 SIMILAR_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, 512
 #: Texts of the sample that tells common shingles, and these at most; slack of bounds in doubles.
-SAMPLE_TEXTS, COMMON, _EPS = 20_000, 20_000, 1e-9
+SAMPLE_TEXTS, COMMON, _EPS = 4_000, 20_000, 1e-9
+#: Nodes of a cell up to which all its pairs are looked at at once; counts of a sketch.
+LARGE_CELL, SKETCH = 64, 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = np.arange(1, 2 * (WIDE_BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -265,11 +267,11 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
 def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
     """Shingles that many texts of a sample share, COMMON at most. They only come last in prefix()'s order: results don't depend on them."""
     share = min(1.0, SAMPLE_TEXTS / max(1, own.count()))
-    sample = own.where(F.pmod("__hash", F.lit(1 << 20)) < share * (1 << 20)).select("__hash", "__text").dropDuplicates(["__hash"]).select("__text")
+    sample = own.where(F.pmod("__hash", F.lit(1 << 20)) < share * (1 << 20)).select("__hash", "__text")
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x, words) for x in batch.column(0).to_pylist()]
+            sets = [shingle_set(x, words) for x in dict(zip(*(c.to_pylist() for c in batch.columns))).values()]
             found, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -277,8 +279,74 @@ def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """How many hashes of the set are in each of SKETCH parts of their range, 255 at most. Sets differ in as many at least as these counts do."""
+    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _may_be_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """pairs but for those whose sketches show that they differ in too many shingles."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int64) for i in (4, 5))
+            near = np.abs(a - b).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (n.astype(np.int64) + m) + _EPS
+            yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    of = lambda x, n, sketch: nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    joined = pairs.join(of("u", "n", "a"), "u").join(of("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
+    return checkpoint(joined.mapInArrow(run, "u long, v long"))
+
+
+def _meet(similarity: float):
+    """(token, node, n, pos), ordered by token, n and node -> pairs (token null, u, v) that sizes and places in the prefixes allow:
+    in cells up to LARGE_CELL all of them, in larger ones neighbours only; these cells' rows (v null) come as well."""
+
+    def of(token, node, n, pos):
+        starts = np.concatenate(([0], np.nonzero(np.diff(token))[0] + 1, [len(token)]))
+        large = np.repeat(np.diff(starts) > LARGE_CELL, np.diff(starts))
+        u, v, at, d = [], [], np.arange(len(token)), 1
+        while len(at := at[at + d < len(token)]):
+            at = at[(token[at] == token[at + d]) & (n[at] >= similarity * n[at + d] - _EPS)]  # ordered by n: those after are longer still
+            if d > 1:
+                at = at[~large[at]]
+            to = at + d
+            hit = np.minimum(n[at] - pos[at], n[to] - pos[to]) >= similarity / (1 + similarity) * (n[at] + n[to]) - _EPS
+            u.append(np.minimum(node[at[hit]], node[to[hit]]))
+            v.append(np.maximum(node[at[hit]], node[to[hit]]))
+            d += 1
+        pairs = np.unique(np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v)]), axis=1)
+        k, rows = pairs.shape[1], np.nonzero(large)[0]
+        null = np.arange(k + len(rows)) < k
+        put = lambda x, y, mask=None: pa.array(np.concatenate((x, y)).astype(np.int64), mask=mask)
+        zero, none = np.zeros(k, np.int64), np.zeros(len(rows), np.int64)
+        return pa.RecordBatch.from_arrays([put(zero, token[rows], null), put(pairs[0], node[rows]), put(pairs[1], none, ~null), put(zero, n[rows]), put(zero, pos[rows])], ["token", "u", "v", "n", "pos"])
+
+    def run(batches):
+        held, size = [], 0  # rows whose last cell may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append([c.to_numpy().astype(np.int64) for c in batch.columns])
+            size += len(batch)
+            if size < 100_000:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.nonzero(rows[0] != rows[0][-1])[0].max(initial=-1)) + 1
+            if last:
+                yield of(*(x[:last] for x in rows))
+            held = [[x[last:] for x in rows]]
+            size = 0
+        if held:
+            yield of(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of pairs (u, v: nodes) whose shingle sets, made again from the texts, have that Jaccard similarity."""
+    pairs = _may_be_alike(pairs, nodes, similarity)
     wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("__h"))
     texts = own.select("__hash", "__text").join(wanted, F.col("__hash") == F.col("__h")).dropDuplicates(["node"]).select("node", "__text")
 
@@ -305,8 +373,8 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
     least that Jaccard similarity are linked, and only these; component_id is the smallest id of those linked.
 
     Every such pair is found: sets that equal are one node, others meet in a cell, that of a shingle in the prefix() of both, and
-    sets are compared themselves. First each node of a cell is compared with its neighbour and with the first; then, in cells
-    that aren't one component by that, all pairs between components that sizes and places in the prefixes allow. Nulls, empty
+    sets are compared themselves, unless sizes, places in the prefixes or sketches rule that out. In cells over LARGE_CELL nodes each is
+    compared with its neighbour first; then, where they aren't one component by that, all pairs between components. Nulls, empty
     texts and repeated rows are as in near_duplicates(): texts without a word are equal.
     """
     small_batches(df.sparkSession)
@@ -317,43 +385,37 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
         from xxhash import xxh128_digest
 
         for batch in batches:
-            keys, sizes, heads = [], [], []
+            keys, sizes, sketches, heads = [], [], [], []
             for x in batch.column(2).to_pylist():
                 found = shingle_set(x, words)
                 keys.append(xxh128_digest(found.tobytes()))
                 sizes.append(len(found))
+                sketches.append(sketch(found))
                 heads.append(prefix(found, common, similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, heads)])
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), made], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), made], schema.names)
 
     schema = T.StructType([
-        own.schema["__id"], T.StructField("__hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.ArrayType(T.LongType())),
+        own.schema["__id"], T.StructField("__hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()),
+        T.StructField("sketch", T.BinaryType()), T.StructField("head", T.ArrayType(T.LongType())),
     ])
-    found = checkpoint(own.mapInArrow(run, schema))
-    nodes = found.groupBy("key").agg(F.min("__id").alias("least"), F.min("__hash").alias("text_hash"), F.first("n").alias("n"), F.first("head").alias("head"))
-    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
-
-    def fits(a: str, b: str):  # whether sets that meet first at these places can be similar
-        n, m, i, j = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-        return (F.least(n, m) >= similarity * F.greatest(n, m) - _EPS) & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - _EPS)
-
-    ranked = W.partitionBy("token").orderBy("n", "node")
-    row = F.struct("node", "n", "pos")
-    cells = nodes.select("node", "n", F.posexplode("head").alias("pos", "token"))
-    cells = cells.select("token", "node", "n", "pos", F.lag(row).over(ranked).alias("before"), F.lead("node").over(ranked).alias("after"), F.first(row).over(ranked).alias("first"))
-    cells = checkpoint(cells.where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
-    pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    near = [cells.where(F.col(x).isNotNull() & (F.col(f"{x}.node") != F.col("node")) & fits("", f"{x}.")).select(*pair("node", f"{x}.node")) for x in ("before", "first")]
-    tried = checkpoint(near[0].union(near[1]).distinct())
+    found = checkpoint(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    sets = found.groupBy("key")
+    nodes = checkpoint(sets.agg(F.min("row").alias("node"), F.min("__id").alias("least"), F.min("__hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    cells = sets.agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")).select("node", "n", F.posexplode("head").alias("pos", "token"))
+    cells = cells.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "node")
+    met = checkpoint(cells.mapInArrow(_meet(similarity), "token long, u long, v long, n long, pos long"))
+    tried = checkpoint(met.where("token IS NULL").select("u", "v").distinct())
     linked = _alike(tried, nodes, own, words, similarity)
     root = connected_components(linked)
-    rows = cells.select("token", "node", "n", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = met.where("token IS NOT NULL").select("token", F.col("u").alias("node"), "n", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     rows = checkpoint(rows.join(mixed, "token", "left_semi"))
     other = rows.select("token", *(F.col(x).alias(f"__{x}") for x in ("node", "n", "pos", "root")))
-    rest = rows.join(other, "token").where((F.col("node") < F.col("__node")) & (F.col("root") != F.col("__root")) & fits("", "__")).select(*pair("node", "__node")).distinct()
-    rest = checkpoint(rest.join(tried, ["u", "v"], "left_anti"))
+    sizes = (F.least("n", "__n") >= similarity * F.greatest("n", "__n") - _EPS) & (F.least(F.col("n") - F.col("pos"), F.col("__n") - F.col("__pos")) >= similarity / (1 + similarity) * (F.col("n") + F.col("__n")) - _EPS)
+    rest = rows.join(other, "token").where((F.col("node") < F.col("__node")) & (F.col("root") != F.col("__root")) & sizes)
+    rest = checkpoint(rest.select(F.col("node").alias("u"), F.col("__node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
     root = connected_components(linked.union(_alike(rest, nodes, own, words, similarity)))
     joined = nodes.select("key", "least", "node").join(root, "node", "left").select("key", "least", F.coalesce("root", "node").alias("component"))
     low = joined.groupBy("component").agg(F.min("least").alias("component_id"))
