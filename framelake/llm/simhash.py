@@ -30,8 +30,8 @@ TILE, TILE_ROWS = 256, 4096
 SIMILAR_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, 512
 #: Texts of the sample that tells common shingles, and these at most; slack of bounds in doubles.
 SAMPLE_TEXTS, COMMON, _EPS = 4_000, 20_000, 1e-9
-#: Nodes of a cell up to which all its pairs are looked at at once; counts of a sketch.
-LARGE_CELL, SKETCH = 64, 64
+#: Nodes of a cell up to which all its pairs are looked at at once; a sketch's counts: least, hashes a count; rows that are broadcast at most.
+LARGE_CELL, SKETCH, SKETCH_HASHES, FEW_ROWS = 64, 64, 6, 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = np.arange(1, 2 * (WIDE_BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -280,8 +280,23 @@ def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """How many hashes of the set are in each of SKETCH parts of their range, 255 at most. Sets differ in as many at least as these counts do."""
-    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many hashes of the set are in each of SKETCH * 4^k equal parts of their range. Sets differ in as many at least as these counts do."""
+    bits = 6
+    while SKETCH_HASHES << bits < len(found) and bits < 12:
+        bits += 2
+    return np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+
+
+def _sketched_difference(a: bytes, b: bytes) -> int:
+    """Sum of the differences of two sketches' counts; the finer one's are added up to those of the other."""
+    a, b = (np.frombuffer(x, np.uint16).astype(np.int64) for x in (a, b))
+    least = min(len(a), len(b))
+    return int(np.abs(a.reshape(least, -1).sum(axis=1) - b.reshape(least, -1).sum(axis=1)).sum())
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows (a checkpoint), to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
 
 
 def _may_be_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -289,10 +304,9 @@ def _may_be_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Data
 
     def run(batches):
         for batch in batches:
-            n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int64) for i in (4, 5))
-            near = np.abs(a - b).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (n.astype(np.int64) + m) + _EPS
-            yield batch.select(["u", "v"]).filter(pa.array(near))
+            u, v, n, m, a, b = (c.to_pylist() for c in batch.columns)
+            near = [_sketched_difference(x, y) <= (1 - similarity) / (1 + similarity) * (i + j) + _EPS for x, y, i, j in zip(a, b, n, m)]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     of = lambda x, n, sketch: nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("sketch").alias(sketch))
     joined = pairs.join(of("u", "n", "a"), "u").join(of("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
@@ -347,8 +361,10 @@ def _meet(similarity: float):
 def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of pairs (u, v: nodes) whose shingle sets, made again from the texts, have that Jaccard similarity."""
     pairs = _may_be_alike(pairs, nodes, similarity)
-    wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("__h"))
-    texts = own.select("__hash", "__text").join(wanted, F.col("__hash") == F.col("__h")).dropDuplicates(["node"]).select("node", "__text")
+    if pairs.isEmpty():
+        return pairs
+    wanted = checkpoint(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("__h")))
+    texts = own.select("__hash", "__text").join(_few(wanted), F.col("__hash") == F.col("__h")).dropDuplicates(["node"]).select("node", "__text")
 
     def sets(batches):
         for batch in batches:
@@ -401,9 +417,8 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
         T.StructField("sketch", T.BinaryType()), T.StructField("head", T.ArrayType(T.LongType())),
     ])
     found = checkpoint(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    sets = found.groupBy("key")
-    nodes = checkpoint(sets.agg(F.min("row").alias("node"), F.min("__id").alias("least"), F.min("__hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    cells = sets.agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")).select("node", "n", F.posexplode("head").alias("pos", "token"))
+    nodes = checkpoint(found.groupBy("key").agg(F.min("row").alias("node"), F.min("__id").alias("least"), F.min("__hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    cells = found.join(_few(nodes.select(F.col("node").alias("__n"))), F.col("row") == F.col("__n"), "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("head").alias("pos", "token"))
     cells = cells.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "node")
     met = checkpoint(cells.mapInArrow(_meet(similarity), "token long, u long, v long, n long, pos long"))
     tried = checkpoint(met.where("token IS NULL").select("u", "v").distinct())
