@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import small_batches
+from .runtime import bounded_batches
 
 #: Blocks in a row and rows in one image (its height stays under 65,536); longer payloads are several images.
 ROW, MOST_ROWS = 64, 8191
@@ -274,7 +274,7 @@ def with_media(df: DataFrame, text: str = "text") -> DataFrame:
 
     Null text: as the empty text, which is 64 zero bytes. Other columns named n_bytes or media are replaced.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in (text, "n_bytes", "media")]
     schema = T.StructType([*keep, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
@@ -312,7 +312,7 @@ def _read_back(values: list) -> list[pa.Array]:
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     """Reads stored images back: adds payload (binary, the thumbnails' samples), width, height (of the first
     image), images (their number) and thumb_hash (of the first). A null value has nulls; a broken one is an error."""
-    small_batches(df.sparkSession, 200)
+    bounded_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in dict(_READ)]
     schema = T.StructType([*keep, *(T.StructField(*x) for x in _READ)])
 
@@ -331,7 +331,7 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
 
 def stored_features(df: DataFrame, text: str = "text") -> DataFrame:
     """media_features(with_media(df)) in one pass through Python: each text is stored, and its features come from the stored bytes."""
-    small_batches(df.sparkSession, 200)
+    bounded_batches(df.sparkSession)
     new = [("n_bytes", T.LongType()), ("media", T.BinaryType()), *_READ]
     keep = [f for f in df.schema.fields if f.name != text and f.name not in dict(new)]
     schema = T.StructType([*keep, *(T.StructField(*x) for x in new)])

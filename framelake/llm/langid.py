@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .runtime import checkpoint, small_batches
+from .runtime import bounded_batches, checkpoint
 
 #: Rows of each language that the model is fitted on; languages at most; trigram buckets.
 SAMPLE_ROWS, MOST_LANGUAGES, BUCKETS = 500, 64, 1 << 15
@@ -65,7 +65,7 @@ def fit(labelled: DataFrame, text: str, label: str, id: str, rows: int = SAMPLE_
 
     Which rows: those with the smallest hashes of their id. Counting runs on the executors; labels x BUCKETS counts at most reach the driver. Null labels are passed over.
     """
-    small_batches(labelled.sparkSession)
+    bounded_batches(labelled.sparkSession)
     counts = {r[label]: r["n"] for r in labelled.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(most).collect()}
     if not counts:
         return Model(["und"], np.zeros((1, BUCKETS)))
@@ -105,7 +105,7 @@ def _text_scores(df: DataFrame, model: Model, text: str) -> DataFrame:
             keep = [i for i, x in enumerate(batch.schema.names) if x != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), made, pa.array([letters(t) for t in texts], pa.float64())], schema.names)
 
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

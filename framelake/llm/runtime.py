@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Rows of an Arrow batch that reaches Python. Texts may be long, so batches are kept small.
-ARROW_ROWS = 1000
+#: Bytes of an Arrow batch that reaches Python, the same for every operator.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,11 +34,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lowers the rows of an Arrow batch for Python stages over whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch for Python stages over whole texts (a batch has a row at least)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -88,3 +86,7 @@ def numbered(df: DataFrame, group: str, order: list, out: str, bucket_rows: int
         .withColumn(out, (F.col("__start") + F.col("__row")).cast("long"))
         .drop("__g", "__b", "__start", "__row", "__bucket")
     )
+
+
+def small_batches(spark: SparkSession, rows: int = 0) -> None:
+    bounded_batches(spark)

@@ -7,6 +7,10 @@ whose counts differ beyond the radius is skipped, every other is compared by exc
 over TILE_ROWS rows are dealt over several tasks: their rows are cut by population count and a hash into parts of
 about TILE_ROWS, and each pair of parts within the radius is a task of its own. Each task returns no more links
 than it has rows (a spanning forest), so a group of n copies gives O(n) rows, not n squared.
+
+similar_documents() links texts by the exact Jaccard similarity of their sets of shingles. 64 bits can't bound that, so its cells are
+shingles in both sets' prefixes, and its fingerprints are parity sketches, a bit a shingle: sets that are similar enough differ
+in few bits for certain, so exclusive-or and bit counts lose no pair, and what they leave is decided by the sets.
 """
 
 from __future__ import annotations
@@ -22,18 +26,17 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .components import connected_components, roots
-from .runtime import checkpoint, small_batches, with_field
+from .runtime import bounded_batches, checkpoint, with_field
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 TILE, TILE_ROWS = 256, 4096
-#: For similarity of shingle sets: words of a shingle, least similarity, bits of a wide fingerprint.
-SIMILAR_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, 512
-#: Texts of the sample that tells common shingles, and these at most; slack of bounds in doubles.
-SAMPLE_TEXTS, COMMON, _EPS = 4_000, 20_000, 1e-9
-#: Nodes of a cell up to which all its pairs are looked at at once; a sketch's counts: least, hashes a count; rows that are broadcast at most.
-LARGE_CELL, SKETCH, SKETCH_HASHES, FEW_ROWS = 64, 64, 6, 1_000_000
+#: For similarity of shingle sets: words of a shingle, least similarity.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: The sample that tells common shingles: texts at least, one text in so many, shingles counted at once; common ones at most; slack of bounds in doubles.
+SAMPLE_TEXTS, SAMPLE_EVERY, SAMPLE_SHINGLES, COMMON, _EPS = 4_000, 16, 2_000_000, 400_000, 1e-9
+#: Nodes of a cell up to which all its pairs are looked at at once; rows of cells held at once; bits of a sketch; pairs held for a forest; rows that are broadcast at most.
+LARGE_CELL, MEET_ROWS, MOST_PARTS, BEST_PAIRS, FEW_ROWS = 64, 100_000, 1 << 16, 1_000_000, 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_ODD = np.arange(1, 2 * (WIDE_BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -63,7 +66,7 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = SHINGLE, out: s
     repeats included, are joined by one blank and hashed by XXH64 with seed 42; a bit is set if set in over half of
     the hashes. With fewer words than that the whole sequence is one shingle; no word (null, empty): 0.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     schema = with_field(T.StructType([f for f in df.schema.fields if f.name != text]), out, T.LongType())
 
     def run(batches):
@@ -97,9 +100,8 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int):
                 yield oa[x], ob[y]
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices into a, then b) of a spanning forest of the pairs within the radius and, where wide
-    fingerprints (rows of a, then b) are given, within wide_radius by these.
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices into a, then b) of a spanning forest of the pairs within the radius.
 
     Each tile's pairs are joined as they come; pairs that are joined already aren't looked at, so memory is that of one tile pair.
     """
@@ -109,18 +111,20 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, wide: np.ndarray |
         j = j + shift
         apart = label[i] != label[j]
         i, j = i[apart], j[apart]
-        if wide is not None and len(i):
-            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_radius
-            i, j = i[near], j[near]
         if len(i):
-            used, at = np.unique(np.concatenate((label[i], label[j])), return_inverse=True)
-            to = np.arange(n)
-            to[used] = used[roots(len(used), at[: len(i)], at[len(i) :])]
-            label = to[label]
+            label = _merged(label, i, j)
     child = np.nonzero(label != np.arange(n))[0]
     return child, label[child]
 
 
+def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the nodes i and j have been joined."""
+    used, at = np.unique(np.concatenate((label[i], label[j])), return_inverse=True)
+    to = np.arange(len(label))
+    to[used] = used[roots(len(used), at[: len(i)], at[len(i) :])]
+    return to[label]
+
+
 def _small_cells(cell: np.ndarray, fp: np.ndarray, radius: int):
     """Index pairs within runs of equal cell (ordered by it): neighbours at distance 1, 2, ... in the whole array at once."""
     i, j, d = [], [], 1
@@ -133,39 +137,16 @@ def _small_cells(cell: np.ndarray, fp: np.ndarray, radius: int):
     return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, np.int64),) * 2
 
 
-def _links(radius: int, wide_radius: int):
-    """(task, side, fp, node, wide) ordered by task and side -> links u, v between nodes. side 1 rows are compared with side 0 rows,
-    or, if all rows are on side 0, these with one another. wide may be null."""
-
-    def of(task, side, fp, node, wide):
-        u, v = [], []
-        starts = np.concatenate(([0], np.nonzero(np.diff(task))[0] + 1, [len(task)]))
-        sizes = np.diff(starts)
-        tiny = np.repeat((sizes <= 32) & (np.maximum.reduceat(side, starts[:-1]) == 0), sizes)
-        if tiny.any():
-            at = np.nonzero(tiny)[0]
-            i, j = (at[x] for x in _small_cells(task[tiny], fp[tiny], radius))
-            if wide is not None:
-                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_radius
-                i, j = i[near], j[near]
-            u.append(node[i])
-            v.append(node[j])
-        for s, e in zip(starts[:-1], starts[1:]):
-            if not tiny[s]:
-                cut = s + int(np.searchsorted(side[s:e], 1))
-                i, j = forest(fp[s:cut], fp[cut:e] if cut < e else None, radius, None if wide is None else wide[s:e], wide_radius)
-                u.append(node[s + i])
-                v.append(node[s + j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], ["u", "v"])
-
-    def columns(batch):
-        out = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
-        has = len(batch) and batch.column(4).null_count == 0
-        raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(batch), -1) if has else None
-        return [out[0], out[1], out[2].view(np.uint64), out[3], raw]
+def _by_task(of, columns, schema: list[str]):
+    """A function of batches ordered by task (column 0), for mapInArrow: of(columns' arrays) gets whole tasks, several at once, and
+    returns arrays u and v."""
 
     def run(batches):
         held = []  # the pieces of the last task, which may go on in the next batch
+
+        def done(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in of(*rows)], schema)
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -173,68 +154,83 @@ def _links(radius: int, wide_radius: int):
             if held and held[0][0][-1] == rows[0][0] == rows[0][-1]:
                 held.append(rows)
                 continue
-            rows = [None if x[0] is None else np.concatenate(x) for x in zip(*held, rows)]
+            rows = [np.concatenate(x) for x in zip(*held, rows)]
             last = int(np.nonzero(rows[0] != rows[0][-1])[0].max(initial=-1)) + 1
-            held = [[None if x is None else x[last:] for x in rows]]
+            held = [[x[last:] for x in rows]]
             if last:
-                yield of(*(None if x is None else x[:last] for x in rows))
+                yield done([x[:last] for x in rows])
         if held:
-            yield of(*(None if x[0] is None else np.concatenate(x) for x in zip(*held)))
+            yield done([np.concatenate(x) for x in zip(*held)])
 
     return run
 
 
+def _links(radius: int):
+    """(task, side, fp) ordered by task and side -> links u, v between fingerprints. Rows of side 1 are compared with those of side 0,
+    or, if all rows are on side 0, these with one another."""
+
+    def of(task, side, fp):
+        u, v = [], []
+        starts = np.concatenate(([0], np.nonzero(np.diff(task))[0] + 1, [len(task)]))
+        sizes = np.diff(starts)
+        tiny = np.repeat((sizes <= 32) & (np.maximum.reduceat(side, starts[:-1]) == 0), sizes)
+        if tiny.any():
+            at = np.nonzero(tiny)[0]
+            i, j = (at[x] for x in _small_cells(task[tiny], fp[tiny], radius))
+            u.append(fp[i])
+            v.append(fp[j])
+        for s, e in zip(starts[:-1], starts[1:]):
+            if not tiny[s]:
+                cut = s + int(np.searchsorted(side[s:e], 1))
+                i, j = forest(fp[s:cut], fp[cut:e] if cut < e else None, radius)
+                u.append(fp[s + i])
+                v.append(fp[s + j])
+        return [(np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64) for x in (u, v)]
+
+    def columns(batch):
+        out = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+        return [out[0], out[1], out[2].view(np.uint64)]
+
+    return _by_task(of, columns, ["u", "v"])
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of distinct fingerprints (fp: long) within radius bits.
 
-    Nulls are ignored. Every returned link is one within the radius, but for those a forest puts to its root.
+    Nulls are ignored. Every returned link is one within the radius, but for those a forest puts to its root. fps must be cheap to
+    read several times.
     """
-    rows = fps.where("fp IS NOT NULL").select("fp").distinct().select("fp", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("wide"))
-    return _node_links(rows, radius, 0, tile_rows)
-
-
-def _node_links(rows: DataFrame, radius: int, wide_radius: int, tile_rows: int) -> DataFrame:
-    """Links between nodes of rows (fp, node, wide); rows must be cheap to read several times."""
     if not 0 <= radius <= 15:
         raise ValueError("the radius must be from 0 to 15")
     bands = radius + 1
     edges = [64 * i // bands for i in range(bands + 1)]
     cells = F.array(*(F.lit(i).cast("long") * F.lit(1 << 56) + F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << e - s) - 1).cast("long")) for i, (s, e) in enumerate(zip(edges, edges[1:])))) if radius else F.array(F.lit(0).cast("long"))
-    rows = rows.withColumn("pop", F.bit_count("fp")).withColumn("cell", F.explode(cells))
+    rows = fps.where("fp IS NOT NULL").select("fp").distinct().withColumn("pop", F.bit_count("fp")).withColumn("cell", F.explode(cells))
+    dealt = _dealt(rows, "fp", lambda high, low: low - high <= radius, tile_rows).repartition("task").sortWithinPartitions("task", "side")
+    return dealt.select("task", "side", "fp").mapInArrow(_links(radius), "u long, v long").distinct()
+
+
+def _dealt(rows: DataFrame, node: str, near, tile_rows: int) -> DataFrame:
+    """rows (cell, pop, ...) with a task and side for each comparison a row takes part in.
+
+    A cell of up to tile_rows rows is one task, all on side 0. A larger one is cut along pop (and by a hash of node where rows
+    agree in pop) into parts of about that many; each part is a task, and each pair of parts one with its parts on sides 0 and 1, if
+    near(high, low): a row whose pop is high can match one that has low, and high <= low where the parts don't overlap.
+    """
     counts = checkpoint(rows.groupBy("cell", "pop").agg(F.count(F.lit(1)).alias("n")))
-    # a cell over tile_rows is cut along its population counts (65 at most) into parts of about that many rows
     upto = F.sum("n").over(W.partitionBy("cell").orderBy("pop"))
     cut = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(W.partitionBy("cell"))).where(F.col("all") > tile_rows)
     parts = cut.select("cell", "pop", F.floor((F.col("upto") - F.col("n")) / tile_rows).cast("int").alias("first"), F.floor((F.col("upto") - 1) / tile_rows).cast("int").alias("last"))
     tiles = parts.select("cell", "pop", F.explode(F.sequence("first", "last")).alias("part")).groupBy("cell", "part").agg(F.min("pop").alias("low"), F.max("pop").alias("high"))
     other = tiles.select("cell", F.col("part").alias("part2"), F.col("low").alias("low2"))
-    pairs = tiles.join(other, "cell").where((F.col("part") <= F.col("part2")) & (F.col("low2") - F.col("high") <= radius))
+    pairs = tiles.join(other, "cell").where((F.col("part") <= F.col("part2")) & near(F.col("high"), F.col("low2")))
     task = F.xxhash64("cell", "part", "part2").alias("task")
     sides = pairs.select("cell", "part", task, F.lit(0).alias("side")).union(pairs.where("part < part2").select("cell", "part2", task, F.lit(1)))
     marked = rows.join(parts, ["cell", "pop"], "left")
-    part = (F.col("first") + F.pmod(F.xxhash64("node"), F.col("last") - F.col("first") + 1)).cast("int")
-    hot = marked.where("first IS NOT NULL").withColumn("part", part).join(sides, ["cell", "part"]).select("task", "side", "fp", "node", "wide")
-    cold = marked.where("first IS NULL").select(F.col("cell").alias("task"), F.lit(0).alias("side"), "fp", "node", "wide")
-    dealt = cold.union(hot).repartition("task").sortWithinPartitions("task", "side")
-    return dealt.mapInArrow(_links(radius, wide_radius), "u long, v long").distinct()
-
-
-def wide_fingerprint(text: str | None, words: int) -> bytes:
-    """WIDE_BITS of SimHash over shingles of `words` words, from their XXH64 hashes and mixes of these."""
-    from xxhash import xxh64_intdigest
-
-    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    k = min(words, len(found))
-    joined, sizes = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    whole, starts, ends = memoryview(joined), (ends - sizes)[: len(found) - k + 1].tolist() if found else [], ends[max(k - 1, 0) :].tolist()
-    hashes = np.fromiter({xxh64_intdigest(whole[s:e], SEED) for s, e in zip(starts, ends)}, np.uint64)
-    counts = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        h = hashes[at : at + 8192, None] * _ODD
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        counts += np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+    part = (F.col("first") + F.pmod(F.xxhash64(node), F.col("last") - F.col("first") + 1)).cast("int")
+    hot = marked.where("first IS NOT NULL").withColumn("part", part).join(sides, ["cell", "part"]).select("task", "side", *rows.columns)
+    cold = marked.where("first IS NULL").select(F.col("cell").alias("task"), F.lit(0).alias("side"), *rows.columns)
+    return cold.union(hot)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -260,38 +256,67 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
     n = len(found)
     if n < similarity * (n + 1) - _EPS:
         return found[:0]
-    order = np.lexsort((found, np.isin(found, common, assume_unique=True)))
-    return found[order[: n - math.ceil(similarity * n - _EPS) + 1]]
+    at = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
+    last = common[at] == found if len(common) else np.zeros(n, bool)
+    return np.concatenate((found[~last], found[last]))[: n - math.ceil(similarity * n - _EPS) + 1]
 
 
 def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many texts of a sample share, COMMON at most. They only come last in prefix()'s order: results don't depend on them."""
-    share = min(1.0, SAMPLE_TEXTS / max(1, own.count()))
-    sample = own.where(F.pmod("__hash", F.lit(1 << 20)) < share * (1 << 20)).select("__hash", "__text")
+    """Shingles that several texts of a sample (one text in SAMPLE_EVERY, and SAMPLE_TEXTS if the table has as many) share, the COMMON
+    most frequent at most. They only come last in prefix()'s order: results don't depend on them."""
+    share = min(1.0, max(1 / SAMPLE_EVERY, SAMPLE_TEXTS / max(1, own.count())))
+    sample = own.where(F.pmod(F.shiftrightunsigned("__hash", 20), F.lit(1 << 20)) < share * (1 << 20)).select("__hash", "__text")
 
     def run(batches):
-        for batch in batches:
-            sets = [shingle_set(x, words) for x in dict(zip(*(c.to_pylist() for c in batch.columns))).values()]
-            found, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        held, size = [], 0
 
-    counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3")
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
+        def counted():
+            found, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
 
+        for batch in batches:
+            for x in dict(zip(*(c.to_pylist() for c in batch.columns))).values():
+                held.append(shingle_set(x, words))
+                size += len(held[-1])
+            if size > SAMPLE_SHINGLES:
+                yield counted()
+                held, size = [], 0
+        yield counted()
+
+    counts = checkpoint(sample.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3"))
+    least, total = 3, 0
+    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["n"]):
+        total += r["k"]
+        if total > COMMON:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).select("h").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def parity_sketch(found: np.ndarray) -> bytes:
+    """A bit for each of 64 * 2^k parts (at least one a hash, MOST_PARTS at most) that the hashes' low bits deal them to: whether the part has an odd number.
+
+    Each hash that only one of two sets has turns one bit, so sketches differ in no more bits than sets do in hashes. The halves of a
+    sketch, exclusive-or, are the sketch of half as many parts.
+    """
+    parts = 64
+    while parts < min(len(found), MOST_PARTS):
+        parts *= 2
+    odd = np.bincount((found & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def sketch(found: np.ndarray) -> bytes:
-    """How many hashes of the set are in each of SKETCH * 4^k equal parts of their range. Sets differ in as many at least as these counts do."""
-    bits = 6
-    while SKETCH_HASHES << bits < len(found) and bits < 12:
-        bits += 2
-    return np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
 
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
-def _sketched_difference(a: bytes, b: bytes) -> int:
-    """Sum of the differences of two sketches' counts; the finer one's are added up to those of the other."""
-    a, b = (np.frombuffer(x, np.uint16).astype(np.int64) for x in (a, b))
-    least = min(len(a), len(b))
-    return int(np.abs(a.reshape(least, -1).sum(axis=1) - b.reshape(least, -1).sum(axis=1)).sum())
+
+def _reach(n, m, similarity: float):
+    """The most hashes that sets of n and m hashes of that similarity differ in."""
+    return np.floor((1 - similarity) / (1 + similarity) * (n + m) + _EPS)
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -304,9 +329,16 @@ def _may_be_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Data
 
     def run(batches):
         for batch in batches:
-            u, v, n, m, a, b = (c.to_pylist() for c in batch.columns)
-            near = [_sketched_difference(x, y) <= (1 - similarity) / (1 + similarity) * (i + j) + _EPS for x, y, i, j in zip(a, b, n, m)]
-            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            a, b = (batch.column(i).to_pylist() for i in (4, 5))
+            wide = np.array([len(x) << 32 | len(y) for x, y in zip(a, b)], np.int64)
+            near = np.zeros(len(batch), bool)
+            for w in np.unique(wide):
+                at = np.nonzero(wide == w)[0]
+                x, y = (np.frombuffer(b"".join([z[i] for i in at]), np.uint64).reshape(len(at), -1) for z in (a, b))
+                words = min(x.shape[1], y.shape[1])
+                near[at] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(axis=1) <= _reach(n[at], m[at], similarity)
+            yield batch.select(["u", "v"]).filter(pa.array(near))
 
     of = lambda x, n, sketch: nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("sketch").alias(sketch))
     joined = pairs.join(of("u", "n", "a"), "u").join(of("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
@@ -315,11 +347,17 @@ def _may_be_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Data
 
 def _meet(similarity: float):
     """(token, node, n, pos), ordered by token, n and node -> pairs (token null, u, v) that sizes and places in the prefixes allow:
-    in cells up to LARGE_CELL all of them, in larger ones neighbours only; these cells' rows (v null) come as well."""
+    in cells up to LARGE_CELL all of them, in larger ones neighbours only; these cells' rows (v null) come as well.
+
+    A cell that goes on over MEET_ROWS rows counts as large in each of its pieces, which overlap by a row.
+    """
 
-    def of(token, node, n, pos):
+    def of(token, node, n, pos, cut):
         starts = np.concatenate(([0], np.nonzero(np.diff(token))[0] + 1, [len(token)]))
-        large = np.repeat(np.diff(starts) > LARGE_CELL, np.diff(starts))
+        many = np.diff(starts) > LARGE_CELL
+        many[0] |= cut[0]
+        many[-1] |= cut[1]
+        large = np.repeat(many, np.diff(starts))
         u, v, at, d = [], [], np.arange(len(token)), 1
         while len(at := at[at + d < len(token)]):
             at = at[(token[at] == token[at + d]) & (n[at] >= similarity * n[at + d] - _EPS)]  # ordered by n: those after are longer still
@@ -331,6 +369,7 @@ def _meet(similarity: float):
             v.append(np.maximum(node[at[hit]], node[to[hit]]))
             d += 1
         pairs = np.unique(np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v)]), axis=1)
+        large[: cut[0]] = False  # the overlapping row has come before
         k, rows = pairs.shape[1], np.nonzero(large)[0]
         null = np.arange(k + len(rows)) < k
         put = lambda x, y, mask=None: pa.array(np.concatenate((x, y)).astype(np.int64), mask=mask)
@@ -338,29 +377,100 @@ def _meet(similarity: float):
         return pa.RecordBatch.from_arrays([put(zero, token[rows], null), put(pairs[0], node[rows]), put(pairs[1], none, ~null), put(zero, n[rows]), put(zero, pos[rows])], ["token", "u", "v", "n", "pos"])
 
     def run(batches):
-        held, size = [], 0  # rows whose last cell may go on
+        held, size, before = [], 0, 0  # rows whose last cell may go on; before: the first of them has come in the last piece
         for batch in batches:
             if not len(batch):
                 continue
             held.append([c.to_numpy().astype(np.int64) for c in batch.columns])
             size += len(batch)
-            if size < 100_000:
+            if size < MEET_ROWS:
                 continue
             rows = [np.concatenate(x) for x in zip(*held)]
             last = int(np.nonzero(rows[0] != rows[0][-1])[0].max(initial=-1)) + 1
             if last:
-                yield of(*(x[:last] for x in rows))
-            held = [[x[last:] for x in rows]]
-            size = 0
+                yield of(*(x[:last] for x in rows), (before, 0))
+                held, size, before = [[x[last:] for x in rows]], size - last, 0
+            else:
+                yield of(*rows, (before, 1))
+                held, size, before = [[x[-1:] for x in rows]], 1, 1
         if held:
-            yield of(*(np.concatenate(x) for x in zip(*held)))
+            yield of(*(np.concatenate(x) for x in zip(*held)), (before, 0))
 
     return run
 
 
+def _tiled(similarity: float, best: bool):
+    """(task, side, node, root, n, pos, sketch) ordered by task, side and n -> pairs u, v of nodes of different roots that sizes,
+    places and sketches allow; best: of each task only a forest that joins its roots, by the pairs with the fewest differing bits.
+
+    Sets are compared tile by tile, by exclusive-or and bit counts of their sketches; tile pairs whose sets' sizes (the
+    population counts of the whole sets) differ beyond the radius are skipped.
+    """
+
+    def task_pairs(a, b):
+        u, v, bits = [], [], []
+        same = b is None
+        b = a if same else b
+        for i in range(0, len(a[0]), TILE):
+            x = [z[i : i + TILE] for z in a]
+            for j in range(i if same else 0, len(b[0]), TILE):
+                y = [z[j : j + TILE] for z in b]
+                if y[2].min() * similarity > x[2].max() + _EPS or x[2].min() * similarity > y[2].max() + _EPS:
+                    continue
+                near = (x[1][:, None] != y[1][None, :]) & (np.minimum((x[2] - x[3])[:, None], (y[2] - y[3])[None, :]) >= similarity / (1 + similarity) * (x[2][:, None] + y[2][None, :]) - _EPS)
+                p, q = np.nonzero(np.triu(near, 1) if same and i == j else near)
+                if not len(p):
+                    continue
+                words = min(len(z) for z in (*x[4], *y[4])) // 8
+                s, t = (np.stack([_folded(np.frombuffer(k, np.uint64)[None, :], words)[0] for k in z[4]]) for z in (x, y))
+                for at in range(0, len(p), 1 << 14):
+                    pp, qq = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
+                    differ = np.bitwise_count(s[pp] ^ t[qq]).sum(axis=1, dtype=np.int64)
+                    hit = differ <= _reach(x[2][pp], y[2][qq], similarity)
+                    u.append(x[0][pp[hit]])
+                    v.append(y[0][qq[hit]])
+                    bits.append(np.stack((differ[hit], x[1][pp[hit]], y[1][qq[hit]])))
+                    if best and sum(map(len, u)) > BEST_PAIRS:
+                        u, v, bits = ([z] for z in lightest(u, v, bits))
+        return lightest(u, v, bits) if best and u else (u, v, bits)
+
+    def lightest(u, v, bits):
+        """A spanning forest of the roots by the pairs with the fewest differing bits (Boruvka's steps)."""
+        u, v, bits = np.concatenate(u), np.concatenate(v), np.concatenate(bits, axis=1)
+        names, ends = np.unique(bits[1:], return_inverse=True)
+        left, right = ends.reshape(2, -1)
+        rank = np.argsort(np.argsort(bits[0], kind="stable"), kind="stable")  # all different, so no cycle arises
+        label, used = np.arange(len(names)), np.zeros(len(u), bool)
+        while len(open_ := np.nonzero(label[left] != label[right])[0]):
+            first = np.full(len(names), len(u))
+            for side in (left, right):
+                np.minimum.at(first, label[side[open_]], rank[open_])
+            chosen = np.isin(rank, first[first < len(u)])
+            used |= chosen
+            label = _merged(label, left[chosen], right[chosen])
+        return u[used], v[used], bits[:, used]
+
+    def of(task, side, node, root, n, pos, sketch):
+        out = [[], []]
+        starts = np.concatenate(([0], np.nonzero(np.diff(task))[0] + 1, [len(task)]))
+        for s, e in zip(starts[:-1], starts[1:]):
+            cut, rows = int(np.searchsorted(side[s:e], 1)), [x[s:e] for x in (node, root, n, pos, sketch)]
+            u, v, _ = task_pairs([x[:cut] for x in rows], [x[cut:] for x in rows] if cut < e - s else None)
+            for z, w in zip(out, (u, v)):
+                z += w if isinstance(w, list) else [w]
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        return [*np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)]
+
+    def columns(batch):
+        sketch = np.empty(len(batch), object)
+        sketch[:] = batch.column(6).to_pylist()
+        return [*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)), sketch]
+
+    return _by_task(of, columns, ["u", "v"])
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of pairs (u, v: nodes) whose shingle sets, made again from the texts, have that Jaccard similarity."""
-    pairs = _may_be_alike(pairs, nodes, similarity)
     if pairs.isEmpty():
         return pairs
     wanted = checkpoint(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("__h")))
@@ -384,16 +494,17 @@ def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame, words: int, simil
     return checkpoint(joined.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"))
 
 
-def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, text_hash, component, component_id), one row for each row of df: texts whose sets of `words`-word shingles have at
     least that Jaccard similarity are linked, and only these; component_id is the smallest id of those linked.
 
     Every such pair is found: sets that equal are one node, others meet in a cell, that of a shingle in the prefix() of both, and
     sets are compared themselves, unless sizes, places in the prefixes or sketches rule that out. In cells over LARGE_CELL nodes each is
-    compared with its neighbour first; then, where they aren't one component by that, all pairs between components. Nulls, empty
-    texts and repeated rows are as in near_duplicates(): texts without a word are equal.
+    compared with its neighbour first; those that aren't one component by that are compared tile by tile, first by
+    the likeliest pairs that would make them one, then by all that are left between components. Nulls, empty texts and
+    repeated rows are as in near_duplicates(): texts without a word are equal.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     own = df.select(F.col(id).alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
     common = _common_shingles(own, words)
 
@@ -406,7 +517,7 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
                 found = shingle_set(x, words)
                 keys.append(xxh128_digest(found.tobytes()))
                 sizes.append(len(found))
-                sketches.append(sketch(found))
+                sketches.append(parity_sketch(found))
                 heads.append(prefix(found, common, similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, heads)])
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
@@ -421,17 +532,23 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
     cells = found.join(_few(nodes.select(F.col("node").alias("__n"))), F.col("row") == F.col("__n"), "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("head").alias("pos", "token"))
     cells = cells.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "node")
     met = checkpoint(cells.mapInArrow(_meet(similarity), "token long, u long, v long, n long, pos long"))
-    tried = checkpoint(met.where("token IS NULL").select("u", "v").distinct())
+    tried = _may_be_alike(met.where("token IS NULL").select("u", "v").distinct(), nodes, similarity)
     linked = _alike(tried, nodes, own, words, similarity)
     root = connected_components(linked)
-    rows = met.where("token IS NOT NULL").select("token", F.col("u").alias("node"), "n", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rows = checkpoint(rows.join(mixed, "token", "left_semi"))
-    other = rows.select("token", *(F.col(x).alias(f"__{x}") for x in ("node", "n", "pos", "root")))
-    sizes = (F.least("n", "__n") >= similarity * F.greatest("n", "__n") - _EPS) & (F.least(F.col("n") - F.col("pos"), F.col("__n") - F.col("__pos")) >= similarity / (1 + similarity) * (F.col("n") + F.col("__n")) - _EPS)
-    rest = rows.join(other, "token").where((F.col("node") < F.col("__node")) & (F.col("root") != F.col("__root")) & sizes)
-    rest = checkpoint(rest.select(F.col("node").alias("u"), F.col("__node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
-    root = connected_components(linked.union(_alike(rest, nodes, own, words, similarity)))
+    large = met.where("token IS NOT NULL").select("token", F.col("u").alias("node"), "n", "pos")
+    if not large.isEmpty():
+        of = lambda cells: cells.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = of(large)
+        mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        kept = checkpoint(large.join(mixed, "token", "left_semi").join(nodes.select("node", "sketch"), "node"))
+        for best in (True, False):
+            rows = of(kept).select(F.col("token").alias("cell"), F.col("n").alias("pop"), "node", "root", "pos", "sketch")
+            dealt = _dealt(rows, "node", lambda high, low: high >= similarity * low - _EPS, tile_rows).repartition("task").sortWithinPartitions("task", "side", "pop")
+            pairs = dealt.select("task", "side", "node", "root", F.col("pop").alias("n"), "pos", "sketch").mapInArrow(_tiled(similarity, best), "u long, v long")
+            pairs = checkpoint(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
+            linked, tried = _alike(pairs, nodes, own, words, similarity), tried.union(pairs)
+            if not linked.isEmpty():
+                root = connected_components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(linked))
     joined = nodes.select("key", "least", "node").join(root, "node", "left").select("key", "least", F.coalesce("root", "node").alias("component"))
     low = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     member = joined.select("key", "component").join(low, "component")
@@ -459,12 +576,18 @@ def kept(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIM
     """df without near-duplicates by similar_documents(): of each component one row stays, that with the smallest id.
 
     A null id comes after all others; of rows with that id the one with the smallest hash of its text stays, and of
-    rows that agree in both (copies) any one. Components don't share rows, whatever their ids.
+    rows that agree in both (copies) any one. Components don't share rows, whatever their ids. Other columns pass through.
     """
     found = similar_documents(df, id, text, words, similarity)
-    least = found.groupBy("component").agg(F.min(F.struct(F.col(id).isNull().alias("nameless"), F.col(id).alias("id"), "text_hash")).alias("__s"))
-    stay = least.select(F.col("__s.id").alias("__stay"), F.col("__s.text_hash").alias("__stay_hash"))
-    # rows of an id and a text are in one component; the keys let them move once for the join and the choice of one
+    # rows of an id and a text are in one component
+    each = checkpoint(found.groupBy("component", id, "text_hash").agg(F.count(F.lit(1)).alias("copies")))
+    least = each.groupBy("component").agg(F.min(F.struct(F.col(id).isNull().alias("nameless"), F.col(id).alias("id"), "text_hash")).alias("__s"))
+    stays = (F.col(id).eqNullSafe(F.col("__s.id"))) & (F.col("text_hash") == F.col("__s.text_hash"))
+    # what goes, and what stays once of several copies, is less than what just stays: texts needn't move to be told apart
+    marks = checkpoint(each.join(least, "component").where(~stays | (F.col("copies") > 1)).select(F.col(id).alias("__gone"), F.col("text_hash").alias("__gone_hash"), stays.alias("__once")))
     rows = df.withColumn("__hash", F.xxhash64(text))
-    rows = rows.join(stay, F.col(id).eqNullSafe(F.col("__stay")) & (F.col("__hash") == F.col("__stay_hash")), "left_semi")
-    return rows.dropDuplicates([id, "__hash"]).select(*df.columns)
+    rows = rows.join(_few(marks), F.col(id).eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__gone_hash")), "left")
+    alone = rows.where("__once IS NULL").select(*df.columns)
+    if marks.where("__once").isEmpty():
+        return alone
+    return alone.union(rows.where("__once").dropDuplicates([id, "__hash"]).select(*df.columns))

@@ -57,7 +57,10 @@ def test_bpe_is_tiktoken(docs, none):
     assert len(got) == len(rows_of())
     for r in got:
         assert r["ids"] == own.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
-    assert bpe.encode(none, ranks, pattern).count() == 0
+    assert bpe.encode(none, ranks, pattern).count() == 0 and bpe.round_trip(none, ranks, pattern).count() == 0
+    both = bpe.round_trip(docs, ranks, pattern)
+    assert "text" not in both.columns
+    assert Counter((tuple(r["ids"]), bytes(r["decoded"])) for r in both.collect()) == Counter((tuple(r["ids"]), bytes(r["decoded"])) for r in got)
     counted = Counter(r["n_tokens"] for r in bpe.count_tokens(docs, ranks, pattern).collect())
     assert counted == Counter(len(r["ids"]) for r in got)
 
@@ -236,6 +239,38 @@ def test_similar_documents_are_those_of_exact_similarity(spark):
     assert got[6] == 5 and got[8] == 7 and 50 < len(set(want)) < len(texts) - 80
 
 
+def test_parity_sketches_never_differ_in_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    for n, m in ((5, 7), (64, 60), (300, 330), (1000, 4000), (70_000, 66_000)):
+        both = rng.integers(0, 2**63, min(n, m) // 2).astype(np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 2**63, k - len(both)).astype(np.uint64)))) for k in (n, m))
+        x, y = (np.frombuffer(simhash.parity_sketch(z), np.uint64)[None, :] for z in (a, b))
+        words = min(x.shape[1], y.shape[1])
+        x, y = simhash._folded(x, words), simhash._folded(y, words)
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) and simhash._folded(x, 1).shape == (1, 1)
+
+
+def test_large_cells_lose_no_link(spark, monkeypatch):
+    """A hub whose near copies aren't alike themselves, in cells cut over several tasks and pieces."""
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for k in range(150):  # edits far apart: each is like the hub, hardly any two are like one another
+        new = list(base)
+        for at in rnd.sample(range(0, 200, 6), 3):
+            new[at] = f"x{k}{at}"
+        texts.append(" ".join(new))
+    texts += [" ".join([*base[:60], *(f"o{k}{i}" for i in range(140))]) for k in range(100)]  # a shared passage only
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_components(texts)
+    assert len(set(want)) > 90
+    for rows, common in ((100_000, 400_000), (70, 0)):
+        monkeypatch.setattr(simhash, "MEET_ROWS", rows)
+        monkeypatch.setattr(simhash, "COMMON", common)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame, tile_rows=40).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_one_row_of_each_component_stays(spark):
     rnd = random.Random(9)
     texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(40)) for _ in range(12)]
