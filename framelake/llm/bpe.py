@@ -4,7 +4,7 @@ encode() takes the texts of an input partition block by block. The distinct word
 array; an inverted index leads from each pair of neighbouring tokens to its positions in all those words. Merges are
 applied in rank order to all their positions at once, and only the two neighbours of a merged pair change the index.
 Words repeat far more than texts, so what has been replayed is kept and the replay sees a frequent word once per worker
-(of CACHE_WORDS words held, the less used half goes). Merges never cross a word's border, so the
+(of CACHE_WORDS words or CACHE_CHARS characters held, the less used half goes, or all). Merges never cross a word's border, so the
 replay of a block gives the ids that one replay over the whole corpus would. There is no shuffle and no state
 between tasks: a lost executor costs its running tasks.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import hashlib
 import heapq
 from array import array
 from itertools import islice
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import small_batches, with_field
+from .runtime import bounded_batches, with_field
 
-#: Characters of a block, and words handled at once in a longer text.
-BLOCK_CHARS, BLOCK_WORDS, CACHE_WORDS = 1_000_000, 200_000, 200_000
+#: Characters of a block, and words handled at once in a longer text; words, and characters of them, that are held.
+BLOCK_CHARS, BLOCK_WORDS, CACHE_WORDS, CACHE_CHARS = 1_000_000, 200_000, 200_000, 4_000_000
 #: Places from which on one merge is done in arrays.
 WIDE = 24
 _SHIFT = 20
@@ -64,6 +65,7 @@ class MergeReplay:
     def forget(self) -> None:
         """Drops every word held."""
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.used, self.arrays = np.zeros(0, np.int64), (np.zeros(1, np.int64), np.zeros(0, np.int32))
 
     def thin(self) -> None:
@@ -74,7 +76,7 @@ class MergeReplay:
             bar *= 2
         words = np.array(list(self.at), object)[keep].tolist()
         sizes = starts[keep + 1] - starts[keep]
-        self.at = dict(zip(words, range(len(words))))
+        self.at, self.chars = dict(zip(words, range(len(words)))), sum(map(len, words))
         self.used, self.arrays = np.zeros(len(words), np.int64), (np.concatenate(([0], np.cumsum(sizes))), ids[gather(starts[keep], sizes)])
 
     def learn(self, words) -> None:
@@ -90,6 +92,7 @@ class MergeReplay:
         ids, by_merge = np.zeros(int(sizes.sum()), np.int32), np.repeat(whole < 0, sizes)
         ids[by_merge], ids[~by_merge] = merged, whole[whole >= 0]
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        self.chars += sum(map(len, new))
         starts, before = self.arrays
         self.arrays = np.concatenate((starts, starts[-1] + np.cumsum(sizes))), np.concatenate((before, ids))
         self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
@@ -212,8 +215,10 @@ class MergeReplay:
         sizes = starts[which + 1] - starts[which]
         flat = ids[gather(starts[which], sizes)]
         self.used += np.bincount(which, minlength=len(self.used))
-        if len(self.at) > CACHE_WORDS:
+        if len(self.at) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.thin()
+            if self.chars > CACHE_CHARS // 2:
+                self.forget()
         return flat, sizes
 
     def encode(self, texts: list[str | None]):
@@ -252,84 +257,119 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _ready: dict = {}
 
 
-def _replay_of(shared, pattern: str) -> MergeReplay:
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = MergeReplay(shared.value, pattern)
-    return _ready[key]
+class _Vocabulary:
+    """Ranks as a broadcast (its size is fixed by the vocabulary's file, some 50,000 tokens, not by the data), told apart by content."""
 
+    def __init__(self, df: DataFrame, ranks: dict[bytes, int], pattern: str = ""):
+        known = hashlib.sha256(b"".join(b"%d %d " % (len(t), r) + t for t, r in sorted(ranks.items())))
+        self.shared, self.key = df.sparkSession.sparkContext.broadcast(ranks), (known.hexdigest(), pattern)
 
-def _broadcast(df: DataFrame, ranks: dict[bytes, int]):
-    """The vocabulary's size is fixed by its file (some 50,000 tokens), not by the data."""
-    return df.sparkSession.sparkContext.broadcast(ranks)
+    def ready(self, kind):
+        """The worker's own kind(ranks, pattern): one of each kind is held, that of the last vocabulary."""
+        if _ready.get(kind, (None,))[0] != self.key:
+            _ready[kind] = self.key, kind(self.shared.value, self.key[1])
+        return _ready[kind][1]
 
 
-def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    keep = [i for i, x in enumerate(batch.schema.names) if x != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], [*(batch.schema.names[i] for i in keep), name])
+class Decoder:
+    """Bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str = ""):
+        tokens = sorted(ranks.items(), key=lambda x: x[1])
+        self.sizes = np.zeros(tokens[-1][1] + 2, np.int64)
+        for raw, rank in tokens:
+            self.sizes[rank] = len(raw)
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(raw for raw, _ in tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
+        """The bytes of each value, which has so many of the ids."""
+        ids = ids.astype(np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))[np.concatenate(([0], np.cumsum(counts)))]
+        joined = self.flat[gather(self.starts[ids], self.sizes[ids])].tobytes()
+        return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(joined)])
+
+
+def _replaced(batch: pa.RecordBatch, *new: tuple[str, pa.Array], drop: str | None = None) -> pa.RecordBatch:
+    gone = {name for name, _ in new} | {drop}
+    keep = [i for i, x in enumerate(batch.schema.names) if x not in gone]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(x for _, x in new)], [*(batch.schema.names[i] for i in keep), *(x for x, _ in new)])
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds out: the ids (array of int) of each whole text, as the tiktoken library's encode_ordinary gives them.
 
     A null or empty text has no ids (an empty array). Rows are neither dropped nor merged; repeated rows repeat
-    their ids. A column of the name out is replaced; other columns pass through, null or not.
+    their ids. A column of the name out is replaced; other columns pass through, null or not. An empty table has no rows.
     """
-    small_batches(df.sparkSession)
-    shared = _broadcast(df, ranks)
+    bounded_batches(df.sparkSession)
+    own = _Vocabulary(df, ranks, pattern)
 
     def run(batches):
-        replay = _replay_of(shared, pattern)
+        replay = own.ready(MergeReplay)
         for batch in batches:
             at = 0
             for n, flat, sizes in replay.encode(batch.column(text).to_pylist()):
-                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                yield _replaced(batch.slice(at, n), out, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
+                yield _replaced(batch.slice(at, n), (out, _lists(flat, sizes)))
                 at += n
 
     return df.mapInArrow(run, with_field(df.schema, out, T.ArrayType(T.IntegerType())))
 
 
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """decode(encode(df)) without the text, in one pass through Python: a worker a core holds the vocabulary, and ids aren't sent to a second one."""
+    bounded_batches(df.sparkSession)
+    own = _Vocabulary(df, ranks, pattern)
+    schema = T.StructType([f for f in df.schema.fields if f.name != text])
+    schema = with_field(with_field(schema, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType())
+
+    def run(batches):
+        replay, decoder = own.ready(MergeReplay), own.ready(Decoder)
+        for batch in batches:
+            at = 0
+            for n, flat, sizes in replay.encode(batch.column(text).to_pylist()):
+                yield _replaced(batch.slice(at, n), (ids, _lists(flat, sizes)), (decoded, decoder.decode(flat, sizes)), drop=text)
+                at += n
+
+    return df.mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Like encode(), but keeps only the number of ids (long) and drops the text column."""
-    small_batches(df.sparkSession)
-    shared = _broadcast(df, ranks)
+    bounded_batches(df.sparkSession)
+    own = _Vocabulary(df, ranks, pattern)
     schema = with_field(T.StructType([f for f in df.schema.fields if f.name != text]), out, T.LongType())
 
     def run(batches):
-        replay = _replay_of(shared, pattern)
+        replay = own.ready(MergeReplay)
         for batch in batches:
             sizes = [s for _, _, s in replay.encode(batch.column(text).to_pylist())]
-            counts = _replaced(batch, out, pa.array(np.concatenate(sizes), pa.int64()))
-            yield counts.select([x for x in counts.schema.names if x != text or x == out])
+            counts = pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64())
+            yield _replaced(batch, (out, counts), drop=text)
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds out: the bytes (binary) of the ids. Null ids give null; an id outside the vocabulary is an error."""
-    small_batches(df.sparkSession)
-    shared = _broadcast(df, ranks)
+    """Adds out: the bytes (binary) of the ids. Null ids give null; an id outside the vocabulary is an error. Rows and other
+    columns are as in encode()."""
+    bounded_batches(df.sparkSession)
+    own = _Vocabulary(df, ranks)
 
     def run(batches):
-        tokens = sorted(shared.value.items(), key=lambda x: x[1])
-        sizes = np.zeros(tokens[-1][1] + 2, np.int64)
-        for raw, rank in tokens:
-            sizes[rank] = len(raw)
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw for raw, _ in tokens), np.uint8)
+        decoder = own.ready(Decoder)
         for batch in batches:
             column = batch.column(ids)
-            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(values) and (values.min() < 0 or values.max() >= len(sizes) or not sizes[values].all()):
-                raise ValueError("an id is not in the vocabulary")
             counts = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
-            ends = np.concatenate(([0], np.cumsum(sizes[values])))[np.concatenate(([0], np.cumsum(counts)))]
-            joined = flat[gather(starts[values], sizes[values])].tobytes()
-            made = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(joined)])
+            made = decoder.decode(column.flatten().to_numpy(zero_copy_only=False), counts)
             if column.null_count:
                 made = pa.compute.if_else(column.is_valid(), made, pa.scalar(None, pa.binary()))
-            yield _replaced(batch, out, made)
+            yield _replaced(batch, (out, made))
 
     return df.mapInArrow(run, with_field(df.schema, out, T.BinaryType()))
 

@@ -23,8 +23,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = vocabulary()
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
-    return bpe.decode(ids, ranks).select("doc_id", *bpe.digests(ids), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return done.select("doc_id", *bpe.digests(done), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

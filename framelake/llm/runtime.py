@@ -86,7 +86,3 @@ def numbered(df: DataFrame, group: str, order: list, out: str, bucket_rows: int
         .withColumn(out, (F.col("__start") + F.col("__row")).cast("long"))
         .drop("__g", "__b", "__start", "__row", "__bucket")
     )
-
-
-def small_batches(spark: SparkSession, rows: int = 0) -> None:
-    bounded_batches(spark)
