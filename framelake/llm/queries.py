@@ -120,9 +120,15 @@ def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = langid.fit(docs, "text", "lang", "doc_id")
-    return langid.identify(docs, model, "doc_id", "text", F.col("lang"), F.col("source")).select("doc_id", "lang_id", "posterior", "letters", "accepted")
+    """Documents (no declaration, their source as the host) and pages (markup's language, URL's host and suffix), each table by itself;
+    the model is fitted on the documents' labels, which are evidence nowhere."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model, null = langid.fit(docs, "text", "lang", "doc_id"), F.lit(None)
+    shown = pages.select("page_id", langid.markup_text(F.col("html")).alias("text"), langid.markup_language(F.col("html")).alias("declared"), langid.address_host(F.col("url")).alias("host"))
+    out = ["lang_id", "posterior", "letters", "text_lang", "accepted"]
+    of_docs = langid.identify(docs, model, "doc_id", "text", null.cast("string"), F.col("source")).select("doc_id", null.cast("long").alias("page_id"), *out)
+    of_pages = langid.identify(shown, model, "page_id", "text", F.col("declared"), F.col("host")).select(null.cast("long").alias("doc_id"), "page_id", *out)
+    return of_docs.union(of_pages)
 
 
 OP6_SQL = """
