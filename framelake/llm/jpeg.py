@@ -1,7 +1,8 @@
 """Media columns: baseline JPEG, DC-only luminance thumbnails.
 
-The decoder reads any baseline (SOF0, 8-bit, Huffman) JPEG: marker parsing, byte unstuffing, Huffman decoding of
-whole scans, and from each luminance block its DC value, which is eight times the block's mean. Scans are decoded
+The decoder reads any baseline (SOF0, 8-bit, Huffman) JPEG, in one scan or several: marker parsing, byte unstuffing, Huffman
+decoding of whole scans, and from each luminance block its DC value, which is eight times the block's mean. What it can't read has a
+status of its own. Scans are decoded
 in lockstep: all restart intervals of all images of a batch that share tables and sampling advance one
 symbol a step, each as one lane of numpy arrays. The writer stores bytes so that this thumbnail is exactly the bytes:
 one flat 8x8 block each, quantiser 8, DC = byte - 128, a restart interval for each row of blocks.
@@ -10,6 +11,7 @@ one flat 8x8 block each, quantiser 8, DC = byte - 128, a restart interval for ea
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -98,63 +100,114 @@ def store(payload: bytes) -> bytes:
     return b"".join(_image(values[at : at + ROW * MOST_ROWS]) for at in range(0, len(values), ROW * MOST_ROWS))
 
 
+class Broken(ValueError):
+    """Bytes that aren't a baseline image that this decoder reads."""
+
+
 class _Scan:
-    """What the markers of one image say; data: its entropy-coded bytes, still stuffed."""
+    """What the markers of one image say; raw: the entropy-coded bytes of its luminance scan, still stuffed; end: where the image ends.
+
+    A scan holds all components or some; the scan that luminance is in is kept, others are passed over. Tables and restart
+    intervals are those defined before that scan.
+    """
 
-    def __init__(self, data: memoryview, at: int):
-        quant, huff, self.restart, self.comps = {}, {}, 0, None
-        if bytes(data[at : at + 2]) != b"\xff\xd8":
-            raise ValueError("no start of image")
+    def __init__(self, data: bytes, at: int):
+        self.data, quant, huff, self.restart, self.comps, self.raw = data, {}, {}, 0, None, None
+        if data[at : at + 2] != b"\xff\xd8":
+            raise Broken("no start of image")
         at += 2
         while True:
-            while data[at] == 0xFF and data[at + 1] == 0xFF:
-                at += 1
-            if data[at] != 0xFF:
-                raise ValueError("a marker is missing")
-            marker = data[at + 1]
-            (length,) = struct.unpack_from(">H", data, at + 2)
-            body = data[at + 4 : at + 2 + length]
-            at += 2 + length
+            marker, body, at = self.segment(at)
+            if marker == 0xD9:
+                break
             if marker == 0xDB:
-                while len(body):
+                while body:
                     wide, k = body[0] >> 4, body[0] & 15
+                    if len(body) < 65 + 64 * (wide > 0):
+                        raise Broken("a quantiser is cut off")
                     quant[k] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]
-                    body = body[1 + 64 * (1 + wide) :]
+                    body = body[65 + 64 * (wide > 0) :]
             elif marker == 0xC4:
-                while len(body):
+                while body:
                     n = sum(body[1:17])
+                    if len(body) < 17 + n or sum(c << 16 - i for i, c in enumerate(body[1:17], 1)) > 65_536:
+                        raise Broken("a Huffman table is cut off or over-full")
                     huff[body[0]] = bytes(body[1 : 17 + n])
                     body = body[17 + n :]
             elif marker == 0xC0:
-                bits, self.height, self.width, n = struct.unpack_from(">BHHB", body)
-                if bits != 8 or not self.width or not self.height:
-                    raise ValueError("only 8-bit images of known size")
-                self.comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+                self.frame(body)
             elif 0xC1 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
-                raise ValueError("not a baseline image")
+                raise Broken("not a baseline image")
             elif marker == 0xDD:
-                (self.restart,) = struct.unpack_from(">H", body)
+                if len(body) != 2:
+                    raise Broken("a restart interval is cut off")
+                (self.restart,) = struct.unpack(">H", body)
             elif marker == 0xDA:
+                at = self.scan(body, at, quant, huff)
+        if self.raw is None:
+            raise Broken("no luminance scan")
+        self.end = at
+
+    def segment(self, at: int) -> tuple[int, bytes, int]:
+        """The marker at `at` (fill bytes before it are passed over), its body, and where the next one is."""
+        while self.data[at : at + 2] == b"\xff\xff":
+            at += 1
+        if len(self.data) < at + 2 or self.data[at] != 0xFF:
+            raise Broken("a marker is missing")
+        marker = self.data[at + 1]
+        if marker == 0xD9 or marker == 0x01 or 0xD0 <= marker <= 0xD7:
+            return marker, b"", at + 2
+        length = int.from_bytes(self.data[at + 2 : at + 4], "big")
+        if length < 2 or len(self.data) < at + 2 + length:
+            raise Broken("a segment is cut off")
+        return marker, self.data[at + 4 : at + 2 + length], at + 2 + length
+
+    def frame(self, body: bytes) -> None:
+        if self.comps is not None or len(body) < 6 or len(body) != 6 + 3 * body[5]:
+            raise Broken("a frame header is wrong")
+        bits, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+        if bits != 8 or not self.width or not self.height or not n:
+            raise Broken("only 8-bit images of known size")
+        self.comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        if any(not 1 <= c[1] <= 4 or not 1 <= c[2] <= 4 for c in self.comps):
+            raise Broken("a sampling factor is wrong")
+
+    def scan(self, body: bytes, at: int, quant: dict, huff: dict) -> int:
+        """Takes what the luminance scan needs; returns where the entropy-coded bytes end."""
+        if self.comps is None or not body or len(body) != 4 + 2 * body[0]:
+            raise Broken("a scan header is wrong")
+        whole = np.frombuffer(self.data, np.uint8)[at:]
+        # in pieces, so that an image of many needn't look at all that follows
+        start, step = 0, 1 << 16
+        while True:
+            piece = whole[start : start + step + 1]
+            marks = np.nonzero((piece[:-1] == 0xFF) & (piece[1:] != 0) & (piece[1:] != 0xFF) & ((piece[1:] & 0xF8) != 0xD0))[0]
+            if len(marks):
                 break
-        if self.comps is None or body[0] != len(self.comps):
-            raise ValueError("only single, interleaved scans")
+            if start + step >= len(whole):
+                raise Broken("the scan does not end")
+            start += step
+        end = start + int(marks[0])
         used = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-        single = len(self.comps) == 1
-        hmax, vmax = max(c[1] for c in self.comps), max(c[2] for c in self.comps)
-        self.lum = (1, 1) if single else self.comps[0][1:3]
-        self.across = -(-self.width // (8 if single else 8 * hmax))
-        self.down = -(-self.height // (8 if single else 8 * vmax))
-        self.size = -(-self.width * self.comps[0][1] // (8 * hmax)), -(-self.height * self.comps[0][2] // (8 * vmax))
-        self.quant = quant[self.comps[0][3]]
-        #: for each block of an MCU: component, DC table, AC table
-        self.plan = tuple((i, huff[used[c[0]] >> 4], huff[16 + (used[c[0]] & 15)]) for i, c in enumerate(self.comps) for _ in range(1 if single else c[1] * c[2]))
-        whole = np.frombuffer(data, np.uint8)[at:]
-        marks = np.nonzero((whole[:-1] == 0xFF) & (whole[1:] != 0) & ((whole[1:] & 0xF8) != 0xD0))[0]
-        if not len(marks):
-            raise ValueError("the scan does not end")
-        self.raw, self.end = whole[: marks[0]], at + int(marks[0])
-        while bytes(data[self.end : self.end + 2]) != b"\xff\xd9":
-            self.end += 1
+        mine = [c for c in self.comps if c[0] in used]
+        if len(mine) != len(used) or body[0] != len(used):
+            raise Broken("a scan has unknown components")
+        if self.comps[0] in mine and self.raw is None:
+            single = len(mine) == 1
+            hmax, vmax = max(c[1] for c in self.comps), max(c[2] for c in self.comps)
+            first = self.comps[0]
+            self.size = -(-self.width * first[1] // (8 * hmax)), -(-self.height * first[2] // (8 * vmax))
+            self.lum = (1, 1) if single else first[1:3]
+            # a scan of one component holds its own blocks only, one an MCU
+            self.across, self.down = self.size if single else (-(-self.width // (8 * hmax)), -(-self.height // (8 * vmax)))
+            if first[3] not in quant or any(used[c[0]] >> 4 not in huff or 16 + (used[c[0]] & 15) not in huff for c in mine):
+                raise Broken("a table is missing")
+            self.quant, self.every = quant[first[3]], self.restart
+            order = [c for x in used for c in mine if c[0] == x]
+            #: for each block of an MCU: whether it is luminance's (0) or another component's number, DC table, AC table
+            self.plan = tuple((self.comps.index(c), huff[used[c[0]] >> 4], huff[16 + (used[c[0]] & 15)]) for c in order for _ in range(1 if single else c[1] * c[2]))
+            self.raw = whole[:end]
+        return at + end
 
     def lanes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The unstuffed bytes, where each restart interval starts in them, and its number of MCUs."""
@@ -164,9 +217,12 @@ class _Scan:
         drop = stuffed | restart | np.concatenate(([False], restart[:-1]))
         kept = np.cumsum(~drop) - ~drop
         starts = np.concatenate(([0], kept[np.nonzero(restart)[0]]))
-        total, every = self.across * self.down, self.restart or self.across * self.down
+        total, every = self.across * self.down, self.every or self.across * self.down
         if len(starts) != -(-total // every):
-            raise ValueError("restart markers are missing")
+            raise Broken("restart markers are missing")
+        # a block takes two bits at least (a DC and an AC code)
+        if total * len(self.plan) * 2 > 8 * len(self.raw):
+            raise Broken("the scan is cut off")
         return self.raw[~drop], starts, np.minimum(every, total - every * np.arange(len(starts)))
 
 
@@ -196,7 +252,7 @@ def _decode_lanes(plan, bits: np.ndarray, at: np.ndarray, mcus: np.ndarray, lum:
             code = tables[dc][ahead(p)]
             n = code >> 5
             if not code.all() or (n > 11).any():
-                raise ValueError("a DC code is not in its table")
+                raise Broken("a DC code is not in its table")
             p += code & 31
             before[comp, live] += extra(p, n)
             p += n
@@ -206,28 +262,31 @@ def _decode_lanes(plan, bits: np.ndarray, at: np.ndarray, mcus: np.ndarray, lum:
             while len(todo):
                 code = tables[ac][ahead(p[todo])]
                 if not code.all():
-                    raise ValueError("an AC code is not in its table")
+                    raise Broken("an AC code is not in its table")
                 run, size = code >> 9, code >> 5 & 15
                 p[todo] += (code & 31) + size
                 k[todo] = np.where(size > 0, k[todo] + run + 1, np.where(run == 15, k[todo] + 16, 64))
                 todo = todo[k[todo] < 64]
             if (p > last).any() or (k > 64 + 15).any():
-                raise ValueError("the scan is cut off")
+                raise Broken("the scan is cut off")
             pos[live] = p
         out.append(np.stack(dcs, axis=1))
     return out
 
 
 def thumbnails(images: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
-    """For each value, each image it holds: width, height, and the DC-only luminance thumbnail (rows, columns; uint8)."""
+    """For each value, each image it holds, one after another: width, height, and the DC-only luminance thumbnail (rows, columns; uint8).
+
+    Broken, a ValueError, where a value has no image, or one that is broken or of another kind.
+    """
     scans, groups = [], {}
     for k, raw in enumerate(images):
-        at, data = 0, memoryview(raw)
-        while at < len(data):
-            s = _Scan(data, at)
+        at, raw = 0, bytes(raw)
+        while at < len(raw) or not at:
+            s = _Scan(raw, at)
             groups.setdefault(s.plan, []).append(len(scans))
             scans.append((k, s))
-            at = s.end + 2
+            at = s.end
     found = {}
     for plan, members in groups.items():
         pieces, starts, mcus, owner, base = [], [], [], [], 0
@@ -254,12 +313,18 @@ def thumbnails(images: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     return out
 
 
-def thumbnail_hash(thumb: np.ndarray) -> str:
-    """Average hash: 64 bits, one for each cell of an 8x8 grid over the thumbnail, set where its mean is over the grid's."""
+def thumbnail_hash(thumbs: list[np.ndarray]) -> str:
+    """Average hash of thumbnails that stand one below the other (narrower ones with zeros on their right): 64 bits, one for each cell of
+    an 8x8 grid over them, set where its mean is over the grid's."""
+    wide = max(t.shape[1] for t in thumbs)
+    thumb = thumbs[0] if len(thumbs) == 1 else np.concatenate([np.pad(t, ((0, 0), (0, wide - t.shape[1]))) for t in thumbs])
     rows, cols = (np.arange(9) * n // 8 for n in thumb.shape)
-    total = np.pad(np.cumsum(np.cumsum(thumb.astype(np.int64), 0), 1), ((1, 0), (1, 0)))
+    total = np.zeros((9, wide + 1), np.int64)
+    for i, (s, e) in enumerate(zip(rows, rows[1:])):
+        total[i + 1, 1:] = thumb[s:e].sum(axis=0, dtype=np.int64)
+    total = np.cumsum(np.cumsum(total, 0), 1)
     area = np.maximum(1, np.diff(rows)[:, None] * np.diff(cols)[None, :])
-    mean = np.diff(np.diff(total[np.ix_(rows, cols)], axis=0), axis=1) / area
+    mean = np.diff(np.diff(total[:, cols], axis=0), axis=1) / area
     return np.packbits(mean > mean.mean()).tobytes().hex()
 
 
@@ -294,24 +359,41 @@ def with_media(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-_READ = [("payload", T.BinaryType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("images", T.IntegerType()), ("thumb_hash", T.StringType())]
+_READ = [
+    ("payload", T.BinaryType()), ("width", T.IntegerType()), ("height", T.LongType()), ("images", T.IntegerType()), ("thumb_hash", T.StringType()),
+    ("thumb_crc32", T.LongType()), ("status", T.StringType()),
+]
+
+
+def _read(values: list[bytes]) -> list:
+    """thumbnails() of each value, None for one that can't be read."""
+    try:
+        return thumbnails(values)
+    except (ValueError, IndexError, KeyError, struct.error):
+        if len(values) == 1:
+            return [None]
+        half = len(values) // 2  # so that a broken value costs others but a few more calls
+        return _read(values[:half]) + _read(values[half:])
 
 
 def _read_back(values: list) -> list[pa.Array]:
-    """Columns _READ of stored images; nulls for null."""
-    rows, found = [], iter(thumbnails([x for x in values if x is not None]))
+    """Columns _READ of stored images."""
+    rows, found = [], iter(_read([x for x in values if x is not None]) if any(x is not None for x in values) else [])
     for x in values:
-        if x is None:
-            rows.append((None,) * 5)
+        got = None if x is None else next(found)
+        if got is None:
+            rows.append((None,) * 6 + ("null" if x is None else "broken",))
         else:
-            got = next(found)
-            rows.append((b"".join(t.tobytes() for _, _, t in got), got[0][0], got[0][1], len(got), thumbnail_hash(got[0][2])))
-    return [pa.array(x, k) for x, k in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+            payload = b"".join(t.tobytes() for _, _, t in got)
+            rows.append((payload, max(w for w, _, _ in got), sum(h for _, h, _ in got), len(got), thumbnail_hash([t for _, _, t in got]), zlib.crc32(payload), "ok"))
+    return [pa.array(x, k) for x, k in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()))]
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """Reads stored images back: adds payload (binary, the thumbnails' samples), width, height (of the first
-    image), images (their number) and thumb_hash (of the first). A null value has nulls; a broken one is an error."""
+    """Reads stored images back: adds payload (binary, all thumbnails' samples), images (their number), width (the widest one's), height (all
+    together), thumb_hash and thumb_crc32 (of all thumbnails, one below the other), and status: `ok`, `null`, or `broken`, for which
+    the others are null. Columns of these names are replaced, others pass through; repeated rows repeat their values.
+    """
     bounded_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in dict(_READ)]
     schema = T.StructType([*keep, *(T.StructField(*x) for x in _READ)])
@@ -360,5 +442,5 @@ def digests() -> list:
         F.crc32(F.substring("payload", F.greatest(F.lit(1), F.octet_length("payload") - 63), F.lit(64))).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.format_string("%dx%d:%d:%s", "width", "height", "images", "thumb_hash").alias("feature"),
+        F.format_string("%dx%d:%d:%s:%08x", "width", "height", "images", "thumb_hash", "thumb_crc32").alias("feature"),
     ]
