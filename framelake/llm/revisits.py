@@ -9,11 +9,16 @@ alone, and the as-of within a stretch is a window of its own: one URL with very
 
 from __future__ import annotations
 
+import math
+import zlib
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-STRETCH_SECONDS = 86_400
+#: A stretch of time; captures of one address in it from which on it is cut finer.
+STRETCH_SECONDS, STRETCH_ROWS = 86_400, 20_000
 #: Fixed: header fields that a 304 response may not replace in the stored response (RFC 9111, section 3.2, and hop-by-hop fields).
 KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-location", "content-range", "content-type", "keep-alive", "proxy-authenticate",
@@ -34,23 +39,31 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with lower-case names. Fields whose names differ in case only are one: their values, in the order of the names as
+    written, joined by a comma. A null value counts as empty beside others; a null map is an empty one."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = lambda n: F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"])
+    one = lambda n: F.when(F.size(values(n)) == 1, values(n)[0]).otherwise(F.array_join(F.transform(values(n), lambda v: F.coalesce(v, F.lit(""))), ", "))
+    return F.map_from_arrays(names, F.transform(names, one))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """The stored response's headers, with those of the 304 that may replace them. A null map is an empty one."""
-    none = F.create_map().cast("map<string,string>")
-    allowed = F.map_filter(F.coalesce(fresh, none), lambda k, _: ~F.lower(k).isin(*KEPT_HEADERS))
-    allowed = F.map_from_entries(F.transform(F.map_entries(allowed), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    rest = F.map_filter(F.coalesce(stored, none), lambda k, _: ~F.array_contains(F.map_keys(allowed), k))
-    return F.map_concat(rest, allowed)
+    """The stored response's headers, with those of the 304 that may replace them; names as in lower_names()."""
+    allowed = F.map_filter(lower_names(fresh), lambda k, _: ~k.isin(*KEPT_HEADERS))
+    return F.map_concat(F.map_filter(lower_names(stored), lambda k, _: ~F.array_contains(F.map_keys(allowed), k)), allowed)
 
 
-def resolve_revisits(captures: DataFrame, stretch_seconds: int = STRETCH_SECONDS) -> DataFrame:
+def resolve_revisits(captures: DataFrame, stretch_seconds: int = STRETCH_SECONDS, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """One row for each capture: id, canonical, kind, ts, state, resolved_id, digest, headers.
 
     state of a revisit: `resolved`; `mismatch` if the latest earlier response's validators differ (etag where both
     have one, compared weakly; else last_modified where both have one; and digest where both have one); `no_validator` if
     nothing could be compared; `missing` if there is no earlier response. A response is `full`. Unresolved revisits keep their own headers and have a
     null resolved_id. Earlier is by (ts, id); a null ts is before all others. A capture without URL is `missing` or `full`
-    and is never joined; one with a null kind counts as a response. Repeated rows each have their row.
+    and is never joined; one with a null kind counts as a response. Repeated rows each have their row. Other columns are left out,
+    whatever their names; values may be of any length. An empty table gives an empty result.
     """
     rows = captures.select(
         "id", F.coalesce("kind", F.lit("response")).alias("kind"), F.col("ts").cast("long").alias("ts"), "etag", "last_modified", "digest", "headers",
@@ -58,9 +71,14 @@ def resolve_revisits(captures: DataFrame, stretch_seconds: int = STRETCH_SECONDS
     )
     # captures without URL are dealt by id, as they are never joined
     key = F.coalesce("canonical", F.concat(F.lit(" "), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("key")
-    stretch = F.coalesce(F.floor(F.col("ts") / F.lit(stretch_seconds)), F.lit(-(1 << 40))).alias("stretch")
+    day = F.coalesce(F.floor(F.col("ts") / F.lit(stretch_seconds)), F.lit(-(1 << 40))).alias("day")
     full = F.when((F.col("kind") == "response") & F.col("canonical").isNotNull(), F.struct("ts", "id", "etag", "last_modified", "digest", "headers"))
-    rows = rows.select("*", key, stretch, full.alias("full"))
+    rows = rows.select("*", key, day, full.alias("full"))
+    # a stretch with very many captures (a hot address's hot day) is cut finer, down to a second
+    hot = rows.groupBy("key", "day").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretch_rows)
+    hot = hot.select("key", "day", F.least(F.ceil(F.col("n") / stretch_rows), F.lit(stretch_seconds)).alias("cuts"))
+    part = F.floor((F.col("ts") - F.col("day") * stretch_seconds) * F.coalesce("cuts", F.lit(1)) / stretch_seconds)
+    rows = rows.join(hot, ["key", "day"], "left").withColumn("stretch", F.struct("day", F.coalesce(part, F.lit(0)).alias("part"))).drop("day", "cuts")
     # the response itself is left out of ordering keys: a map can't be compared
     last = rows.groupBy("key", "stretch").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct("ts", "id"))).alias("last"))
     earlier = W.partitionBy("key").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
@@ -92,43 +110,76 @@ def with_payload(resolved: DataFrame, bodies: DataFrame, id: str = "id", payload
 
 
 def read_warc(binary: DataFrame, content: str = "content") -> DataFrame:
-    """Captures (id is the record id) of uncompressed or per-record gzip WARC files, one file a row: columns as above and payload.
+    """Captures (id is the record id) of uncompressed or per-record gzip WARC files, one file a row: columns as above, payload and problem.
 
-    Records other than response and revisit are passed over. Files are read whole, one at a time in each task.
+    Records other than response and revisit are passed over. What can't be read doesn't stop the rest: a record that is cut off, or
+    lacks its length or a date, is a row whose problem says so and which has what could be read; after a gzip member that is broken, or a
+    record without length, the file ends. Repeated fields are joined by a comma. A null file has no records.
+    Files are read whole, one at a time in each task.
     """
-    import zlib
+
+    def unpacked(raw: bytes) -> tuple[bytes, bool]:
+        if raw[:2] != b"\x1f\x8b":
+            return raw, False
+        parts, rest = [], raw
+        while rest:
+            d = zlib.decompressobj(31)
+            try:
+                parts.append(d.decompress(rest))
+            except zlib.error:
+                return b"".join(parts), True
+            if not d.eof:
+                return b"".join(parts), True
+            rest = d.unused_data
+        return b"".join(parts), False
+
+    def fields_of(head: str) -> dict:
+        out: dict = {}
+        for line in head.split("\r\n")[1:]:
+            name, colon, value = line.partition(":")
+            if colon and name.strip():
+                name = name.strip().lower()
+                out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+        return out
 
     def records(raw: bytes):
-        if raw[:2] == b"\x1f\x8b":
-            parts = []
-            while raw:
-                d = zlib.decompressobj(31)
-                parts.append(d.decompress(raw))
-                raw = d.unused_data
-            raw = b"".join(parts)
+        raw, cut = unpacked(raw)
         at = 0
-        while at < len(raw):
+        while raw[at:].strip():
             head = raw.find(b"\r\n\r\n", at)
-            if head < 0:
+            fields = fields_of(raw[at : head if head >= 0 else len(raw)].decode("utf-8", "replace"))
+            length = fields.get("content-length", "")
+            if head < 0 or not length.isascii() or not length.isdigit():
+                yield fields, b"", "cut off" if head < 0 else "no length"
                 return
-            fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in raw[at:head].decode("utf-8", "replace").split("\r\n")[1:]))
-            size = int(fields["content-length"])
-            yield fields, raw[head + 4 : head + 4 + size]
-            at = head + 4 + size + 4
+            end = head + 4 + int(length)
+            yield fields, raw[head + 4 : end], "cut off" if end > len(raw) else None
+            at = end + 4
+        if cut:
+            yield {}, b"", "broken gzip"
+
+    def seconds(date: str | None) -> int | None:
+        try:
+            when = datetime.fromisoformat((date or "").replace("Z", "+00:00"))
+        except ValueError:
+            return None
+        return math.floor((when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp())
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            rows = []
             for raw in frame[content]:
-                for fields, block in records(raw or b""):
-                    if fields.get("warc-type") not in ("response", "revisit"):
+                rows = []
+                for fields, block, problem in records(raw if isinstance(raw, bytes) else bytes(raw or b"")):
+                    if not problem and fields.get("warc-type") not in ("response", "revisit"):
                         continue
                     head, _, body = block.partition(b"\r\n\r\n")
-                    http = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]))
-                    ts = int(pd.Timestamp(fields["warc-date"]).timestamp())
-                    rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), ts, fields["warc-type"], http.get("etag"), http.get("last-modified"), fields.get("warc-payload-digest"), http, body))
-            yield pd.DataFrame(rows, columns=["id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers", "payload"])
-
-    return binary.select(content).mapInPandas(run, "id string, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, payload binary")
+                    http, ts = fields_of(head.decode("latin-1")), seconds(fields.get("warc-date"))
+                    problem = problem or ("no date" if ts is None else None)
+                    rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), ts, fields.get("warc-type"), http.get("etag"), http.get("last-modified"), fields.get("warc-payload-digest"), http, body, problem))
+                made = pd.DataFrame(rows, columns=["id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers", "payload", "problem"])
+                made["ts"] = made["ts"].astype("Int64")
+                yield made
+
+    return binary.select(content).mapInPandas(run, "id string, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, payload binary, problem string")
