@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership, in DataFrame functions only.
 
 Base spans come from three fixed patterns. Their values, and other credential-shaped tokens, are candidates: hashed
-and aggregated over the whole corpus by distinct repositories and owners. A candidate that at least
-EXAMPLE_OWNERS owners hold is a widely copied example; any other looks live. Credential-shaped tokens outside the
-base patterns become spans of kind `live` where they look live. Base spans always stay.
+and aggregated over the whole corpus by distinct repositories and owners. A candidate that at least EXAMPLE_OWNERS owners hold, or
+several owners in at least EXAMPLE_REPOS repositories, is a widely copied example; any other, one owner's however many repositories
+repeat it, looks live. Credential-shaped tokens outside the base patterns become spans of kind `live` where they look live. Base
+spans always stay.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .runtime import checkpoint
 
-EXAMPLE_OWNERS = 4
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 4, 10
 #: Fixed patterns, by kind in the order in which spans with one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # the run's first AKIA decides: if it is too short, so are all later ones in the run
@@ -21,6 +22,8 @@ HEX = r"[0-9a-f]{32,}"  # runs are maximal, so the length can stand in the patte
 SHAPED = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"
 KINDS = ("assign", "access", "hex", "live")
 _VALUE = r"""^[^:=]*[:=]\x20*["']?"""
+#: Spans of a text that are placed by one running sum.
+CHUNK = 256
 _SPANS = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
 
@@ -32,16 +35,34 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    both = F.zip_with(F.transform(F.slice(pieces, 1, F.size(whole)), lambda p: F.char_length(p)), whole, lambda n, m: F.struct(n.alias("gap"), m.alias("m")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    both = F.zip_with(F.transform(F.slice(pieces, 1, F.size(whole)), lambda p: F.char_length(p)), whole, lambda n, m: F.struct(n.alias("gap"), m.alias("m"), (n + F.char_length(m)).alias("both")))
+    return F.when(text.rlike(pattern), _placed(both, kind)).otherwise(F.array().cast(_SPANS))
+
+
+def _placed(both: Column, kind: str) -> Column:
+    """Spans of (gap, match, both lengths), by running sums.
+
+    Appending to an array copies it, so sums run within runs of CHUNK spans, and over the runs; a text with n spans costs
+    n * CHUNK + (n / CHUNK) squared copies.
+    """
+    none = F.array().cast(_SPANS)
+    # inner arrays are named once: a column stands for its whole expression wherever it is used
+    starts = lambda chunks: F.aggregate(
+        chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda acc, c: F.struct((acc["at"] + F.aggregate(c, F.lit(0), lambda n, x: n + x["both"])).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+    )["all"]
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["m"])
+        end = acc["at"] + x["both"]
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, none, step)["spans"]).otherwise(F.array().cast(_SPANS))
+    inner = lambda chunk, start: F.aggregate(chunk, F.struct(start.alias("at"), none.alias("spans")), step)["spans"]
+    cut = lambda whole: F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int")), lambda i: F.slice(whole, i * CHUNK + 1, CHUNK))
+    # a transform over one element names its value
+    named = lambda value, f: F.transform(F.array(value), f)[0]
+    return named(both, lambda whole: named(cut(whole), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), inner))))
 
 
 def scanned(df: DataFrame, text: str = "text") -> DataFrame:
@@ -52,8 +73,10 @@ def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat(F.filter(assign, lambda s: F.char_length(s["value"]) >= 8), _found(t, "access", ACCESS), _found(t, "hex", HEX))
     mixed = lambda s: s["value"].rlike("[0-9].*[0-9].*[0-9].*[0-9]") & s["value"].rlike("[A-Za-z].*[A-Za-z].*[A-Za-z].*[A-Za-z]")
     out = df.withColumn("base", F.array_sort(base)).withColumn("shaped", F.filter(_found(t, "live", SHAPED), mixed))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.withColumn("shaped", F.filter("shaped", apart)).drop(text)
+    # runs of access and hex characters are part of one token, so it shows them itself; assigned values may be part of it or overlap it
+    assigned = F.filter("base", lambda b: b["kind"] == "assign")
+    apart = lambda s: ~s["value"].rlike(f"{ACCESS}|{HEX}") & ~F.exists("__assigned", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return out.withColumn("__assigned", assigned).withColumn("shaped", F.filter("shaped", apart)).drop(text, "__assigned")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -71,12 +94,12 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row for each row of df: id, text_hash, base and spans (arrays of start, ord, kind, end, value, by start and
     kind), n_live and n_example (candidates by verdict).
 
     Null and empty texts have no spans. Null ids, owners and repositories are values like any other; repeated rows
-    each have their row. An empty table gives an empty result.
+    each have their row. Other columns are left out, whatever their names. An empty table gives an empty result.
     """
     own = df.select(F.col(id).alias("id"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("__text"))
     rows = checkpoint(scanned(own, "__text").withColumn("row", F.monotonically_increasing_id()))
@@ -84,7 +107,7 @@ def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text", owner: s
     each = rows.where((F.size("base") > 0) | (F.size("shaped") > 0)).select("row", "owner", "repo", F.explode(F.concat("base", "shaped")).alias("s"))
     each = each.withColumn("hash", F.sha2(F.col("s.value"), 256))
     known = ownership(each.select("hash", "owner", "repo"))
-    judged = each.join(known, "hash").withColumn("live", F.col("n_owners") < example_owners)
+    judged = each.join(known, "hash").withColumn("live", (F.col("n_owners") < example_owners) & ((F.col("n_owners") < 2) | (F.col("n_repos") < example_repos)))
     by_row = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("s.kind") == "live") & F.col("live"), F.col("s"))).alias("added"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
