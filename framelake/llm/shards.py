@@ -5,7 +5,9 @@ node's rows, until each leaf is one shard. A node that is to give k shards cuts
 All nodes of a depth are cut together: one grouped aggregation gives each node's ranges, and a few for each part
 of the row key (dimension value, text hash, id hash) give histograms of bytes, of BINS bins a node. Only those
 histograms reach the driver, their size being bounded by shards and BINS, not by rows. Ties in the dimension are
-broken by the text's hash, so equal texts stay together unless a cut runs through them, and then by the id's hash.
+broken by the text's hash, and then by the id's hash. Equal texts share the metadata of the least of them, so they are next to one another
+in every order; a cut goes around them, unless they are more than WHOLE of a shard's bytes: then it goes through them, and
+sizes stay near equal.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .runtime import checkpoint, inline_table, numbered
 BINS, SHARDS, PASSES = 1024, 40, 3
 #: A cut may be off by this share of a shard's bytes before it is looked for more finely.
 TOLERANCE = 0.002
+#: Rows of one text stay in one shard up to this share of a shard's bytes.
+WHOLE = 0.1
 _LOW, _SPAN = -(2.0**63), 2.0**64
 
 
@@ -41,24 +45,33 @@ class _Node:
         self.shards, self.first = shards, first
 
 
+def _with_shared_metadata(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """rows with each dimension set to its least value among the rows of the same text hash. Only texts whose rows differ are joined."""
+    ranges = [f(d).alias(f"{n}{d}") for d in dims for n, f in (("__lo", F.min), ("__hi", F.max))]
+    differ = rows.groupBy("ht").agg(F.count(F.lit(1)).alias("__n"), *ranges).where("__n > 1").where(" OR ".join(f"__lo{d} < __hi{d}" for d in dims))
+    joined = rows.join(differ.select(F.col("ht").alias("__ht"), *(f"__lo{d}" for d in dims)), F.col("ht") == F.col("__ht"), "left")
+    return joined.select(*(F.coalesce(f"__lo{c}", c).alias(c) if c in dims else c for c in rows.columns))
+
+
 def kd_shards(df: DataFrame, id: str, text: str, metadata: list[str], shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32, shard (int) of every row; a checkpoint.
 
-    shards: their number; else as many as leave at most target_bytes, on average, in each. Shards differ in bytes by
-    little more than the largest single rows. Null ids, texts and metadata are values; repeated rows are rows; rows
-    that agree in text and id go to one shard. An empty table gives no rows. There may be empty shards where there
-    are few rows.
+    shards: their number; else as many as leave at most target_bytes, on average, in each (one, for an empty table). Shards differ
+    in bytes by little more than the largest single rows and WHOLE of a shard, up to which rows of one text stay together. Null ids,
+    texts and metadata are values; repeated rows are rows; rows that agree in text and id go to one shard. Other
+    columns are left out, whatever their names. An empty table gives no rows. There may be empty shards where there are few rows.
     """
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
     key = [d.alias(f"d{i}") for i, d in enumerate(_dimensions(df, text, metadata))]
-    rows = checkpoint(df.select(
+    dims = [f"d{i}" for i in range(len(metadata))]
+    rows = df.select(
         F.col(id).alias("id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("double").alias("ht"), F.xxhash64(F.col(id), F.lit(7)).cast("double").alias("hi"), *key,
-    ))
+    )
+    rows = checkpoint(_with_shared_metadata(rows, dims) if dims else rows)
     if shards is None:
         total = rows.agg(F.sum("size").alias("b")).first()["b"] or 0
         shards = max(1, math.ceil(total / target_bytes))
-    dims = [f"d{i}" for i in range(len(metadata))]
     nodes, placed = {0: _Node(shards, 0)}, rows.withColumn("node", F.lit(0))
     while any(n.shards > 1 for n in nodes.values()):
         cuts = _cuts(placed, nodes, dims)
@@ -95,16 +108,20 @@ def _cuts(placed: DataFrame, nodes: dict, dims: list[str]) -> dict:
             inside = keyed.join(_table(placed, [(k, *x) for k, x in left.items()], "node int, low double, high double"), "node").where(F.col(column).between(F.col("low"), F.col("high")))
             cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(BINS - 1), F.floor((F.col(column) - F.col("low")) / (F.col("high") - F.col("low")) * BINS))).otherwise(F.lit(0)).cast("int")
             hist = inside.groupBy("node", cell.alias("bin")).agg(F.sum("size").alias("b"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
-            narrowed = {}
+            narrowed, of = {}, {}
+            for r in hist:
+                of.setdefault(r["node"], []).append((r["bin"], r["b"], r["lo"], r["hi"]))
             for k in left:
-                bins = sorted((r["bin"], r["b"], r["lo"], r["hi"]) for r in hist if r["node"] == k)
+                bins = sorted(of[k])
                 ends = list(itertools.accumulate(x[1] for x in bins))
                 i = min(bisect.bisect_left(ends, goal[k]), len(bins) - 1)
                 goal[k] -= ends[i - 1] if i else 0
                 _, here, low, high = bins[i]
                 out[k][part] = low if goal[k] < here / 2 else math.nextafter(high, math.inf)
                 if min(goal[k], here - goal[k]) > near[k]:
-                    if low == high:
+                    if low == high and column == "ht" and here <= stats[k]["bytes"] / nodes[k].shards * WHOLE:
+                        pass  # one text's rows: the cut stays before or after all of them
+                    elif low == high:
                         out[k][part] = low
                         through[k] = low
                     else:

@@ -107,6 +107,27 @@ def test_secrets_separate_examples_from_live(spark):
     assert got[9]["spans"].count("live") == 2 and got[9]["n_live"] == 2 and got[10]["n_live"] == 1
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    a, b, c = ("Zx9kQ1" * 5 + x for x in ("aa11", "bb22", "cc33"))
+    rows = [(i, f"see {a}", f"o{i % 2}") for i in range(12)] + [(20 + i, f"see {b}", "o1") for i in range(12)] + [(40 + i, f"see {c}", f"o{i % 2}") for i in range(4)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i]["n_example"], got[i]["n_live"]) == ((1, 0) if i < 20 else (0, 1)) for i in got)  # two owners, twelve repositories; one owner, twelve; two, four
+
+
+def test_texts_with_very_many_spans(spark):
+    import time
+
+    parts = [f"é token={'ab1' * 3}{i} AKIA{'Z' * 12}{i} {'0f' * 16} x{i}" for i in range(6_000)]
+    frame = spark.createDataFrame([(1, "\n".join(parts), "s"), (2, " ".join(parts[:300]), "s"), (3, parts[0], "s")], "doc_id long, text string, source string")
+    texts = {1: "\n".join(parts), 2: " ".join(parts[:300]), 3: parts[0]}
+    at = time.time()
+    got = {r["doc_id"]: r for r in secrets.find_secrets(frame).select(*secrets.digests()).collect()}
+    assert time.time() - at < 60
+    for i, text in texts.items():
+        spans = base_spans(text)
+        assert got[i]["base_sha256"] == sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)) and got[i]["n_hex"] == len(text.split("0f0f")) // 8
+
+
 def test_redaction(docs):
     before = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
     rows = secrets.redacted(docs).collect()
@@ -146,8 +167,44 @@ def test_jpeg_many_images_and_errors():
     for bad in (b"", raw[:10]):
         with pytest.raises(ValueError):
             jpeg.store(bad)
-    with pytest.raises((ValueError, IndexError)):
-        jpeg.thumbnails([jpeg.store(bytes(64))[:-30]])
+    for bad in (jpeg.store(bytes(64))[:-30], jpeg.store(bytes(64))[:-2], b"", b"x", b"\xff\xd8\xff\xd9"):
+        with pytest.raises(ValueError):
+            jpeg.thumbnails([bad])
+
+
+def test_features_cover_all_images(spark):
+    long = "ab" * 270_000
+    rows = [(0, long), (1, long[:-1] + "c"), (2, long[:530_000] + "zz" * 5_000), (3, long)]
+    got = {r["doc_id"]: r for r in jpeg.stored_features(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "images", *jpeg.digests()).collect()}
+    assert all(r["images"] == 2 for r in got.values())
+    assert got[0]["feature"] == got[3]["feature"] and len({r["feature"] for r in got.values()}) == 3
+
+
+def test_broken_images_have_a_status(spark):
+    rnd, good = random.Random(6), jpeg.store(bytes(range(64)) * 3)
+    cut = [good[:k] for k in range(len(good))]
+    hurt = [bytes(rnd.randrange(256) if rnd.random() < 0.02 else x for x in good) for _ in range(300)]
+    rows = [(0, good, "old"), (1, None, "old"), (2, b"", "old"), (3, good + good, "old"), (4, good + b"x", "old")] + [(10 + i, x, "old") for i, x in enumerate(cut + hurt)]
+    frame = spark.createDataFrame(rows, "id long, media binary, status string").repartition(2)
+    got = {r["id"]: r for r in jpeg.media_features(frame).collect()}
+    assert len(got) == len(rows) and [got[i]["status"] for i in range(5)] == ["ok", "null", "broken", "ok", "broken"]
+    assert bytes(got[3]["payload"]) == bytes(range(64)) * 6 and got[3]["images"] == 2
+    assert all(got[10 + i]["status"] == "broken" and got[10 + i]["payload"] is None for i in range(len(cut)))
+    assert {got[10 + len(cut) + i]["status"] for i in range(len(hurt))} == {"ok", "broken"}
+
+
+def test_jpeg_reads_several_scans():
+    """Luminance of 2x1 sampling in a scan of its own, after a scan of the other component."""
+    rows, dc = 2, bytes(jpeg._DC) + bytes(range(12))
+    seg, values = jpeg._segment, np.arange(64 * 2, dtype=np.uint8)
+    grey = jpeg.store(values.tobytes())
+    scan = grey[grey.index(b"\xff\xda") + 10 : -2]
+    other = bytes([0b00000000] * 16)  # DC and AC codes of no step: 3 bits a block, for 32 x 2 blocks 24 bytes
+    head = b"\xff\xd8" + seg(0xDB, b"\x00" + b"\x08" * 64) + seg(0xC0, b"\x08" + (rows * 8).to_bytes(2, "big") + (512).to_bytes(2, "big") + b"\x02\x01\x21\x00\x02\x11\x00")
+    head += seg(0xC4, b"\x00" + dc) + seg(0xC4, b"\x10" + bytes([1] + [0] * 15) + b"\x00")
+    image = head + seg(0xDA, b"\x01\x02\x00\x00\x3f\x00") + other + bytes(8) + seg(0xDD, (64).to_bytes(2, "big")) + seg(0xDA, b"\x01\x01\x00\x00\x3f\x00") + scan + b"\xff\xd9"
+    ((width, height, thumb),) = jpeg.thumbnails([image])[0]
+    assert (width, height) == (512, 16) and (thumb.ravel() == values).all()
 
 
 def test_jpeg_reads_colour_and_ac():
@@ -392,6 +449,44 @@ def test_topk_is_exact(spark):
         want += [(q, k, r, -s) for k, (s, r) in enumerate(best, 1)]
     assert sorted(tuple(r) for r in got) == want
     assert topk.top_products(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+    clash = frame.selectExpr("vec_id", "whole", "1 AS id", "2 AS v", "'x' AS q", "0 AS score").union(frame.where("vec_id = 50").selectExpr("vec_id", "transform(whole, x -> x + 10000L)", "1", "2", "'x'", "0"))
+    again = {tuple(r) for r in topk.top_products(clash, F.col("vec_id") % 50 == 0, data_block=100).collect()}
+    assert {r for r in again if r[0] == 50 and r[1] == 1} == {r for r in map(tuple, got) if r[0] == 50 and r[1] == 1}
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(0, 100, (900, 3)), rng.normal(0, 1, (40, 1, 8)) * 1000 + rng.normal(0, 3, (40, 20, 8)), np.zeros((50, 4)), np.repeat(rng.normal(0, 9, (5, 2)), 30, axis=0), rng.normal(0, 1, (1, 2))):
+        x = x.reshape(-1, x.shape[-1])
+        chosen, reach, nearest = topk.farthest_first(x, 60)
+        assert (np.diff(reach) <= 1e-9).all()
+        far = np.sqrt(((x - x[chosen[nearest]]) ** 2).sum(axis=1))
+        for i in np.unique(np.floor(np.log2(reach[1:]))) if len(reach) > 1 else ():
+            net = x[chosen[reach > 2.0**i]]
+            apart = np.sqrt(((net[:, None] - net[None]) ** 2).sum(axis=2)) + np.eye(len(net)) * 1e9
+            to_net = np.sqrt(((x[:, None] - net[None]) ** 2).sum(axis=2)).min(axis=1)
+            assert (apart > 2.0**i).all() and (len(net) == len(chosen) or to_net.max() <= 2.0**i + 1e-9)
+        tree = topk.CoverTree(x, 8)
+        assert sorted(tree.order.tolist()) == list(range(len(x))) and tree.start[0] == 0 and tree.end[0] == len(x)
+        for node, below in enumerate(tree.children):
+            mine = x[tree.order[tree.start[node] : tree.end[node]]]
+            assert np.sqrt(((mine - tree.centre[node]) ** 2).sum(axis=1)).max() <= tree.radius[node]
+            if below:  # nesting: a node's centre is one of its children's; children part its points
+                assert any((tree.centre[c] == tree.centre[node]).all() for c in below)
+                assert sorted(i for c in below for i in range(tree.start[c], tree.end[c])) == list(range(tree.start[node], tree.end[node]))
+                assert all(tree.level[c] > tree.level[node] for c in below)
+
+
+def test_pruned_pivots_are_not_shuffled(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(0, 1, (30, 1, 12)) * 200 + rng.normal(0, 3, (30, 400, 12))).reshape(-1, 12)
+    frame = spark.createDataFrame([(i, [int(y) for y in v]) for i, v in enumerate(x)], "id long, v array<bigint>").withColumn("q", F.col("id") % 50 == 0)
+    pivots = topk._pivots(frame, 12_000 * 50)  # as many pivots as a larger table would have
+    shared = spark.sparkContext.broadcast(pivots)
+    placed = topk._assigned(frame, shared).withColumn("d", F.size("v"))
+    balls = {(r["d"], r["p"]): r["far"] + 1e-6 for r in placed.groupBy("d", "p").agg(F.max("far").alias("far")).collect()}
+    asked = topk._asked(placed.where("q"), shared, balls, 5).count()
+    assert len(balls) > 25 and asked < 0.5 * 240 * len(balls)
 
 
 def test_dual_tree_prunes_clusters():
@@ -464,6 +559,58 @@ def test_warc_reader(spark, tmp_path):
     assert done["<2>"]["state"] == "resolved" and bytes(done["<2>"]["payload"]) == b"hello"
 
 
+def test_equal_texts_stay_in_one_shard(spark):
+    rnd = random.Random(7)
+    rows = [(i, f"text {i} " * rnd.randrange(1, 9), f"s{rnd.randrange(9)}", rnd.randrange(99)) for i in range(4000)]
+    rows += [(10_000 + 10 * g + i, f"copy {g} " * 5, f"s{rnd.randrange(9)}", rnd.randrange(99)) for g in range(150) for i in range(rnd.randrange(2, 6))]
+    rows += [(50_000 + i, "hot text", f"s{rnd.randrange(9)}", 8) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in shards.kd_shards(frame, "doc_id", "text", ["source", "n_chars"], 16).collect()}
+    at, size = defaultdict(set), Counter()
+    for r in rows:
+        at[r[1]].add(got[r[0]]["shard"])
+        size[got[r[0]]["shard"]] += got[r[0]]["size"]
+    assert all(len(x) == 1 for t, x in at.items() if t != "hot text") and len(at["hot text"]) > 1
+    assert len(size) == 16 and max(size.values()) < 1.1 * min(size.values())
+    assert shards.kd_shards(frame.where("false"), "doc_id", "text", ["source"], None, target_bytes=100).count() == 0
+    clash = frame.selectExpr("*", "1 AS size", "2 AS shard", "3 AS ht", "4 AS node", "5 AS d0")
+    assert {r["doc_id"]: r["shard"] for r in shards.kd_shards(clash, "doc_id", "text", ["source", "n_chars"], 16).collect()} == {i: r["shard"] for i, r in got.items()}
+
+
+def test_headers_that_differ_in_case(spark):
+    m = [({"Date": "a", "date": "b", "ETag": "x"}, {"DATE": "c", "date": None, "Content-Length": "9"}), (None, None), ({"x": "1"}, None), ({"X": None}, {"Date": "d"})]
+    frame = spark.createDataFrame(m, "a map<string,string>, b map<string,string>").select(revisits.merged_headers(F.col("a"), F.col("b")).alias("m"))
+    assert [r["m"] for r in frame.collect()] == [{"etag": "x", "date": "c, "}, {}, {"x": "1"}, {"x": None, "date": "d"}]
+
+
+def test_hot_address_is_cut_finer(spark):
+    rnd = random.Random(2)
+    rows = [(i, "http://h/a", rnd.randrange(200) if i % 50 else None, "response" if rnd.random() < 0.3 else "revisit", "e" if rnd.random() < 0.9 else None, None, "d", {"a": "x" * 10_000}, "old") for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, state string").repartition(3)
+    want, full = {}, None
+    for r in sorted(rows, key=lambda r: (-1 if r[2] is None else r[2], r[0])):
+        want[r[0]] = full if r[3] == "revisit" else None
+        full = r[0] if r[3] == "response" else full
+    for cut in (20_000, 10):
+        got = {r["id"]: r for r in revisits.resolve_revisits(frame, 100, cut).collect()}
+        assert len(got) == 600 and {i: r["resolved_id"] for i, r in got.items()} == want
+
+
+def test_broken_warc_files(spark, tmp_path):
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 37\r\n\r\nHTTP/1.1 200 OK\r\nVia: a\r\nvia: b\r\n\r\nhi\r\n\r\n"
+    nodate = one.replace(b"WARC-Date: 2020-01-01T00:00:00Z\r\n", b"").replace(b"<1>", b"<2>")
+    nolength = one.replace(b"Content-Length: 37\r\n", b"").replace(b"<1>", b"<3>")
+    zipped = gzip.compress(one) + gzip.compress(nodate)
+    files = [one + nodate + nolength + one, zipped, b"", None, b"\x1f\x8bnot gzip", zipped[:-20], *(one[:k] for k in range(1, len(one), 7))]
+    got = revisits.read_warc(spark.createDataFrame([(x,) for x in files], "content binary").coalesce(1)).collect()
+    assert [(r["id"], r["problem"]) for r in got[:4]] == [("<1>", None), ("<2>", "no date"), ("<3>", "no length"), ("<1>", None)]
+    assert got[0]["headers"] == {"via": "a, b"} and bytes(got[0]["payload"]) == b"hi" and got[0]["ts"] == 1577836800
+    assert [(r["id"], r["problem"]) for r in got[4:9]] == [("<2>", "no date"), (None, "broken gzip"), ("<1>", None), ("<2>", "cut off"), (None, "broken gzip")]
+    assert revisits.resolve_revisits(revisits.read_warc(spark.createDataFrame([(one,)], "content binary"))).count() == 1
+
+
 def test_lengths(docs, spark):
     n = [1, 1, 5, 2000, 7, 7, 7, 0, 4096, 100_000]
     table = lengths.answers(lengths.histogram(spark.createDataFrame([(x,) for x in n] + [(None,)], "n_tokens int")))
@@ -491,18 +638,74 @@ def test_language_fusion(spark, docs, none):
     assert langid.fit(none, "text", "lang", "doc_id").languages == ["und"]
 
 
-def test_host_and_declaration_decide_where_text_cannot(spark):
-    model = langid.Model(["de", "en"], np.ones((2, langid.BUCKETS)))
-    model.table[langid.trigrams("der")] = [[-5.0, -9.0]] * len(langid.trigrams("der"))
-    model.table[langid.trigrams("the")] = [[-9.0, -5.0]] * len(langid.trigrams("the"))
-    rows = [(i, "der der der", "de", "a.example.de") for i in range(40)] + [(100 + i, "the the the", "en", "b.example.uk") for i in range(40)]
-    rows += [(200, "qqq", None, "a.example.de"), (201, "qqq", None, "new.example.uk"), (202, "qqq", "de", None)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string")
-    got = {r["doc_id"]: r["lang_id"] for r in langid.identify(frame, model, "doc_id", "text", F.col("declared"), F.col("host")).collect()}
-    assert got[200] == "de" and got[202] == "de" and got[100] == "en"
-    page = spark.createDataFrame([("<!x><HTML class=a lang='De-at'>", "https://u@Www.Example.ORG:80/x")], "html string, url string")
-    row = page.select(langid.markup_language(F.col("html")).alias("m"), langid.address_host(F.col("url")).alias("h"), langid.address_suffix(F.lit("www.example.org")).alias("s")).first()
-    assert tuple(row) == ("de", "www.example.org", "org")
+def table_model(weights):
+    """A model of de and en that knows only the trigrams of the words given, each by its counts."""
+    i, b, n = [], [], []
+    for word, counts in weights.items():
+        for x in set(langid.trigrams(word).tolist()):
+            for k, c in enumerate(counts):
+                i, b, n = [*i, k], [*b, x], [*n, c]
+    return langid.Model(["de", "en"], *(np.array(x, np.int64) for x in (i, b, n)))
+
+
+def brute_fusion(model, rows):
+    """(lang, posterior) of each (text, declared, host), counted and smoothed one by one."""
+    n, weight, names = len(model.languages), langid.WEIGHT, model.languages
+    ll = [model.score(t) for t, _, _ in rows]
+    best = [int(np.argmax(x)) if langid.letters(t) > 0 else None for x, (t, _, _) in zip(ll, rows)]
+    whole = np.array([best.count(i) + 1.0 for i in range(n)])
+    base = whole / whole.sum()
+    suffix = lambda h: m[1] if h and (m := re.search(r"\.([A-Za-z]+)$", h)) else None
+    domain = lambda h: m[1] if h and (m := re.search(r"([^.]+\.[^.]+)$", h)) else None
+
+    def counts(of):
+        out = defaultdict(lambda: np.zeros(n))
+        for r, b in zip(rows, best):
+            if b is not None and of(r):
+                out[of(r)][b] += 1
+        return out
+
+    declared = lambda r: (r[1] or "").lower() or None
+    d, s, m, h = (counts(f) for f in (declared, lambda r: suffix(r[2]), lambda r: domain(r[2]), lambda r: r[2] or None))
+    spread = lambda table, x: np.log((table[x] + weight * table[x].sum() / sum(table.values()).sum()) / (sum(table.values()) + weight)) if x in table else np.zeros(n)
+    out = []
+    for r, x in zip(rows, ll):
+        parent = (m[domain(r[2])] + weight * base) / (m[domain(r[2])].sum() + weight) if domain(r[2]) in m else base
+        prior = (h[r[2]] + weight * parent) / (h[r[2]].sum() + weight) if r[2] in h else base
+        total = x + np.log(prior) + spread(s, suffix(r[2])) + spread(d, declared(r))
+        e = np.exp(total - total.max())
+        out.append((names[int(np.argmax(total))], 1 / e.sum()))
+    return out
+
+
+def test_evidence_is_fused_as_counted_one_by_one(spark):
+    rnd, model = random.Random(1), table_model({"der": (60, 1), "the": (1, 60), "in": (20, 22)})
+    hosts = ["a.example.de", "b.example.de", "c.other.uk", "example.uk", "src1", "", None, "x.de"]
+    rows = [(rnd.choice(["der der", "the", "the der", "in", "qqq", "", None, "12 34", "in in in"]), rnd.choice(["de", "EN", "fr", "", None]), rnd.choice(hosts)) for _ in range(400)]
+    rows += [("der der der", "de", "a.example.de")] * 40 + [("the the the", "en", "c.other.uk")] * 40 + [("in", None, "a.example.de"), ("in", "de", "c.other.uk"), ("in", "de", None)] * 2
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, declared string, host string").repartition(3)
+    got = {r["doc_id"]: r for r in langid.identify(frame, model, "doc_id", "text", F.col("declared"), F.col("host")).collect()}
+    want = brute_fusion(model, rows)
+    assert len(got) == len(rows)
+    for i, (lang, posterior) in enumerate(want):
+        assert got[i]["lang_id"] == lang and abs(got[i]["posterior"] - posterior) < 1e-9
+    changed = sum(r["text_lang"] is not None and r["text_lang"] != r["lang_id"] for r in got.values())
+    assert changed > 20  # evidence beside the text changes verdicts
+
+
+def test_every_label_is_fitted(spark):
+    words = [chr(97 + i % 26) + chr(97 + i // 26) + "qx" for i in range(90)]
+    rows = [(f"{w} {w} {w}", f"l{i:02}", i * 10 + k) for i, w in enumerate(words) for k in range(1 if i % 2 else 9)] + [("no label", None, -1), (None, "l00", -2)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string, doc_id long"), "text", "lang", "doc_id", rows=4)
+    assert model.languages == [f"l{i:02}" for i in range(90)]
+    assert all(int(np.argmax(model.score(f"{w} {w}"))) == i for i, w in enumerate(words))
+
+
+def test_markup_and_addresses(spark):
+    page = spark.createDataFrame([("<!x><HTML class=a lang='De-at'><script>var a='<p>';</script><p>Gr&uuml;n &amp; <!-- x -->blau", "https://u@Www.Example.ORG:80/x")], "html string, url string")
+    host = langid.address_host(F.col("url"))
+    row = page.select(langid.markup_language(F.col("html")).alias("m"), host.alias("h"), langid.address_suffix(host).alias("s"), langid.address_domain(host).alias("d"), langid.markup_text(F.col("html")).alias("t")).first()
+    assert tuple(row)[:4] == ("de", "www.example.org", "org", "example.org") and row["t"].split() == ["Gr", "n", "blau"]
 
 
 def test_every_query_runs(spark):
