@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scan import each_group
+
 
 def sampled_times(times: DataFrame, interval_ms: int, terminal: bool = True) -> DataFrame:
     """(stream_no, t_ms, terminal): the first time, then each next one at least interval_ms after the last taken.
 
-    terminal: the last time is taken too, if it isn't already. Distinct times of a stream are folded once.
+    terminal: the last time is taken too, if it isn't already. Each time taken leads to the next one by a binary search.
     """
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
-    take = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= interval_ms), F.struct(t.alias("last"), F.concat(acc["out"], F.array(t)).alias("out"))).otherwise(acc)
-    folded = times.groupBy("stream_no").agg(F.array_sort(F.collect_set("t_ms")).alias("ts")).withColumn("s", F.aggregate("ts", empty, take))
-    regular = F.transform("s.out", lambda t: F.struct(t.alias("t_ms"), F.lit(False).alias("terminal")))
-    last = F.struct(F.element_at("ts", -1).alias("t_ms"), F.lit(True).alias("terminal"))
-    rows = F.when(F.lit(terminal) & (F.element_at("ts", -1) != F.col("s.last")), F.concat(regular, F.array(last))).otherwise(regular)
-    return folded.select("stream_no", F.inline(rows))
+
+    def taken(c: dict) -> dict:
+        times, at, out = np.unique(np.asarray(c["t_ms"], np.int64)), 0, []
+        while at < len(times):
+            out.append(int(times[at]))
+            at = int(np.searchsorted(times, out[-1] + interval_ms)) if interval_ms > 0 else at + 1
+        rest = [int(times[-1])] if terminal and times[-1] != out[-1] else []
+        return {"t_ms": out + rest, "terminal": [False] * len(out) + [True] * len(rest)}
+
+    known = times.where(F.col("t_ms").isNotNull()).select("stream_no", F.col("t_ms").cast("long").alias("t_ms")).distinct()
+    return each_group(known, ["stream_no"], ["t_ms"], ["t_ms"], taken, f"stream_no {dict(times.dtypes)['stream_no']}, t_ms bigint, terminal boolean")
 
 
 def gated_times(times: DataFrame, interval_ms: int) -> DataFrame:
@@ -92,3 +99,25 @@ def digest(rows: DataFrame, order: str, name: str, size: str, sha: str) -> DataF
     item = F.to_json(F.struct(F.col(size).alias("bytes"), F.col(sha).alias("sha256")))
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("j"))))
     return rows.agg(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["j"]), ","), F.lit("]")), 256).alias(name), F.count(F.lit(1)).alias("items"))
+
+
+def high_water(rows: DataFrame, group: list[str], order: list, values: list[str]) -> DataFrame:
+    """Adds most_<value>: the highest so far."""
+    own = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.select("*", *(F.max(v).over(own).alias(f"most_{v}") for v in values))
+
+
+def guarded(rows: DataFrame, group: list[str], most: int, what: str) -> DataFrame:
+    """rows as they are; an error where a group has more than `most`."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*group))
+    seen = rows.withColumn("__n", n)
+    return seen.where(F.when(F.col("__n") > most, F.raise_error(F.lit(f"more than {most} {what}"))).otherwise(F.lit(True))).drop("__n")
+
+
+def zipped(left: DataFrame, right: DataFrame, group: list[str], at: str) -> DataFrame:
+    """Rows of a group put side by side by their position; a position that one side lacks or has twice is an error."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*group, at))
+    twice = lambda rows, p: rows.withColumn(f"__{p}", n)
+    both = twice(left, "l").join(twice(right, "r"), [*group, at], "full")
+    wrong = F.when(F.col("__l").isNull() | F.col("__r").isNull(), "a position is missing").when((F.col("__l") > 1) | (F.col("__r") > 1), "a position is there twice")
+    return both.where(F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.lit(True))).drop("__l", "__r")

@@ -47,7 +47,7 @@ SCORED = f"""{FRAMES}, scored AS (
 
 @query(f"WITH {SCORED} SELECT stream_no, frame_no, p_obs_index, n_obs_index, iou, score, score >= 0.3 AND iou > 0.1 AS eligible FROM candidates WHERE iou > 0")
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    scored = frames.match_scores(frames.frame_pairs(observations(spark, d)))
+    scored = frames.match_scores(frames.likely_pairs(observations(spark, d)))
     return scored.where("iou > 0").select("stream_no", "frame_no", "p_obs_index", "n_obs_index", "iou", "score", "eligible")
 
 
@@ -62,7 +62,7 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 ), done AS (SELECT stream_no, frame_no, arg_max(ps, rk) AS ps, arg_max(ns, rk) AS ns FROM fold GROUP BY ALL)
 SELECT stream_no, frame_no, i - 1 AS pick, ps[i] AS p_obs_index, ns[i] AS n_obs_index FROM done, unnest(range(1, len(ps) + 1)) u(i)""")
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
-    scored = frames.match_scores(frames.frame_pairs(observations(spark, d))).where("eligible")
+    scored = frames.match_scores(frames.likely_pairs(observations(spark, d))).where("eligible")
     return frames.greedy_assignment(scored, ["stream_no", "frame_no"], "p_obs_index", "n_obs_index", [F.desc("score"), F.desc("iou"), "p_obs_index", "n_obs_index"])
 
 
@@ -334,12 +334,13 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("stream_no").agg(F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), (F.max("t_ms") - F.min("t_ms")).alias("duration_ms"), F.max("gap").alias("max_gap"), F.count_if(F.col("gap") <= 0).alias("not_after"))
 
 
-@query(f"""WITH {FRAMES}, m AS (SELECT stream_no, frame_no, {NORM('txt')} AS key FROM numbered)
-SELECT stream_no, frame_no, key, 'released' AS change FROM (SELECT DISTINCT stream_no, frame_no + 1 AS frame_no, key FROM m WHERE frame_no < 20 EXCEPT SELECT stream_no, frame_no, key FROM m)
-UNION ALL SELECT stream_no, frame_no, key, 'kept' FROM (SELECT stream_no, frame_no + 1 AS frame_no, key FROM m WHERE frame_no < 20 INTERSECT SELECT stream_no, frame_no, key FROM m)""")
+@query(f"""WITH {FRAMES}, m AS (SELECT stream_no, frame_no, max(frame_no) OVER (PARTITION BY stream_no) AS last, {NORM('txt')} AS key FROM numbered)
+SELECT stream_no, frame_no, key, 'released' AS change FROM (SELECT DISTINCT stream_no, frame_no + 1 AS frame_no, key FROM m WHERE frame_no < last EXCEPT SELECT stream_no, frame_no, key FROM m)
+UNION ALL SELECT stream_no, frame_no, key, 'kept' FROM (SELECT stream_no, frame_no + 1 AS frame_no, key FROM m WHERE frame_no < last INTERSECT SELECT stream_no, frame_no, key FROM m)""")
 def latch_sets(spark: SparkSession, d: str) -> DataFrame:
     now = frames.frame_numbers(observations(spark, d)).select("stream_no", "frame_no", T.normalize(F.col("txt")).alias("key"))
-    latched = now.where("frame_no < 20").select("stream_no", (F.col("frame_no") + 1).alias("frame_no"), "key")
+    last = F.max("frame_no").over(W.partitionBy("stream_no"))
+    latched = now.withColumn("last", last).where("frame_no < last").select("stream_no", (F.col("frame_no") + 1).alias("frame_no"), "key")
     return latched.subtract(now).withColumn("change", F.lit("released")).union(latched.intersect(now).withColumn("change", F.lit("kept")))
 
 
