@@ -47,6 +47,33 @@ def onset_outcomes(regions: DataFrame, elements: DataFrame, translated: DataFram
     return ranked.withColumn("outcome", verdict).select(*columns).unionByName(rest.select(*columns))
 
 
+OUTCOMES = {"event": "events", "latched": "latched", "duplicate": "duplicate", "unassociated": "unassociated", "ambiguous": "ambiguous", "suppressed_by_translation": "suppressed"}
+
+
+def latched(regions: DataFrame, elements: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(stream_no, boundary, element_no): the elements that are latched after each boundary: from their event on to the end of the run of boundaries
+    at which some region's centre lies in them."""
+    centred = regions.select(*KEYS, (F.col("x") + F.expr("w div 2")).alias("__cx"), (F.col("y") + F.expr("h div 2")).alias("__cy"))
+    supported = centred.join(elements, KEYS).where(G.contains("", F.col("__cx"), F.col("__cy"))).select("stream_no", "element_no", "boundary").distinct()
+    events = outcomes.where("outcome = 'event'").select("stream_no", "element_no", "boundary", F.lit(1).alias("__event"))
+    rows = supported.join(events, ["stream_no", "element_no", "boundary"], "left")
+    rows = rows.withColumn("__run", F.col("boundary") - F.row_number().over(W.partitionBy("stream_no", "element_no").orderBy("boundary")))
+    since = F.max("__event").over(W.partitionBy("stream_no", "element_no", "__run").orderBy("boundary"))
+    return rows.withColumn("__on", since).where("__on = 1").select("stream_no", "boundary", "element_no")
+
+
+def activity_metrics(boundaries: DataFrame, regions: DataFrame, elements: DataFrame, motions: DataFrame) -> DataFrame:
+    """Per stream: boundaries, regions, onsets and their outcomes, translations, and the most elements latched at once."""
+    outcomes = onset_outcomes(regions, elements, motions)
+    counted = outcomes.groupBy("stream_no").agg(F.count(F.lit(1)).alias("onsets"), *(F.count_if(F.col("outcome") == k).alias(v) for k, v in OUTCOMES.items()))
+    held = latched(regions, elements, outcomes).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__n")).groupBy("stream_no").agg(F.max("__n").alias("most_latched"))
+    each = lambda rows, name: rows.groupBy("stream_no").agg(F.count(F.lit(1)).alias(name))
+    out = each(boundaries, "boundaries")
+    for other in (each(regions, "regions"), counted, each(motions, "translations"), held):
+        out = out.join(other, "stream_no", "left")
+    return out.fillna(0)
+
+
 def activities(outcomes: DataFrame, motions: DataFrame, by: int = 4) -> DataFrame:
     """Events of each boundary in their order: a translation, or else elements by number. Motions are in units of `by` pixels."""
     kinds = outcomes.where("outcome = 'event'").select(*KEYS, F.lit("element_region_changed").alias("kind"), "element_no", *(F.lit(None).cast("long").alias(c) for c in ("dx", "dy")))
