@@ -90,3 +90,47 @@ def log2_bin(v: Column) -> Column:
 
 def meaningful_move(dx: Column, dy: Column, least: int = 16) -> Column:
     return (F.abs(dx) >= least) | (F.abs(dy) >= least)
+
+
+def centre_distance2(a: str, b: str) -> Column:
+    """Squared distance of the doubled centres."""
+    ax, ay, aw, ah = _c(a, "x", "y", "w", "h")
+    bx, by, bw, bh = _c(b, "x", "y", "w", "h")
+    dx, dy = 2 * ax + aw - 2 * bx - bw, 2 * ay + ah - 2 * by - bh
+    return dx * dx + dy * dy
+
+
+def expanded(p: str, by: int, fw: Column, fh: Column) -> dict[str, Column]:
+    """x, y, w, h grown by `by` on all sides, within the frame."""
+    x, y, w, h = _c(p, "x", "y", "w", "h")
+    zero = F.lit(0).cast("long")
+    left, top = F.greatest(zero, x - by), F.greatest(zero, y - by)
+    return {"x": left, "y": top, "w": F.least(x + w + by, fw) - left, "h": F.least(y + h + by, fh) - top}
+
+
+def node_box(grid_x: Column, grid_y: Column, span: Column, leaf: int, fw: Column, fh: Column) -> dict[str, Column]:
+    """x, y, w, h of a square of span leaves, cut at the frame's right and lower edge."""
+    x, y = grid_x * leaf, grid_y * leaf
+    return {"x": x, "y": y, "w": F.least(span * leaf, fw - x), "h": F.least(span * leaf, fh - y)}
+
+
+def corner_cell(wide: Column, high: Column, base: int = 24, most: int = 1024) -> Column:
+    """Side of the smallest cells, from base on, of which a span of wide x high needs no more than `most`."""
+    count = lambda c: F.ceil(wide / c) * F.ceil(high / c)
+    # the side wanted is no more than two above the root of the area a cell may have, or the longer side
+    top = F.greatest(F.lit(base), F.least(F.greatest(wide, high), F.ceil(F.sqrt(wide * high / F.lit(float(most)))) * 2 + 2)).cast("int")
+    return F.array_min(F.filter(F.sequence(F.lit(base), F.greatest(top, F.lit(base))), lambda c: count(c) <= most))
+
+
+def saturating(op: str, a: Column, b: Column, low: int = 0, high: int = (1 << 63) - 1) -> Column:
+    """a + b, a - b or a * b of whole numbers, held between low and high."""
+    x, y = (v.cast("decimal(19,0)") for v in (a, b))
+    exact = {"+": x + y, "-": x - y, "*": x * y}[op]
+    return F.least(F.greatest(exact, F.lit(low).cast("decimal(38,0)")), F.lit(high).cast("decimal(38,0)")).cast("long")
+
+
+def checked(op: str, a: Column, b: Column, low: int = 0, high: int = (1 << 63) - 1) -> Column:
+    """The same, null where it would leave that range."""
+    x, y = (v.cast("decimal(19,0)") for v in (a, b))
+    exact = {"+": x + y, "-": x - y, "*": x * y}[op]
+    return F.when(exact.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)")), exact.cast("long"))

@@ -68,3 +68,26 @@ def same_map(a: Column, b: Column) -> Column:
     """Null-safe equality of maps."""
     flat = lambda m: F.array_sort(F.map_entries(m))
     return flat(a).eqNullSafe(flat(b))
+
+
+def same_content(a: str, b: str, state: bool = False) -> Column:
+    """Equal text, role, confidence to tenths and, with state, map of states, missing values being equal to one another; boxes don't count. a and b: prefixes of
+    columns txt, role, conf, state."""
+    same = F.lit(True)
+    for c in ("txt", "role"):
+        same = same & F.col(a + c).eqNullSafe(F.col(b + c))
+    same = same & quantized(F.col(a + "conf")).eqNullSafe(quantized(F.col(b + "conf")))
+    return same & same_map(F.col(a + "state"), F.col(b + "state")) if state else same
+
+
+def little_endian(n: Column, size: int) -> Column:
+    """A whole number's lowest `size` bytes, the lowest first, as binary."""
+    digits = F.right(F.lpad(F.hex(n), 16, "0"), F.lit(2 * size))
+    return F.unhex(F.concat(*(F.substring(digits, 2 * k - 1, 2) for k in range(size, 0, -1))))
+
+
+def lost_priority(text: Column, role: Column, x: Column, y: Column, w: Column, h: Column, number: Column, domain: bytes) -> Column:
+    """SHA-256 (hex) by which lost elements are given up, the largest first; text and role are normal forms, a missing role null. Hex sorts as the bytes do."""
+    sized = lambda s: F.concat(little_endian(F.octet_length(s).cast("long"), 8), s.cast("binary"))
+    known = F.when(role.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), sized(F.coalesce(role, F.lit("")))))
+    return F.sha2(F.concat(F.unhex(F.lit(domain.hex())), sized(text), known, *(little_endian(v, 4) for v in (x, y, w, h)), little_endian(number, 8)), 256)

@@ -87,18 +87,48 @@ def grown(corners: np.ndarray, by: float) -> np.ndarray:
     return np.array([centre + a * half[0] * unit[0] + b * half[1] * unit[1] for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
 
 
+def line_pixels(a: tuple[int, int], b: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of the 8-connected line between two pixels, drawn from left to right."""
+    (x0, y0), (x1, y1) = sorted((a, b), key=lambda p: p[0]) if a[0] != b[0] else (a, b)
+    wide, high = abs(x1 - x0), abs(y1 - y0)
+    long, short = max(wide, high), min(wide, high)
+    # the short side steps where the error term, which starts at long - 2 short and falls by 2 short a pixel, is below zero
+    k = np.arange(long + 1, dtype=np.int64)
+    minor = np.where(k == 0, 0, (2 * short * k + long - 1) // (2 * long)) if long else k
+    sx, sy = (1 if x1 >= x0 else -1), (1 if y1 >= y0 else -1)
+    major = k
+    return (x0 + sx * major, y0 + sy * minor) if wide >= high else (x0 + sx * minor, y0 + sy * major)
+
+
+def polygon_mask(height: int, width: int, polygon: np.ndarray) -> np.ndarray:
+    """Pixels of a polygon of whole corners within the mask: its outline's lines, and on each row what lies between crossings of its edges, which run in
+    steps of 2^-16 pixels."""
+    mask = np.zeros((height, width), bool)
+    corners = [tuple(map(int, p)) for p in polygon]
+    crossings: list[list[int]] = [[] for _ in range(height)]
+    for a, b in zip([corners[-1], *corners], corners):
+        x, y = line_pixels(a, b)
+        mask[y, x] = True
+        if a[1] != b[1]:
+            (xa, ya), (xb, yb) = (a, b) if a[1] < b[1] else (b, a)
+            rise = ((b[0] - a[0]) << 16) / (b[1] - a[1])
+            step = int(rise)  # cut towards zero
+            for row in range(ya, yb):
+                crossings[row].append((xa << 16) + (row - ya) * step)
+    for row, xs in enumerate(crossings):
+        xs.sort()
+        for left, right in zip(xs[::2], xs[1::2]):
+            mask[row, (left + 0xFFFF) >> 16 : (right >> 16) + 1] = True
+    return mask
+
+
 def mean_inside(scores: np.ndarray, corners: np.ndarray) -> float:
-    """Mean of the scores in a convex polygon, borders included; corners are cut to whole pixels. 0 if there is none."""
+    """Mean of the scores in a polygon, borders included; corners are cut to whole pixels of the polygon's box. 0 if there is none."""
     h, w = scores.shape
     lo = np.clip(np.floor(corners.min(0)), 0, [w - 1, h - 1]).astype(int)
     hi = np.clip(np.ceil(corners.max(0)), 0, [w - 1, h - 1]).astype(int)
-    p = np.trunc(corners - lo).astype(int)
-    y, x = np.mgrid[0 : hi[1] - lo[1] + 1, 0 : hi[0] - lo[0] + 1]
-    q = np.roll(p, -1, 0)
-    turns = np.stack([(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(p, q)])
-    box = (x >= p[:, 0].min()) & (x <= p[:, 0].max()) & (y >= p[:, 1].min()) & (y <= p[:, 1].max())
-    inside = ((turns >= 0).all(0) | (turns <= 0).all(0)) & box
-    part = scores[lo[1] : hi[1] + 1, lo[0] : hi[0] + 1][inside]
+    p = np.clip(np.trunc(corners - lo).astype(int), 0, hi - lo)
+    part = scores[lo[1] : hi[1] + 1, lo[0] : hi[0] + 1][polygon_mask(hi[1] - lo[1] + 1, hi[0] - lo[0] + 1, p)]
     return float(part.astype(float).sum() / len(part)) if len(part) else 0.0
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
-def majority(trials: DataFrame, task: list[str], correct: str = "correct", of: int = 3) -> DataFrame:
-    """Per task: correct in more than half of `of` trials."""
-    return trials.groupBy(*task).agg((F.count_if(correct) * 2 > of).alias("correct"), F.count_if(correct).alias("hits"), F.count(F.lit(1)).alias("trials"))
+def majority(trials: DataFrame, task: list[str], correct: str = "correct", of: int | None = None) -> DataFrame:
+    """Per task: correct in more than half of its trials, or of `of` where that many were meant (missing ones count as wrong)."""
+    all_ = F.count(F.lit(1)) if of is None else F.lit(of)
+    return trials.groupBy(*task).agg((F.count_if(correct) * 2 > all_).alias("correct"), F.count_if(correct).alias("hits"), F.count(F.lit(1)).alias("trials"))
 
 
 def slices(tasks: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -28,18 +30,16 @@ def paired(a: DataFrame, b: DataFrame, task: list[str]) -> DataFrame:
 
 
 def bootstrap(clusters: DataFrame, stratum: str, cluster: str, value: str, replicates: int = 10_000, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean of value: clusters drawn with replacement within their stratum, `replicates` times.
+    """95 % interval of the mean of value: in each of `replicates` as many clusters are drawn with replacement within each stratum as it has.
 
-    A cluster's number of draws in a replicate is Poisson(1), from a hash, so replicates need no draws to be shared and
-    the job is one aggregation by replicate.
+    The k-th draw of a replicate is the first 32 bits of an MD5 of (seed, replicate, stratum, k), modulo the stratum's clusters, so draws need no state and
+    the same ones come at any partitioning. Replicates are dealt to tasks; sums go to them by the number drawn.
     """
-    sums = clusters.groupBy(stratum, cluster).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n"))
-    drawn = sums.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64(stratum, cluster, "__r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times, below, p = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 9):
-        below += p
-        times = times + F.when(u >= below, 1).otherwise(0)
-        p /= k
-    means = drawn.withColumn("__k", times).groupBy("__r").agg((F.sum(F.col("__s") * F.col("__k")) / F.sum(F.col("__n") * F.col("__k"))).alias("m"))
+    own = W.partitionBy(stratum).orderBy(cluster)
+    sums = clusters.groupBy(stratum, cluster).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n")).withColumn("__k", F.row_number().over(own) - 1)
+    sizes = sums.groupBy(stratum).agg(F.count(F.lit(1)).alias("__of"))
+    draws = sizes.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("__r").withColumn("__j", F.explode(F.sequence(F.lit(0), (F.col("__of") - 1).cast("int"))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "__r", F.col(stratum).cast("string"), "__j").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("__of")
+    drawn = draws.withColumn("__k", number).join(sums.select(stratum, "__k", "__s", "__n"), [stratum, "__k"])
+    means = drawn.groupBy("__r").agg((F.sum("__s") / F.sum("__n")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

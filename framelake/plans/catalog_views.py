@@ -73,32 +73,35 @@ def manifest_check(spark: SparkSession, d: str) -> DataFrame:
     return manifests.differences(told, found, "doc_id")
 
 
-TRIALS = "trials AS (SELECT l_orderkey AS task, l_orderkey % 50 AS cluster, l_orderkey % 4 AS scenario, l_suppkey % 3 > 0 AS correct, l_partkey % 4 > 0 AS other FROM lineitem WHERE l_linenumber <= 3)"
+TRIALS = "trials AS (SELECT l_orderkey AS task, l_orderkey % 50 AS cluster, l_orderkey % 4 AS scenario, l_suppkey % 3 > 0 AS correct, l_partkey % 4 > 0 AS other FROM lineitem)"
 
 
 def _trials(spark: SparkSession, d: str, arm: str) -> DataFrame:
     c = {"correct": F.col("l_suppkey") % 3 > 0, "other": F.col("l_partkey") % 4 > 0}[arm]
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("task"), (F.col("l_orderkey") % 4).alias("scenario"), c.alias("correct"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), (F.col("l_orderkey") % 4).alias("scenario"), c.alias("correct"))
     return evaluation.majority(rows, ["task", "scenario"])
 
 
-@query(f"""WITH {TRIALS}, m AS (SELECT task, count(*) FILTER (correct) * 2 > 3 AS a, count(*) FILTER (other) * 2 > 3 AS b FROM trials GROUP BY 1)
+@query(f"""WITH {TRIALS}, m AS (SELECT task, count(*) FILTER (correct) * 2 > count(*) AS a, count(*) FILTER (other) * 2 > count(*) AS b FROM trials GROUP BY 1)
 SELECT count(*) FILTER (a AND NOT b) AS wins, count(*) FILTER (b AND NOT a) AS losses, count(*) FILTER (a = b) AS ties, round(avg(CAST(a AS INTEGER) - CAST(b AS INTEGER)), 9) AS delta FROM m""")
 def paired_outcomes(spark: SparkSession, d: str) -> DataFrame:
     out = evaluation.paired(_trials(spark, d, "correct"), _trials(spark, d, "other"), ["task", "scenario"])
     return out.withColumn("delta", F.round("delta", 9))
 
 
-@query(f"""WITH {TRIALS}, m AS (SELECT task, scenario, count(*) FILTER (correct) * 2 > 3 AS a FROM trials GROUP BY 1, 2), s AS (SELECT scenario, avg(CAST(a AS INTEGER)) AS a FROM m GROUP BY 1)
+@query(f"""WITH {TRIALS}, m AS (SELECT task, scenario, count(*) FILTER (correct) * 2 > count(*) AS a FROM trials GROUP BY 1, 2), s AS (SELECT scenario, avg(CAST(a AS INTEGER)) AS a FROM m GROUP BY 1)
 SELECT round(avg(a), 9) AS macro FROM s""")
 def scenario_macro(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.macro(_trials(spark, d, "correct"), "scenario").select(F.round("macro", 9).alias("macro"))
 
 
-@query()
+@query(f"""WITH {TRIALS}, m AS (SELECT task, scenario, task % 200 AS cluster, CAST(count(*) FILTER (correct) * 2 > count(*) AS INTEGER) AS a FROM trials GROUP BY 1, 2, 3),
+s AS (SELECT scenario, cluster, CAST(sum(a) AS DOUBLE) AS s, count(*) AS n, row_number() OVER (PARTITION BY scenario ORDER BY cluster) - 1 AS k FROM m GROUP BY 1, 2), z AS (SELECT scenario, count(*) AS of_ FROM s GROUP BY 1),
+d AS (SELECT r, z.scenario, CAST('0x' || substr(md5(7 || ':' || r || ':' || z.scenario || ':' || j), 1, 8) AS BIGINT) % of_ AS k FROM z, range(2000) t(r), range(of_) u(j)),
+x AS (SELECT r, sum(s) / sum(n) AS mean FROM d JOIN s ON s.scenario = d.scenario AND s.k = d.k GROUP BY r) SELECT round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM x""")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     tasks = _trials(spark, d, "correct").withColumn("cluster", F.col("task") % 200).withColumn("value", F.col("correct").cast("double"))
-    return evaluation.bootstrap(tasks, "scenario", "cluster", "value", replicates=2000)
+    return evaluation.bootstrap(tasks, "scenario", "cluster", "value", replicates=2000).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query()

@@ -183,17 +183,47 @@ def matroska_packets(spark: SparkSession, path: str) -> DataFrame:
 def decoded(packets: DataFrame, decoder, schema: str, stream: str = "path") -> DataFrame:
     """Frames of each stream by an injected decoder: decoder() gives an object whose packet(data, timestamp) and drain() list rows of schema.
 
-    A stream's packets go through one decoder in order, drained at the end; schema starts with the stream's column.
+    A stream's packets go through one decoder in order, drained at the end; schema starts with the stream's column. Packets and frames pass by in
+    batches: what is held of a stream is what its decoder holds.
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        d, out = decoder(), []
-        for r in rows.sort_values("packet_no").itertuples():
-            out += d.packet(bytes(r.data), int(r.timestamp))
-        return pd.DataFrame([(key[0], *x) for x in [*out, *d.drain()]], columns=names)
-
-    return packets.groupBy(stream).applyInPandas(run, schema)
+    def run(frames):
+        d, now, fresh = None, None, True
+        for f in frames:
+            out = []
+            for key, data, timestamp in zip(f[stream], f["data"], f["timestamp"]):
+                if fresh or key != now:
+                    if d is not None:
+                        out += [(now, *x) for x in d.drain()]
+                    d, now, fresh = decoder(), key, False
+                out += [(now, *x) for x in d.packet(bytes(data), int(timestamp))]
+            yield pd.DataFrame(out, columns=names)
+        if d is not None:
+            yield pd.DataFrame([(now, *x) for x in d.drain()], columns=names)
+
+    return packets.select(stream, "packet_no", "data", "timestamp").repartition(stream).sortWithinPartitions(stream, "packet_no").mapInPandas(run, schema)
+
+
+def luma_plane(data: bytes | memoryview, offset: int, stride: int, width: int, height: int, bits: int = 8) -> bytes:
+    """A picture's pixels row by row without padding: row k is at offset + k * stride, and the stride may be negative. An error where it isn't 8-bit, has no
+    size, a stride is shorter than a row, or a row lies outside data."""
+    if width <= 0 or height <= 0:
+        raise ValueError("a picture must have a size")
+    if bits != 8:
+        raise ValueError(f"{bits} bits a pixel, not 8")
+    if abs(stride) < width:
+        raise ValueError("a stride is shorter than a row")
+    last = offset + (height - 1) * stride
+    if min(offset, last) < 0 or max(offset, last) + width > len(data):
+        raise ValueError("a row is outside the picture's data")
+    return b"".join(bytes(data[at : at + width]) for at in range(offset, last + (1 if stride > 0 else -1), stride)) if height > 1 else bytes(data[offset : offset + width])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files, lines counted from 1 in each file: by the place of the block that a line was read in, then in the order of reading."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), "value").withColumn("__at", F.monotonically_increasing_id())
+    return rows.withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("__block", "__at")).cast("long")).select("file", "line_no", "value")
 
 
 def seek(packets: DataFrame, timestamp: int) -> DataFrame:

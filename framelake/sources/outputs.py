@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import write_events
@@ -17,6 +17,26 @@ def metrics(events: DataFrame) -> DataFrame:
     return streams.join(folded, how="cross")  # one row beside one row
 
 
+def distinct_paths(spark: SparkSession, inputs: list[str], outputs: list[str]) -> list[str]:
+    """outputs, resolved, if they are new, differ from one another and from the inputs, and none lies in another; else an error."""
+    def resolved(path: str):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        return fs, fs.makeQualified(p)
+
+    known, new = [resolved(p)[1].toString().rstrip("/") for p in inputs], []
+    for path in outputs:
+        fs, p = resolved(path)
+        if fs.exists(p):
+            raise FileExistsError(f"refusing to write over {path}")
+        new.append(p.toString().rstrip("/"))
+    for i, a in enumerate(new):
+        for b in [*known, *new[:i]]:
+            if a == b or f"{a}/".startswith(f"{b}/") or f"{b}/".startswith(f"{a}/"):
+                raise ValueError(f"input and output paths must be distinct: {a}, {b}")
+    return new
+
+
 def write_run(events: DataFrame, lines: DataFrame, folder: str) -> None:
     """Writes folder/events, folder/state and, last, folder/metrics; the folder must be new and is removed again if a write fails.
 

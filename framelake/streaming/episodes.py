@@ -10,6 +10,9 @@ LEAF, LEAST_DIFF, LEAST_CHANGED, NEAR = 16, 24, 8, 16
 SCHEMA = "stream_no long, ts_ms long, kind string, episode long, x long, y long, w long, h long, changed long"
 
 
+COUNTS = ["frames", "comparisons", "resizes", "empty", "changed_pixels", "leaves", "regions", "charged_pixels", "starts", "continuations", "closures", "most_regions", "most_open"]
+
+
 def regions(before: np.ndarray, now: np.ndarray, leaf: int = LEAF, least: int = LEAST_CHANGED) -> list[tuple[int, int, int, int, int]]:
     """(y, x, h, w, changed) of changed areas: leaves with enough changed pixels, four of a square joined while
     the square is at most twice its changed pixels and nothing in it was finished smaller."""
@@ -40,21 +43,30 @@ class Episodes:
 
     def __init__(self, leaf: int = LEAF, least: int = LEAST_CHANGED):
         self.open, self.next, self.last, self.leaf, self.least, self.done = {}, 1, None, leaf, least, False
+        self.counts = dict.fromkeys(COUNTS, 0)
 
     def _close(self) -> list[tuple]:
         out = [(r, i, "closed") for i, r in self.open.items()]
         self.open = {}
+        self.counts["closures"] += len(out)
         return sorted(out, key=lambda t: (t[0], t[1]))
 
     def observe(self, plane: np.ndarray) -> list[tuple]:
         if self.done:
             raise ValueError("the stream is finished")
-        last, self.last = self.last, plane
+        last, self.last, n = self.last, plane, self.counts
+        n["frames"] += 1
         if last is None:
             return []
         if last.shape != plane.shape:
+            n["resizes"] += 1
             return self._close()
         now, found = regions(last, plane, self.leaf, self.least), []
+        changed = (abs(plane.astype(int) - last) >= LEAST_DIFF).astype(int)
+        per_leaf = np.add.reduceat(np.add.reduceat(changed, range(0, plane.shape[0], self.leaf), 0), range(0, plane.shape[1], self.leaf), 1)
+        for name, v in (("comparisons", 1), ("empty", not now), ("changed_pixels", changed.sum()), ("leaves", (per_leaf >= self.least).sum()), ("regions", len(now)), ("charged_pixels", sum(h * w for _, _, h, w, _ in now))):
+            n[name] += int(v)
+        n["most_regions"] = max(n["most_regions"], len(now))
         for i, a in self.open.items():
             for j, b in enumerate(now):
                 gap = lambda n: max(a[n], b[n]) - min(a[n] + a[n + 2], b[n] + b[n + 2])
@@ -76,6 +88,9 @@ class Episodes:
                 i, self.next, kind = self.next, self.next + 1, "started"
             self.open[i] = r
             out.append((r, i, kind))
+        for name, kind in (("starts", "started"), ("continuations", "continued"), ("closures", "closed")):
+            n[name] += sum(k == kind for *_, k in out)
+        n["most_open"] = max(n["most_open"], len(self.open))
         return sorted(out, key=lambda t: (t[0][:4], t[1], ("started", "continued", "closed").index(t[2])))
 
     def finish(self) -> list[tuple]:
@@ -99,3 +114,18 @@ def episodes(planes: DataFrame, leaf: int = LEAF, least: int = LEAST_CHANGED) ->
         return pd.DataFrame([(int(key[0]), at, kind, i, x, y, w, h, n) for at, ((y, x, h, w, n), i, kind) in out], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return planes.groupBy("stream_no").applyInPandas(run, SCHEMA)
+
+
+def episode_metrics(planes: DataFrame, leaf: int = LEAF, least: int = LEAST_CHANGED) -> DataFrame:
+    """A row a stream: COUNTS of its planes, and the episodes open at its end (which finishing closes, and counts as closures)."""
+    names = ["stream_no", *COUNTS, "open_at_end"]
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        state = Episodes(leaf, least)
+        for r in rows.sort_values("ts_ms").itertuples():
+            state.observe(np.asarray(r.luma, np.int64).reshape(-1, int(r.width)))
+        left = len(state.open)
+        state.finish()
+        return pd.DataFrame([(int(key[0]), *state.counts.values(), left)], columns=names)
+
+    return planes.groupBy("stream_no").applyInPandas(run, ", ".join(f"{n} long" for n in names))
