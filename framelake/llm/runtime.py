@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Bytes of an Arrow batch that reaches Python, the same for every operator.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch that reaches Python, the same for every operator; rows that are broadcast at most.
+BATCH_BYTES, FEW_ROWS = 4 << 20, 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not given:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="framelake-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         given = sc.getCheckpointDir()
     return given.rstrip("/")
 
@@ -34,6 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """rows (a checkpoint, of short values), to be broadcast if they are no more than `most`; joins are by shuffle beyond that."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is read no more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the bytes of an Arrow batch for Python stages over whole texts (a batch has a row at least)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

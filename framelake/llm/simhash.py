@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, tiled exact comparison, components.
 
 Fingerprints within `radius` bits are found exactly and without comparing all pairs. The 64 bits are cut into
-radius + 1 bands; two fingerprints within the radius agree in one band at least. A cell holds the distinct
-fingerprints that agree in a band. Within a cell, rows are ordered by population count and cut into tiles; a tile pair
+radius + 1 bands; two fingerprints within the radius agree in one band at least (many fingerprints: into more bands, all but
+`radius` of which agree). A cell holds the distinct fingerprints that agree in a band (in those). Within a cell, rows are ordered by population count and cut into tiles; a tile pair
 whose counts differ beyond the radius is skipped, every other is compared by exclusive-or and bit counts. Cells
 over TILE_ROWS rows are dealt over several tasks: their rows are cut by population count and a hash into parts of
 about TILE_ROWS, and each pair of parts within the radius is a task of its own. Each task returns no more links
@@ -15,6 +15,7 @@ in few bits for certain, so exclusive-or and bit counts lose no pair, and what t
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .components import connected_components, roots
-from .runtime import bounded_batches, checkpoint, with_field
+from .runtime import bounded_batches, checkpoint, few, with_field
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 TILE, TILE_ROWS = 256, 4096
@@ -34,8 +35,10 @@ TILE, TILE_ROWS = 256, 4096
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: The sample that tells common shingles: texts at least, one text in so many, shingles counted at once; common ones at most; slack of bounds in doubles.
 SAMPLE_TEXTS, SAMPLE_EVERY, SAMPLE_SHINGLES, COMMON, _EPS = 4_000, 16, 2_000_000, 400_000, 1e-9
-#: Nodes of a cell up to which all its pairs are looked at at once; rows of cells held at once; bits of a sketch; pairs held for a forest; rows that are broadcast at most.
-LARGE_CELL, MEET_ROWS, MOST_PARTS, BEST_PAIRS, FEW_ROWS = 64, 100_000, 1 << 16, 1_000_000, 1_000_000
+#: Nodes of a cell up to which all its pairs are looked at at once; rows of cells held at once; bits of a sketch; pairs held for a forest.
+LARGE_CELL, MEET_ROWS, MOST_PARTS, BEST_PAIRS = 64, 100_000, 1 << 16, 1_000_000
+#: Comparisons that take as long as moving a row to another cell.
+ROW_COST = 1_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -194,18 +197,35 @@ def _links(radius: int):
     return _by_task(of, columns, ["u", "v"])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def band_count(n: int, radius: int) -> int:
+    """Into how many bands to cut n fingerprints' bits: fingerprints within the radius agree in all but `radius` of them, so each set of
+    the others is a table of cells. More bands make finer cells and more tables; comparisons per table are about n squared by cells."""
+    def cost(bands):
+        tables = math.comb(bands, radius)
+        return tables * (n * ROW_COST + n * n / 2.0 ** (64 * (bands - radius) / bands + 1))
+
+    return min(range(radius + 1, radius + 5), key=cost)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, bands: int | None = None) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of distinct fingerprints (fp: long) within radius bits.
 
     Nulls are ignored. Every returned link is one within the radius, but for those a forest puts to its root. fps must be cheap to
-    read several times.
+    read several times. bands: band_count() of the fingerprints unless given; results don't depend on it.
     """
     if not 0 <= radius <= 15:
         raise ValueError("the radius must be from 0 to 15")
-    bands = radius + 1
+    alone = fps.where("fp IS NOT NULL").select("fp").distinct()
+    bands = bands or band_count(alone.count(), radius)
     edges = [64 * i // bands for i in range(bands + 1)]
-    cells = F.array(*(F.lit(i).cast("long") * F.lit(1 << 56) + F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << e - s) - 1).cast("long")) for i, (s, e) in enumerate(zip(edges, edges[1:])))) if radius else F.array(F.lit(0).cast("long"))
-    rows = fps.where("fp IS NOT NULL").select("fp").distinct().withColumn("pop", F.bit_count("fp")).withColumn("cell", F.explode(cells))
+    band = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << e - s) - 1).cast("long")) for s, e in zip(edges, edges[1:])]
+    if not radius:
+        cells = F.array(F.lit(0).cast("long"))
+    elif bands == radius + 1:
+        cells = F.array(*(F.lit(i).cast("long") * F.lit(1 << 56) + b for i, b in enumerate(band)))
+    else:  # two cells with one hash are one cell, in which more is compared
+        cells = F.array(*(F.xxhash64(F.lit(i), *(band[x] for x in kept)) for i, kept in enumerate(itertools.combinations(range(bands), bands - radius))))
+    rows = alone.withColumn("pop", F.bit_count("fp")).withColumn("cell", F.explode(cells))
     dealt = _dealt(rows, "fp", lambda high, low: low - high <= radius, tile_rows).repartition("task").sortWithinPartitions("task", "side")
     return dealt.select("task", "side", "fp").mapInArrow(_links(radius), "u long, v long").distinct()
 
@@ -319,11 +339,6 @@ def _reach(n, m, similarity: float):
     return np.floor((1 - similarity) / (1 + similarity) * (n + m) + _EPS)
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """rows (a checkpoint), to be broadcast if they are few."""
-    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
-
-
 def _may_be_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """pairs but for those whose sketches show that they differ in too many shingles."""
 
@@ -474,7 +489,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame, words: int, simil
     if pairs.isEmpty():
         return pairs
     wanted = checkpoint(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("__h")))
-    texts = own.select("__hash", "__text").join(_few(wanted), F.col("__hash") == F.col("__h")).dropDuplicates(["node"]).select("node", "__text")
+    texts = own.select("__hash", "__text").join(few(wanted), F.col("__hash") == F.col("__h")).dropDuplicates(["node"]).select("node", "__text")
 
     def sets(batches):
         for batch in batches:
@@ -529,7 +544,7 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
     ])
     found = checkpoint(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     nodes = checkpoint(found.groupBy("key").agg(F.min("row").alias("node"), F.min("__id").alias("least"), F.min("__hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    cells = found.join(_few(nodes.select(F.col("node").alias("__n"))), F.col("row") == F.col("__n"), "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("head").alias("pos", "token"))
+    cells = found.join(few(nodes.select(F.col("node").alias("__n"))), F.col("row") == F.col("__n"), "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("head").alias("pos", "token"))
     cells = cells.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "node")
     met = checkpoint(cells.mapInArrow(_meet(similarity), "token long, u long, v long, n long, pos long"))
     tried = _may_be_alike(met.where("token IS NULL").select("u", "v").distinct(), nodes, similarity)
@@ -586,7 +601,7 @@ def kept(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIM
     # what goes, and what stays once of several copies, is less than what just stays: texts needn't move to be told apart
     marks = checkpoint(each.join(least, "component").where(~stays | (F.col("copies") > 1)).select(F.col(id).alias("__gone"), F.col("text_hash").alias("__gone_hash"), stays.alias("__once")))
     rows = df.withColumn("__hash", F.xxhash64(text))
-    rows = rows.join(_few(marks), F.col(id).eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__gone_hash")), "left")
+    rows = rows.join(few(marks), F.col(id).eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__gone_hash")), "left")
     alone = rows.where("__once IS NULL").select(*df.columns)
     if marks.where("__once").isEmpty():
         return alone
