@@ -22,7 +22,8 @@ def histogram(counted: DataFrame, length: str = "n_tokens") -> DataFrame:
 
 def answers(hist: DataFrame) -> DataFrame:
     """For each length as a context limit: docs of it, docs_at_least, tokens_at_least (theirs, uncut), truncated_tokens
-    (of all documents, each cut at the limit), and share_at_most, the share of documents not over it."""
+    (of all documents, each cut at the limit), and share_at_most, the share of documents not over it. hist has n_tokens and docs, each length once (ties are
+    counted by histogram()); its other columns are left out. An empty histogram has no answers."""
     cut = hist.withColumn("range", F.expr(f"n_tokens div {RANGE}")).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     ranges = cut.groupBy("range").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     above = W.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)

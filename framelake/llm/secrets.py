@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpoint
+from .runtime import FEW_ROWS, checkpoint
 
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 4, 10
 #: Fixed patterns, by kind in the order in which spans with one start are listed.
@@ -130,10 +130,15 @@ def redacted(df: DataFrame, id: str = "doc_id", text: str = "text", owner: str =
     """df with every span of find_secrets() replaced by mark; overlapping spans become one mark.
 
     length: a column that is set to the new text's code points where text changes. Rows and columns stay as they are
-    otherwise. Widely copied examples of base kinds are replaced too.
+    otherwise. Widely copied examples of base kinds are replaced too. Null and empty texts stay as they are; rows with a null id are rows
+    like any other; repeated rows are changed alike. An empty table stays empty.
     """
     spans = find_secrets(df, id, text, owner, repo).where(F.size("spans") > 0)
-    cuts = spans.select(F.col(id).alias("__id"), "text_hash", "spans").dropDuplicates(["__id", "text_hash"])
+    places = F.transform("spans", lambda s: F.struct(s["start"], s["end"]))
+    cuts = checkpoint(spans.select(F.col(id).alias("__id"), "text_hash", places.alias("spans")).dropDuplicates(["__id", "text_hash"]))
+    many = cuts.agg(F.coalesce(F.sum(F.size("spans") + 8), F.lit(0)).alias("n")).first()["n"]
+    # texts with spans are few: while their places are, the others' texts needn't move
+    cuts = F.broadcast(cuts) if many <= FEW_ROWS else cuts
     step = lambda acc, s: F.when(
         s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
     ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(F.struct(acc["at"].alias("s"), s["start"].alias("e")))).alias("parts")))

@@ -354,6 +354,10 @@ def test_links_lose_no_component(spark, tile_rows):
     frame = spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long")
     links = simhash.links(frame, 3, tile_rows)
     assert links.count() <= 8 * len(a)
+    for bands in (5, 7):  # as larger tables are cut
+        finer = {r["node"] % 2**64: r["root"] % 2**64 for r in connected_components(simhash.links(frame, 3, tile_rows, bands)).collect()}
+        assert len({finer.get(x, x) for x in fps}) == len(set(want.tolist()))
+    assert simhash.band_count(10**5, 3) == 4 and simhash.band_count(10**10, 3) > 4
     got = {r["node"] % 2**64: r["root"] % 2**64 for r in connected_components(links).collect()}
     groups = defaultdict(set)
     for x, w in zip(fps, want):
@@ -411,7 +415,9 @@ def test_mixing_order(docs, none, spark):
                 break
     assert [next(iter(at[t]))[0] for t in range(len(at))] == order
     assert Counter(mixing.ordered(docs).collect()) == Counter(docs.collect())
-    assert mixing.mixed(none).count() == 0
+    assert mixing.mixed(none).count() == 0 and mixing.ordered(none).count() == 0
+    own = mixing.mixed(frame.selectExpr("*", "'mine' AS block", "'mine' AS slot", "'mine' AS mix_pos", "1 AS extra"), "source", ["doc_id"])
+    assert own.columns == ["doc_id", "source", "extra", "block", "slot", "mix_pos"] and dict(own.dtypes)["slot"] == "bigint" and own.count() == len(rows)
     pooled = mixing.mixed(frame, "source", ["doc_id"], most_sources=2).collect()
     assert len(pooled) == len(rows) and len({(r["slot"], r["mix_pos"]) for r in pooled}) == len(rows)
 
@@ -623,6 +629,10 @@ def test_lengths(docs, spark):
     assert got == {x: (sum(min(y, x) for y in n), sum(y > x for y in n)) for x in (0, 6, 3000, 10**6)}
     assert {r["share"]: r["n_tokens"] for r in lengths.quantiles(table, [0.5, 0.9, 1.0]).collect()} == {0.5: 7, 0.9: 4096, 1.0: 100_000}
     assert lengths.answers(lengths.histogram(spark.createDataFrame([], "n_tokens int"))).count() == 0
+    ranks, pattern = vocabulary()
+    assert bpe.count_tokens(docs.where("false"), ranks, pattern).count() == 0
+    counted = bpe.count_tokens(docs.withColumn("n_tokens", F.lit("old")), ranks, pattern)
+    assert "text" not in counted.columns and dict(counted.dtypes)["n_tokens"] == "bigint" and counted.count() == len(rows_of())
 
 
 def test_language_fusion(spark, docs, none):

@@ -69,3 +69,34 @@ def test_encoded_rows_have_their_places(spark, tmp_path):
                 del left[i]
                 break
     assert [{r["source"] for r in got if r["slot"] == t} for t in range(len(order))] == [{s} for s in order] and got[-1]["slot"] == len(order) - 1
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, ids that are shared or missing, then no rows at all."""
+    import tiktoken
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()
+    good = [r for r in docs if len(r["text"] or "") > 400 and not base_spans(r["text"])][:60]
+    rows = [tuple(r) for r in good]
+    rows += [rows[0], rows[1], (None, good[2]["text"], None, None, None), (None, None, None, None, None), (500, "", "en", "s", 0), (501, None, "en", "s", 0), (502, "12 34 --", "en", "s", 8)]
+    rows += [(503, good[3]["text"] * 40, "en", None, 1), (504, good[4]["text"][:300] + " token=abcd1234efgh " + good[5]["text"][:300], None, "s", 1), (505, good[6]["text"], "xx", "s", 1), (505, good[7]["text"], good[7]["lang"], "s", 1)]
+    (tmp_path / "a").mkdir()
+    spark.createDataFrame(rows, columns).repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert len({(r["slot"], r["mix_pos"]) for r in got}) == len(got)
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language"](spark, spark.read.parquet(f"{tmp_path}/a/documents.parquet"), "").collect()
+    texts = Counter(r["text"] for r in first)
+    assert not texts.keys() & {None, "", "12 34 --"} and texts[good[0]["text"]] == 2 and texts[good[2]["text"]] == 2
+    assert {r["lang"] for r in first if r["text"] == good[2]["text"]} == {good[2]["lang"]} and {r["lang"] for r in first if r["doc_id"] == 505} >= {good[6]["lang"]}
+    # one of each component of exact similarity goes on
+    order = sorted(first, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    stays = {order[i]["text"] for i in set(brute_components([r["text"] for r in order]))}
+    ranks, pattern = vocabulary()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    shown = Counter(sha(" ".join(map(str, own.encode_ordinary(t.replace("token=abcd1234efgh", "<secret>"))))) for t in stays)
+    assert Counter(r["ids_sha256"] for r in got) == shown
+    (tmp_path / "b").mkdir()
+    spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
