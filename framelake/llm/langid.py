@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .runtime import bounded_batches, checkpoint
+from .runtime import FEW_ROWS, bounded_batches, checkpoint, few
 
 #: Rows of each language that the model is fitted on; trigram buckets.
 SAMPLE_ROWS, BUCKETS = 500, 1 << 15
 #: Trigrams that count as independent: longer texts are weighed as if they had this many. Rows that a coarser level of counts is worth.
 EVIDENCE, WEIGHT = 60, 20.0
-#: Labels up to which their counts are broadcast.
-MOST_BROADCAST = 1_000_000
 #: A row is rejected below this posterior, or with too little that could be a language's text.
 LEAST_POSTERIOR, LEAST_LETTERS = 0.5, 0.25
 _A, _B = 0x9E3779B1, 0x85EBCA6B
@@ -82,10 +80,11 @@ def fit(labelled: DataFrame, text: str, label: str, id: str, rows: int = SAMPLE_
         return Model(["und"], *(np.zeros(0, np.int64) for _ in range(3)))
     place = F.pmod(F.xxhash64("__i", F.lit(11)), F.lit(1 << 30))
     # a little more than enough by the hash first, so that no window holds all rows of a label
-    known = F.broadcast(counts) if len(names) <= MOST_BROADCAST else counts
+    known = F.broadcast(counts) if len(names) <= FEW_ROWS else counts
     drawn = own.select("__l", "__i", place.alias("__h")).join(known, "__l").where(F.col("__h") < (1.5 * rows + 20) / F.col("__n") * (1 << 30))
     picked = drawn.withColumn("__r", F.row_number().over(W.partitionBy("__l").orderBy("__h", "__i"))).where(F.col("__r") <= rows)
-    picked = picked.select(F.col("__l").alias("__pl"), F.col("__i").alias("__pi")).distinct()
+    # at most `rows` ids a label: texts are picked by them where they are
+    picked = few(checkpoint(picked.select(F.col("__l").alias("__pl"), F.col("__i").alias("__pi")).distinct()))
     sample = own.join(picked, (F.col("__l") == F.col("__pl")) & F.col("__i").eqNullSafe(F.col("__pi")), "left_semi").select("__l", "__t")
     at = {x: i for i, x in enumerate(names)}
 
