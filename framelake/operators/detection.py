@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..functions.detector import FIRST_SIDE, SCORE_FLOOR, SECOND_SIDE, STAGES
 
 # Fixed values.
-ACTIVE, UNCLIP, MOST_CONTOURS = np.float32(0.2), 1.4, 3_000
+ACTIVE, UNCLIP, MOST_CONTOURS, ARC, MOST_POINTS = np.float32(0.2), 1.4, 3_000, 0.25, 1_024
 
 SCHEMA = "contour_no long, disposition string, first_side double, score double, second_side double, quad array<struct<x:long,y:long>>"
 
@@ -79,12 +81,30 @@ def _corners(along, across, u0, u1, v0, v1) -> np.ndarray:
 
 
 def grown(corners: np.ndarray, by: float) -> np.ndarray:
-    """The rectangle with every side moved out: what a rounded offset of it fits into."""
-    centre = corners.mean(0)
-    side = [corners[1] - corners[0], corners[3] - corners[0]]
-    unit = [s / np.hypot(*s) for s in side]
-    half = [np.hypot(*s) / 2 + by for s in side]
-    return np.array([centre + a * half[0] * unit[0] + b * half[1] * unit[1] for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    """Whole-number points of a convex polygon, its corners cut to whole numbers, moved out by `by`: around each corner an arc from one side's normal to the next
+    one's, in steps that leave ARC of a pixel at most (of `by`, where that is less than a pixel); points are rounded, halves away from zero."""
+    p = np.trunc(corners).astype(np.int64)
+    p = p[[i for i in range(len(p)) if (p[i] != p[i - 1]).any()]]
+    if len(p) < 3:
+        return np.trunc(corners[:1])
+    x, y = p.T
+    p = p if (x * np.roll(y, -1) - y * np.roll(x, -1)).sum() >= 0 else p[::-1]
+    along = (np.roll(p, -1, 0) - p).astype(float)
+    along /= np.hypot(*along.T)[:, None]
+    out = np.stack([along[:, 1], -along[:, 0]], 1)
+    full = min(math.pi / math.acos(1 - min(ARC, by * ARC) / by), by * math.pi)  # steps of a whole turn
+    points = []
+    for corner, a, b in zip(p, np.roll(out, 1, 0), out):
+        sine, cosine = a[0] * b[1] - a[1] * b[0], float(a @ b)
+        straight = abs(sine * by) < 1 and cosine > 0
+        angle = math.atan2(min(1.0, max(-1.0, sine)), cosine)
+        at = 0.0 if straight else math.tau / full * np.arange(max(1, math.floor(full / math.tau * abs(angle) + 0.5)))
+        turned = np.stack([a[0] * np.cos(at) - a[1] * np.sin(at), a[0] * np.sin(at) + a[1] * np.cos(at)], -1).reshape(-1, 2)
+        points += [corner + by * turned] + ([] if straight else [(corner + by * b)[None]])
+    points = np.concatenate(points)
+    if len(points) > MOST_POINTS:
+        raise ValueError("an offset has too many points")
+    return np.trunc(points + np.copysign(0.5, points))
 
 
 def line_pixels(a: tuple[int, int], b: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +178,8 @@ def lines_of(scores: np.ndarray, src_h: int, src_w: int) -> list[tuple]:
         if score < SCORE_FLOOR:
             out.append((n, STAGES[1], first, score, None, None))
             continue
-        wider = grown(corners, a * b * UNCLIP / (2 * (a + b)))
-        second = float(min(np.hypot(*(wider[1] - wider[0])), np.hypot(*(wider[3] - wider[0]))))
+        wider, *sides = smallest_rectangle(grown(corners, a * b * UNCLIP / (2 * (a + b))))
+        second = min(sides)
         if second < SECOND_SIDE:
             out.append((n, STAGES[2], first, score, second, None))
             continue
@@ -171,8 +191,7 @@ def lines_of(scores: np.ndarray, src_h: int, src_w: int) -> list[tuple]:
 def detect(maps: DataFrame, key: str) -> DataFrame:
     """Contours of maps (key, map_h, map_w, src_h, src_w, scores: array of float by rows), each with the gate it stopped at or its quad.
 
-    Rectangles are computed in doubles, and an offset's rectangle is taken as the grown one, without its rounding to whole
-    pixels: a quad's corner may lie a pixel from that of an engine that works in singles.
+    Rectangles are computed in doubles: a quad's corner may lie a pixel from that of an engine that works in singles.
     """
     kind = maps.schema[key].dataType.simpleString()
     names = [key, *(c.split()[0] for c in SCHEMA.split(", "))]

@@ -131,8 +131,13 @@ def dominant_translation(anchors: DataFrame, width: int = 20, least: int = 3) ->
 
 
 def point_hits(points: DataFrame, obs: DataFrame, keys: list[str]) -> DataFrame:
-    """points (keys, point_no, px, py) with how many elements of the frame hold them: none, one (its index) or ambiguous."""
-    found = points.join(obs, keys).where(G.contains("", F.col("px"), F.col("py"))).groupBy(*keys, "point_no").agg(F.count(F.lit(1)).alias("n"), F.min("obs_index").alias("only"))
+    """points (keys, point_no, px, py) with how many elements of the frame hold them: none, one (its index) or ambiguous. A point meets the
+    elements that touch its cell of a grid."""
+    across = lambda low, size: F.sequence(F.floor(F.col(low) / CELL), F.floor((F.col(low) + F.greatest(F.col(size), F.lit(1)) - 1) / CELL))
+    cells = F.flatten(F.transform(across("x", "w"), lambda i: F.transform(across("y", "h"), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    touched = obs.select(*keys, "obs_index", "x", "y", "w", "h", F.explode(cells).alias("cell"))
+    own = points.withColumn("cell", F.struct(F.floor(F.col("px") / CELL).alias("i"), F.floor(F.col("py") / CELL).alias("j")))
+    found = own.join(touched, [*keys, "cell"]).where(G.contains("", F.col("px"), F.col("py"))).groupBy(*keys, "point_no").agg(F.count(F.lit(1)).alias("n"), F.min("obs_index").alias("only"))
     out = points.join(found, [*keys, "point_no"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     state = F.when(F.col("n") == 0, "unassociated").when(F.col("n") == 1, "associated").otherwise("ambiguous")
     return out.select(*keys, "point_no", "n", state.alias("state"), F.when(F.col("n") == 1, F.col("only")).alias("obs_index"))

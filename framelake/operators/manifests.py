@@ -24,7 +24,8 @@ def differences(told: DataFrame, found: DataFrame, name: str) -> DataFrame:
 def malformed(told: DataFrame, roles: list[str]) -> DataFrame:
     """(position, problem) of rows of a manifest (position, role, path, bytes, digest) that break its rules: roles in their order, clean
     relative paths, each path once, positive sizes, digests in lower-case hex."""
-    wanted = F.element_at(F.array(*map(F.lit, roles)), F.when(F.col("position").between(0, len(roles) - 1), (F.col("position") + 1).cast("int")))
+    # get(), as element_at() gives the last role for a null place
+    wanted = F.get(F.array(*map(F.lit, roles)), F.when(F.col("position").between(0, len(roles) - 1), F.col("position").cast("int")))
     often = told.groupBy("path").agg(F.count(F.lit(1)).alias("__n"))
     known = lambda c: F.coalesce(c, F.lit(False))
     problem = (

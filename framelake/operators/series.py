@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -94,11 +95,44 @@ def histogram64(values: DataFrame, bin: Column) -> DataFrame:
     return spark.range(64).select(F.col("id").cast("int").alias("bin")).join(values.groupBy(bin.alias("bin")).agg(F.count(F.lit(1)).alias("n")), "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def digest(rows: DataFrame, order: str, name: str, size: str, sha: str) -> DataFrame:
-    """One row: SHA-256 of the canonical JSON list of (bytes, sha256), in order."""
+def digests(rows: DataFrame, group: list[str], order: list[str], size: str, sha: str, name: str = "digest") -> DataFrame:
+    """(group, name, items): SHA-256 of each group's canonical JSON list of (bytes, sha256), in order. A group is hashed as its rows pass by; nothing is collected."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), f"{name} string", "items bigint"])
+
+    def run(batches):
+        import hashlib
+
+        now, state, n = None, None, 0
+
+        def done():
+            state.update(b"]")
+            return pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(now, fields)), pa.array([state.hexdigest()]), pa.array([n], pa.int64())], [*group, name, "items"])
+
+        for batch in batches:
+            fields = [batch.schema.field(g) for g in group]
+            keys = list(zip(*(batch.column(g).to_pylist() for g in group))) if group else [()] * len(batch)
+            for key, item in zip(keys, batch.column("__item").to_pylist()):
+                if state is None or key != now:
+                    if state is not None:
+                        yield done()
+                    now, state, n = key, hashlib.sha256(b"["), 0
+                state.update((b"," if n else b"") + item.encode())
+                n += 1
+        if state is not None:
+            yield done()
+
     item = F.to_json(F.struct(F.col(size).alias("bytes"), F.col(sha).alias("sha256")))
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("j"))))
-    return rows.agg(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["j"]), ","), F.lit("]")), 256).alias(name), F.count(F.lit(1)).alias("items"))
+    dealt = rows.withColumn("__item", item).select(*dict.fromkeys([*group, *order]), "__item")
+    dealt = dealt.repartition(*group) if group else dealt.coalesce(1)
+    return dealt.sortWithinPartitions(*group, *order).select(*group, "__item").mapInArrow(run, schema)
+
+
+def digest(rows: DataFrame, order: str, name: str, size: str, sha: str) -> DataFrame:
+    """One row: digests() of all rows as one group; no rows give the digest of an empty list."""
+    found = digests(rows, [], [order], size, sha, name)
+    none = rows.sparkSession.range(1).select(F.sha2(F.lit("[]"), 256).alias(name), F.lit(0).cast("long").alias("items"))
+    return found.union(none).groupBy().agg(F.max_by(name, "items").alias(name), F.max("items").alias("items"))
 
 
 def high_water(rows: DataFrame, group: list[str], order: list, values: list[str]) -> DataFrame:

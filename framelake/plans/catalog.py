@@ -320,10 +320,8 @@ def slice_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH m AS (SELECT lang, doc_id, strlen(text) AS b, sha256(text) AS s FROM documents)
 SELECT lang, sha256('[' || string_agg('{"bytes":' || b || ',"sha256":"' || s || '"}', ',' ORDER BY doc_id) || ']') AS digest FROM m GROUP BY 1""")
 def artifact_digest(spark: SparkSession, d: str) -> DataFrame:
-    item = F.to_json(F.struct(F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256")))
-    members = table(spark, d, "documents").select("lang", "doc_id", item.alias("j"))
-    listed = F.array_sort(F.collect_list(F.struct("doc_id", "j")))
-    return members.groupBy("lang").agg(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["j"]), ","), F.lit("]")), 256).alias("digest"))
+    members = table(spark, d, "documents").select("lang", "doc_id", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha"))
+    return series.digests(members, ["lang"], ["doc_id"], "size", "sha").select("lang", "digest")
 
 
 @query("""WITH g AS (SELECT stream_no, t_ms, t_ms - lag(t_ms) OVER (PARTITION BY stream_no ORDER BY t_ms) AS gap FROM frame_times)

@@ -10,10 +10,11 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from ..functions import texts as T
-from ..operators import frames, models, motion, planes, series
+from ..operators import frames, manifests, models, motion, planes, series
+from ..sources import files
 from ..sources.tables import observations, pixels, table
 from ..streaming import episodes, tracker
-from .catalog import FRAMES, IOU, NEAREST, NORM, _mutual, query
+from .catalog import DIFF, FRAMES, IOU, NEAREST, NORM, _mutual, query
 
 LOST = f"""{FRAMES}, e AS (SELECT *, {NORM('txt')} AS key, CASE WHEN obs_index % 5 = 4 THEN NULL ELSE role END AS r FROM numbered),
 lost AS (SELECT stream_no, frame_no + 2 AS frame_no, obs_index AS element_no, x, y, w, h, key, r FROM e), lm AS (
@@ -121,6 +122,52 @@ def same_content(spark: SparkSession, d: str) -> DataFrame:
     return both.select("stream_no", "frame_no", "obs_index", T.same_content("p_", "n_").alias("same"), T.same_content("p_", "n_", state=True).alias("same_with_state"))
 
 
+@query(f"""WITH {DIFF} SELECT stream_no, sequence, md5('{{"specversion":"1.0","id":"' || stream_no || ':' || sequence || '","source":"urn:framelake:stream:' || stream_no || '","sequence":' || sequence || ',"frametime":' || ts_ms
+  || ',"datacontenttype":"application/json","type":"' || type || '","data":{{"x":' || x || ',"y":' || y || ',"txt":"' || key || '","conf":' || conf || '}}}}') AS line FROM seq""")
+def event_json(spark: SparkSession, d: str) -> DataFrame:
+    events = frames.event_log(observations(spark, d)).select("stream_no", "sequence", "ts_ms", "type", "x", "y", F.col("key").alias("txt"), "conf")
+    return events.select("stream_no", "sequence", F.md5(files.event_line(events).cast("binary")).alias("line"))
+
+
+LINES = f"""{FRAMES}, lines AS (SELECT stream_no, row_number() OVER (PARTITION BY stream_no ORDER BY frame_no, obs_index) - 1 AS line_no, CASE WHEN obs_index = 0 AND frame_no % 3 <> 1 THEN '@' || ts_ms || ' !' || frame_no ELSE '+' || obs_index || ' ' || txt END AS line FROM numbered)"""
+
+
+@query(f"""WITH {LINES}, t AS (SELECT *, CASE WHEN line LIKE '@%' THEN CAST(regexp_extract(line, '^@([0-9]+)', 1) AS BIGINT) END AS at_ms FROM lines WHERE line_no > 0)
+SELECT stream_no, line_no, line, last_value(at_ms IGNORE NULLS) OVER (PARTITION BY stream_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block_ms FROM t""")
+def state_block_times(spark: SparkSession, d: str) -> DataFrame:
+    n = frames.frame_numbers(observations(spark, d))
+    line = F.when((F.col("obs_index") == 0) & (F.col("frame_no") % 3 != 1), F.concat(F.lit("@"), "ts_ms", F.lit(" !"), "frame_no")).otherwise(F.concat(F.lit("+"), "obs_index", F.lit(" "), "txt"))
+    place = F.row_number().over(W.partitionBy("stream_no").orderBy("frame_no", "obs_index")) - 1
+    return files.state_blocks(n.select("stream_no", place.cast("long").alias("line_no"), line.alias("line"))).select("stream_no", "line_no", "line", "block_ms")
+
+
+@query(f"""WITH {FRAMES}, q AS (SELECT n.stream_no, n.frame_no, p.obs_index AS p_no, n.obs_index AS n_no, n.x - p.x AS dx, n.y - p.y AS dy, least(p.x + 130, n.x + 100) - greatest(p.x + 30, n.x) AS ow, least(p.y + 10, n.y + 30) - greatest(p.y - 20, n.y) AS oh, p.x AS px, p.y AS py, n.x AS nx, n.y AS ny, n.ts_ms
+  FROM numbered p JOIN numbered n ON p.stream_no = n.stream_no AND p.frame_no + 1 = n.frame_no)
+SELECT stream_no, frame_no, p_no, n_no, abs(dx) >= 16 OR abs(dy) >= 16 AS meaningful, round(CASE WHEN ow > 0 AND oh > 0 THEN CAST(ow * oh AS DOUBLE) / (6000 - ow * oh) ELSE 0 END, 9) AS moved_iou,
+  greatest(0, px - 16) < nx + 116 AND greatest(0, nx - 16) < px + 116 AND greatest(0, py - 16) < ny + 46 AND greatest(0, ny - 16) < py + 46 AS near, ts_ms % 7 BETWEEN 2 AND 4 AS lasting,
+  'e' || CASE WHEN length(CAST(n_no * 377773 AS VARCHAR)) < 6 THEN lpad(CAST(n_no * 377773 AS VARCHAR), 6, '0') ELSE CAST(n_no * 377773 AS VARCHAR) END AS id, CASE WHEN n_no > 0 THEN n_no * 377773 END AS number FROM q""")
+def geometry_predicates(spark: SparkSession, d: str) -> DataFrame:
+    p = frames.frame_pairs(observations(spark, d))
+    ts = frames.frame_numbers(observations(spark, d)).select("stream_no", "frame_no", "ts_ms").distinct()
+    id = T.element_id(F.col("n_obs_index") * 377773)
+    return p.join(ts, ["stream_no", "frame_no"]).select(
+        "stream_no", "frame_no", F.col("p_obs_index").alias("p_no"), F.col("n_obs_index").alias("n_no"), G.meaningful_move(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")).alias("meaningful"),
+        F.round(G.iou("p_", "n_", 30, -20), 9).alias("moved_iou"), G.near("p_", "n_").alias("near"), series.within(F.col("ts_ms") % 7, F.lit(2), 3).alias("lasting"), id.alias("id"), T.element_number(id).alias("number"),
+    )
+
+
+@query("""WITH m AS (SELECT doc_id AS position, CASE doc_id % 9 WHEN 8 THEN 'x' ELSE CASE doc_id WHEN 0 THEN 'media' WHEN 1 THEN 'events' ELSE 'state' END END AS role, CASE doc_id % 11 WHEN 3 THEN '/abs' WHEN 4 THEN 'a//b' WHEN 5 THEN '../up' ELSE 'dir/' || doc_id % 700 END AS path,
+  CASE WHEN doc_id % 13 = 2 THEN 0 ELSE n_chars END AS bytes, CASE WHEN doc_id % 17 = 1 THEN upper(sha256(text)) ELSE sha256(text) END AS digest FROM documents),
+o AS (SELECT path, count(*) AS n FROM m GROUP BY 1), r AS (SELECT position, CASE WHEN position > 2 OR role <> CASE position WHEN 0 THEN 'media' WHEN 1 THEN 'events' WHEN 2 THEN 'state' END THEN 'role'
+  WHEN path IN ('/abs', 'a//b', '../up') THEN 'path' WHEN n > 1 THEN 'repeated_path' WHEN bytes <= 0 THEN 'bytes' WHEN NOT regexp_full_match(digest, '[0-9a-f]{64}') THEN 'digest' END AS problem FROM m JOIN o USING (path)) SELECT * FROM r WHERE problem IS NOT NULL""")
+def manifest_rules(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "documents").selectExpr(
+        "doc_id AS position", "CASE doc_id % 9 WHEN 8 THEN 'x' ELSE CASE doc_id WHEN 0 THEN 'media' WHEN 1 THEN 'events' ELSE 'state' END END AS role",
+        "CASE doc_id % 11 WHEN 3 THEN '/abs' WHEN 4 THEN 'a//b' WHEN 5 THEN '../up' ELSE concat('dir/', doc_id % 700) END AS path",
+        "CASE WHEN doc_id % 13 = 2 THEN 0 ELSE n_chars END AS bytes", "CASE WHEN doc_id % 17 = 1 THEN upper(sha2(text, 256)) ELSE sha2(text, 256) END AS digest")
+    return manifests.malformed(m, ["media", "events", "state"])
+
+
 SIDE, TILES = 19, 361
 
 

@@ -250,11 +250,16 @@ def state_blocks(lines: DataFrame) -> DataFrame:
     return marked.withColumn("block_ms", F.last("at", ignorenulls=True).over(own)).drop("at")
 
 
-def write_events(events: DataFrame, path: str, source: str = "urn:framelake:stream:") -> None:
-    """NDJSON, one event a line, nulls left out; refuses to overwrite."""
-    data = F.struct("element_no", "x", "y", "w", "h", "txt", "role", "conf", "from_x", "from_y")
-    line = F.to_json(F.struct(
+def event_line(events: DataFrame, source: str = "urn:framelake:stream:"):
+    """An event's line of NDJSON as a column: the envelope, and the columns of events that are data of it; nulls are left out."""
+    data = F.struct(*(c for c in ("element_no", "x", "y", "w", "h", "txt", "role", "conf", "from_x", "from_y", "from_w", "from_h", "fw", "fh", "from_ms", "kind", "dx", "dy") if c in events.columns))
+    return F.to_json(F.struct(
         F.lit("1.0").alias("specversion"), F.concat_ws(":", "stream_no", "sequence").alias("id"), F.concat(F.lit(source), F.col("stream_no")).alias("source"), "sequence",
         F.col("ts_ms").alias("frametime"), F.lit("application/json").alias("datacontenttype"), "type", data.alias("data"),
     ))
+
+
+def write_events(events: DataFrame, path: str, source: str = "urn:framelake:stream:") -> None:
+    """NDJSON, one event a line, nulls left out; refuses to overwrite."""
+    line = event_line(events, source)
     events.repartitionByRange("stream_no", "sequence").sortWithinPartitions("stream_no", "sequence").select(line.alias("value")).write.mode("errorifexists").text(path)

@@ -274,18 +274,31 @@ def test_components():
             assert set(map(tuple, g.astype(int).tolist())) <= w and set(map(tuple, detection.hull(g).tolist())) == set(map(tuple, detection.hull(np.array(sorted(w))).tolist()))
 
 
+def test_offsets_are_round():
+    square = np.array([(10.9, 10.2), (50.0, 10.0), (50.7, 40.0), (10.0, 40.9)])
+    for by in (0.6, 2.3, 7.5, 30.0):
+        got = detection.grown(square, by)
+        gap = lambda q: np.hypot(max(10 - q[0], 0, q[0] - 50), max(10 - q[1], 0, q[1] - 40))
+        assert all(abs(gap(q) - by) < 0.75 for q in got) and (got == np.rint(got)).all() and (detection.grown(square[::-1], by).min(0) == got.min(0)).all()
+        edge = [np.trunc(v + 0.5) for v in (50 + by, 40 + by)]
+        assert got.max(0).tolist() == edge
+    assert len(detection.grown(square, 30.0)) > len(detection.grown(square, 2.3)) >= 8
+    with pytest.raises(ValueError):
+        detection.grown(square * 1000, 1e7)
+
+
 def test_detection(spark):
     turned = np.array([(0, 0), (8, 6), (5, 10), (-3, 4)], float)
     corners, a, b = detection.smallest_rectangle(turned)
     assert sorted((round(a, 9), round(b, 9))) == [5, 10] and {tuple(p) for p in np.rint(corners).tolist()} == {tuple(p) for p in turned.tolist()}
     page = np.zeros((40, 60), np.float32)
-    page[5:10, 10:31] = 0.9  # 20 x 4 between pixel centres: grown by 80 * 1.4 / 48 = 2.33
+    page[5:10, 10:31] = 0.9  # 20 x 4 between pixel centres: grown by 80 * 1.4 / 48 = 2.33, to whole pixels 8..32 and 3..11
     page[20:22, 5:30] = 0.9  # too flat
     page[30:36, 40:50] = 0.3  # too faint
     blank, wrong = np.zeros((40, 60), np.float32), page + 1
     rows = lambda *ps: spark.createDataFrame([(i, 40, 60, 80, 120, p.ravel().tolist()) for i, p in enumerate(ps)], "k long, map_h int, map_w int, src_h int, src_w int, scores array<float>")
     got = detection.detect(rows(page, blank), "k").collect()
     assert [(r["k"], r["contour_no"], r["disposition"]) for r in got] == [(0, 2, "score"), (0, 1, "first_side"), (0, 0, "admitted")]
-    assert abs(got[2]["score"] - 0.9) < 1e-6 and [tuple(p) for p in got[2]["quad"]] == [(15, 5), (65, 5), (65, 23), (15, 23)]
+    assert abs(got[2]["score"] - 0.9) < 1e-6 and [tuple(p) for p in got[2]["quad"]] == [(16, 6), (64, 6), (64, 22), (16, 22)]
     with pytest.raises(Exception, match="from 0 to 1"):
         detection.detect(rows(wrong), "k").collect()
