@@ -169,7 +169,7 @@ def _likelihoods(tally: DataFrame, key: str, n: int, out: str) -> DataFrame:
 
 
 def identify(df: DataFrame, model: Model, id: str, text: str, declared: Column, host: Column) -> DataFrame:
-    """(id, text_hash, lang_id, posterior, letters, text_lang, accepted), one row for each row of df; text_lang is what the text alone says.
+    """(id, text_hash, lang_id, posterior, letters, text_lang, accepted), one row for each row of df; text_lang is what the text alone says (null without letters).
 
     Null or empty declarations, hosts and texts give no evidence of their kind; a host without a dot has no domain and no suffix. A row is
     accepted if its posterior reaches LEAST_POSTERIOR and letters LEAST_LETTERS. Ties go to the language first in the
@@ -199,6 +199,6 @@ def identify(df: DataFrame, model: Model, id: str, text: str, declared: Column,
     out = joined.select(
         F.col("__id").alias(id), "text_hash", F.element_at(names, F.array_position(F.col("__sum"), top).cast("int")).alias("lang_id"),
         (1.0 / _sum(F.transform("__sum", lambda x: F.exp(x - top)))).alias("posterior"), F.col("__letters").alias("letters"),
-        F.element_at(names, F.col("__best") + 1).alias("text_lang"),
+        F.get(names, F.col("__best")).alias("text_lang"),
     )
     return out.withColumn("accepted", (F.col("posterior") >= LEAST_POSTERIOR) & (F.col("letters") >= LEAST_LETTERS))

@@ -699,6 +699,7 @@ def test_evidence_is_fused_as_counted_one_by_one(spark):
     assert len(got) == len(rows)
     for i, (lang, posterior) in enumerate(want):
         assert got[i]["lang_id"] == lang and abs(got[i]["posterior"] - posterior) < 1e-9
+    assert all((got[i]["text_lang"] is None) == (langid.letters(r[0]) == 0) for i, r in enumerate(rows))
     changed = sum(r["text_lang"] is not None and r["text_lang"] != r["lang_id"] for r in got.values())
     assert changed > 20  # evidence beside the text changes verdicts
 
