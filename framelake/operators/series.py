@@ -56,6 +56,17 @@ def broken_runs(rows: DataFrame, group: list[str], order: list, same: list[str],
     return rows.withColumn("run_no", (F.dense_rank().over(W.partitionBy(*group).orderBy("__run", "__part")) - 1).cast("long")).drop("__new", "__run", "__part")
 
 
+def shown_ids(rows: DataFrame, run: list[str], order: list, id: str, out: str = "shown") -> DataFrame:
+    """Adds out: the id as text, empty where it is the one before in its run plus one."""
+    before = F.lag(id).over(W.partitionBy(*run).orderBy(*order))
+    return rows.withColumn(out, F.when(before + 1 == F.col(id), "").otherwise(F.col(id).cast("string")))
+
+
+def ranked(rows: DataFrame, group: list[str], order: list, out: str = "rank") -> DataFrame:
+    """Adds out: 1, 2, ... in a group by a total order."""
+    return rows.withColumn(out, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, time: str, out: str, forward: bool = False) -> DataFrame:
     """Adds out: right's latest time at or before left's (forward: its earliest after), by one window over both."""
     both = left.withColumn("__side", F.lit(1)).withColumn("__t", F.col(at)).withColumn("__r", F.lit(None).cast("long")).unionByName(

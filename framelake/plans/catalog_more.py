@@ -122,6 +122,40 @@ def same_content(spark: SparkSession, d: str) -> DataFrame:
     return both.select("stream_no", "frame_no", "obs_index", T.same_content("p_", "n_").alias("same"), T.same_content("p_", "n_", state=True).alias("same_with_state"))
 
 
+@query("""WITH c AS (SELECT n.frame_id, n.x // 2 AS lx, n.y // 2 AS ly, count(*) AS n FROM pixels n JOIN pixels p ON p.frame_id = n.frame_id - 1 AND p.x = n.x AND p.y = n.y WHERE abs(n.luma - p.luma) >= 24 GROUP BY ALL HAVING count(*) >= 2),
+p1 AS (SELECT frame_id, lx // 2 AS ax, ly // 2 AS ay, sum(n) AS n, 16 <= 2 * sum(n) AS joined FROM c GROUP BY ALL),
+p2 AS (SELECT frame_id, ax // 2 AS bx, ay // 2 AS b_y, sum(CASE WHEN joined THEN n ELSE 0 END) AS n, bool_and(joined) AND 64 <= 2 * sum(n) AS joined FROM p1 GROUP BY ALL)
+SELECT c.frame_id, lx * 2 AS x, ly * 2 AS y, 2 AS w, 2 AS h, c.n AS changed FROM c JOIN p1 ON p1.frame_id = c.frame_id AND ax = lx // 2 AND ay = ly // 2 WHERE NOT p1.joined
+UNION ALL SELECT p1.frame_id, ax * 4, ay * 4, 4, 4, CAST(p1.n AS BIGINT) FROM p1 JOIN p2 ON p1.frame_id = p2.frame_id AND bx = ax // 2 AND b_y = ay // 2 WHERE p1.joined AND NOT p2.joined
+UNION ALL SELECT frame_id, bx * 8, b_y * 8, 8, 8, CAST(n AS BIGINT) FROM p2 WHERE joined""")
+def quadtree_regions(spark: SparkSession, d: str) -> DataFrame:
+    cells = pixels(spark, d).groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "luma"))), lambda p: p["luma"]).alias("now"))
+    before = cells.select((F.col("frame_id") + 1).alias("frame_id"), F.col("now").alias("before"))
+    return episodes.changed_regions(cells.join(before, "frame_id").withColumn("width", F.lit(8)), "frame_id", leaf=2, least=2)
+
+
+@query(f"""WITH {FRAMES}, pairs AS (SELECT n.stream_no, n.frame_no, p.obs_index AS p_no, n.obs_index AS n_no, p.x AS px, p.y AS py, n.x AS nx, n.y AS ny FROM numbered p JOIN numbered n ON p.stream_no = n.stream_no AND p.frame_no + 1 = n.frame_no),
+m AS (SELECT *, greatest(0, least(px, nx) + 100 - greatest(px, nx)) * greatest(0, least(py, ny) + 30 - greatest(py, ny)) AS shared, 4 * (px - nx) * (px - nx) + 4 * (py - ny) * (py - ny) AS apart
+  FROM pairs WHERE greatest(0, px - 16) < nx + 116 AND greatest(0, nx - 16) < px + 116 AND greatest(0, py - 16) < ny + 46 AND greatest(0, ny - 16) < py + 46)
+SELECT stream_no, frame_no, p_no, n_no, CAST(row_number() OVER (PARTITION BY stream_no, frame_no ORDER BY shared DESC, apart, p_no, n_no) AS INTEGER) AS rank FROM m""")
+def episode_ranks(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["stream_no", "frame_no"]
+    return series.ranked(near_regions(spark, d), keys, [F.desc("shared"), "apart", "p_no", "n_no"]).select(*keys, "p_no", "n_no", "rank")
+
+
+@query(f"""WITH {DIFF}, e AS (SELECT stream_no, ts_ms, type, x // 5 AS id, sequence FROM seq)
+SELECT *, CASE WHEN lag(id) OVER (PARTITION BY stream_no, ts_ms, type ORDER BY id, sequence) + 1 = id THEN '' ELSE CAST(id AS VARCHAR) END AS shown FROM e""")
+def shown_ids(spark: SparkSession, d: str) -> DataFrame:
+    e = frames.event_log(observations(spark, d)).select("stream_no", "ts_ms", "type", F.expr("x div 5").alias("id"), "sequence")
+    return series.shown_ids(e, ["stream_no", "ts_ms", "type"], ["id", "sequence"], "id")
+
+
+@query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS k FROM documents) SELECT lang, doc_id FROM r WHERE k <= 30""")
+def contour_cap(spark: SparkSession, d: str) -> DataFrame:
+    """As contours are capped: the last met come first, and so many of them stay."""
+    return series.keep_smallest(table(spark, d, "documents").select("lang", "doc_id"), ["lang"], [F.desc("doc_id")], 30)
+
+
 @query(f"""WITH {DIFF} SELECT stream_no, sequence, md5('{{"specversion":"1.0","id":"' || stream_no || ':' || sequence || '","source":"urn:framelake:stream:' || stream_no || '","sequence":' || sequence || ',"frametime":' || ts_ms
   || ',"datacontenttype":"application/json","type":"' || type || '","data":{{"x":' || x || ',"y":' || y || ',"txt":"' || key || '","conf":' || conf || '}}}}') AS line FROM seq""")
 def event_json(spark: SparkSession, d: str) -> DataFrame:

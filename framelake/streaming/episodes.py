@@ -38,6 +38,21 @@ def regions(before: np.ndarray, now: np.ndarray, leaf: int = LEAF, least: int =
     return sorted(out)
 
 
+def changed_regions(planes: DataFrame, key: str, leaf: int = LEAF, least: int = LEAST_CHANGED) -> DataFrame:
+    """(key, x, y, w, h, changed) of regions() of pairs of planes (key, width, before, now: arrays of int, row by row); each pair is a row by itself."""
+    names = [key, "x", "y", "w", "h", "changed"]
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for k, width, before, now in f.itertuples(index=False, name=None):
+                a, b = (np.asarray(p, np.int64).reshape(-1, int(width)) for p in (before, now))
+                out += [(k, x, y, w, h, n) for y, x, h, w, n in regions(a, b, leaf, least)]
+            yield pd.DataFrame(out, columns=names)
+
+    return planes.select(key, "width", "before", "now").mapInPandas(run, f"{key} {dict(planes.dtypes)[key]}, x long, y long, w long, h long, changed long")
+
+
 class Episodes:
     """observe() compares a plane with the last one and returns transitions; finish() closes what is open, once."""
 
