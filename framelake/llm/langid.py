@@ -20,8 +20,9 @@ from .runtime import FEW_ROWS, bounded_batches, checkpoint, few
 
 #: Rows of each language that the model is fitted on; trigram buckets.
 SAMPLE_ROWS, BUCKETS = 500, 1 << 15
-#: Trigrams that count as independent: longer texts are weighed as if they had this many. Rows that a coarser level of counts is worth.
-EVIDENCE, WEIGHT = 60, 20.0
+#: Trigrams that count as independent: longer texts are weighed as if they had this many (README has figures). Rows that a coarser level of
+#: counts is worth.
+EVIDENCE, WEIGHT = 20, 20.0
 #: A row is rejected below this posterior, or with too little that could be a language's text.
 LEAST_POSTERIOR, LEAST_LETTERS = 0.5, 0.25
 _A, _B = 0x9E3779B1, 0x85EBCA6B
