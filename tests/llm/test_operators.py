@@ -365,7 +365,12 @@ def test_links_lose_no_component(spark, tile_rows):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.tolist()))
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, one_task):
+    from framelake.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "u long, v long")).count() == 0
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(None, 3), (5, 5)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(301)) and len(got) == 502
