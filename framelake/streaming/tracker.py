@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,12 @@ BIN, LEAST_ANCHORS = 20, 3
 EVENT_SCHEMA = "stream_no long, sequence long, ts_ms long, type string, element_no long, x long, y long, w long, h long, txt string, role string, conf float, from_x long, from_y long, from_w long, from_h long, fw long, fh long"
 
 
+_OTHER = regex.compile(r"[^\p{Alphabetic}\p{N}]+")
+
+
 def plain(s: str | None) -> str:
-    """Lower case letter by letter, letters and numbers only."""
-    return "".join(c for c in "".join(x.lower() for x in s or "") if c.isalnum())
+    """Lower case letter by letter, letters (with vowel signs) and numbers only, as functions.texts.normalize()."""
+    return _OTHER.sub("", "".join(x.lower() for x in s or ""))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:

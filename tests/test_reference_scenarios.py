@@ -44,6 +44,12 @@ def test_texts(spark):
     assert (got["n"], got["m"], got["z"], got["i"]) == (None, 1_000_000, None, "e1000000") and abs(got["q"] - 0.3) < 1e-6
 
 
+def test_texts_are_normalised_alike(spark):
+    rows = ["कि ", "ΟΔΟΣ", "½ № 汉字", "a\u0301B", "İx", "ǅ", "٣-४", "ⅷ", "ⓐ", "ﬃ", "", None, "_ .!", "क्षि", "ไทยที่", "🙂 ok", "ß ẞ"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", T.normalize(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] or "" for r in got} == {i: tracker.plain(t) for i, t in enumerate(rows)} and tracker.plain("कि ") == "कि"
+
+
 def test_one_element_through_four_frames(spark):
     o = obs(spark, (0, [(10, 10, 100, 30, "Save", "text", 0.9)]), (33, [(20, 10, 100, 30, "Saved", "text", 0.9)]), (99, [(20, 10, 100, 30, "saved", "text", 0.9)]))
     events = tracker.batch_events(o)
