@@ -11,7 +11,7 @@ from ..functions import texts as T
 from .scan import each_group
 
 #: Side of the cells in which boxes meet; candidates of a frame at most.
-CELL, MOST_CANDIDATES = 64, 1_000_000
+CELL, MOST_CANDIDATES = 128, 1_000_000
 COLUMNS = ["obs_index", "x", "y", "w", "h", "txt", "role", "conf"]
 
 
@@ -36,24 +36,28 @@ def likely_pairs(obs: DataFrame, cell: int = CELL) -> DataFrame:
     Boxes meet in the cells of a grid that they touch, texts by their key, both as equi-joins by (stream, frame): work follows the pairs
     found, not the square of a frame's elements. A pair that meets in several cells counts in the first that both touch.
     """
-    numbered = frame_numbers(obs).withColumn("key", T.normalize(F.col("txt")))
-    side = lambda p, shift, *more: numbered.select("stream_no", (F.col("frame_no") + shift).alias("frame_no"), *(F.col(c).alias(p + c) for c in COLUMNS), F.col("key").alias(p + "key"), *more)
+    # normal forms are made once an element, not once a pair
+    numbered = frame_numbers(obs).withColumn("key", T.normalize(F.col("txt"))).withColumn("role_key", T.normalize(F.col("role")))
+    side = lambda p, shift, *more: numbered.select("stream_no", (F.col("frame_no") + shift).alias("frame_no"), *(F.col(c).alias(p + c) for c in [*COLUMNS, "key", "role_key"]), *more)
     across = lambda low, size: F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(low) + F.greatest(F.col(size), F.lit(1)) - 1) / cell))
     touched = F.explode(F.flatten(F.transform(across("x", "w"), lambda i: F.transform(across("y", "h"), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("cell")
     met = side("p_", 1, touched).join(side("n_", 0, touched), ["stream_no", "frame_no", "cell"])
     first = lambda n: F.floor(F.greatest(F.col("p_" + n), F.col("n_" + n)) / cell)
     met = met.where((F.col("cell.i") == first("x")) & (F.col("cell.j") == first("y")) & (G.overlap("p_", "n_") > 0)).drop("cell")
     alike = side("p_", 1).where("p_key <> ''").join(side("n_", 0).withColumn("p_key", F.col("n_key")), ["stream_no", "frame_no", "p_key"]).where(G.overlap("p_", "n_") == 0)
-    return met.unionByName(alike).drop("p_key", "n_key")
+    return met.unionByName(alike)
 
 
 def match_scores(pairs: DataFrame, dx: int = 0, dy: int = 0) -> DataFrame:
-    """Candidates of the active match: ordinary and translated overlap, score, and whether the pair is eligible."""
+    """Candidates of the active match: ordinary and translated overlap, score, and whether the pair is eligible. Normal forms of texts and roles
+    (p_key, n_key, p_role_key, n_role_key) are taken from the pairs where they have them."""
     plain, moved = G.iou("p_", "n_"), G.iou("p_", "n_", dx, dy)
-    text, role = T.normalized_equal(F.col("p_txt"), F.col("n_txt")), T.normalized_equal(F.col("p_role"), F.col("n_role"))
+    known = "n_role_key" in pairs.columns
+    same = lambda c: F.coalesce((F.col(f"p_{c}") == F.col(f"n_{c}")) & (F.col(f"p_{c}") != ""), F.lit(False))
+    text, role = (same("key"), same("role_key")) if known else (T.normalized_equal(F.col("p_txt"), F.col("n_txt")), T.normalized_equal(F.col("p_role"), F.col("n_role")))
     scored = pairs.withColumn("iou", plain).withColumn("moved_iou", moved).withColumn("text_equal", text).withColumn("role_equal", role)
     score = F.lit(0.35) * F.greatest("iou", "moved_iou") + F.when(F.col("text_equal"), 0.6).otherwise(0.0) + F.when(F.col("role_equal"), 0.05).otherwise(0.0)
-    eligible = (F.col("score") >= 0.3) & ((F.col("iou") > 0.1) | (F.col("text_equal") & T.roles_compatible(F.col("p_role"), F.col("n_role")) & (F.col("moved_iou") > 0.1)))
+    eligible = (F.col("score") >= 0.3) & ((F.col("iou") > 0.1) | (F.col("text_equal") & (F.col("role_equal") | F.col("p_role").isNull() & F.col("n_role").isNull()) & (F.col("moved_iou") > 0.1)))
     return scored.withColumn("score", score).withColumn("eligible", eligible)
 
 

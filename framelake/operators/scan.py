@@ -4,55 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Rows of a batch of results, from which on it is handed over.
+OUT_ROWS = 8192
+
 
 def each_group(df: DataFrame, keys: list[str], order: list, columns: list[str], of: Callable[[dict], dict | None], schema: str) -> DataFrame:
     """of(columns of a group, as numpy arrays or lists, rows in order) -> columns of its result; schema: keys, then the result's columns.
 
-    Rows are dealt by keys and sorted there; a task holds one group at a time, whatever the number of groups. Several small
+    Rows are dealt by keys and sorted there; a task holds one group at a time, whatever the number of groups. Results of several small
     groups share a batch.
     """
     names = [f.strip().split(" ")[0] for f in schema.split(", ")]
+    rest = [c for c in names if c not in keys]
 
     def run(batches):
-        held: list = []
-
-        def done(table):
-            values = {c: (x.to_numpy(zero_copy_only=False) if pa.types.is_primitive(x.type) and not x.null_count else x.to_pylist()) for c in columns for x in [table.column(c).combine_chunks()]}
-            out = of(values)
-            if not out:
-                return None
-            n = len(next(iter(out.values())))
-            fixed = {k: pa.repeat(table.column(k)[0], n) for k in keys}
-            return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else pa.array(out[c]) for c in names], names)
+        now, parts, made, rows = None, [], {c: [] for c in names}, 0
+
+        def done():
+            nonlocal rows
+            out = of({c: _joined([p[c] for p in parts]) for c in columns})
+            if out:
+                n = len(next(iter(out.values())))
+                rows += n
+                for c in rest:
+                    made[c].append(out[c])
+                for k, v in zip(keys, now):
+                    if k in made:
+                        made[k].append([v] * n)
+
+        def flushed():
+            nonlocal rows
+            batch = pa.RecordBatch.from_arrays([pa.array(_joined(made[c])) for c in names], names)
+            for c in names:
+                made[c].clear()
+            rows = 0
+            return batch
 
         for batch in batches:
             if not len(batch):
                 continue
-            ends = _ends(batch, keys)
-            if held and not _same(held[-1], len(held[-1]) - 1, batch, 0, keys):
-                if (made := done(pa.Table.from_batches(held))) is not None:
-                    yield made
-                held = []
-            start = 0
-            for end in ends:
-                part = batch.slice(start, end - start)
+            values, start = {c: _values(batch.column(c)) for c in columns}, 0
+            for end in _ends(batch, keys):
+                key = tuple(batch.column(k)[start].as_py() for k in keys)
+                if parts and key != now:
+                    done()
+                    parts = []
+                    if rows >= OUT_ROWS:
+                        yield flushed()
+                now = key
+                parts.append({c: v[start:end] for c, v in values.items()})
                 start = end
-                if end == len(batch):
-                    held.append(part)
-                    break
-                if (made := done(pa.Table.from_batches([*held, part]))) is not None:
-                    yield made
-                held = []
-        if held and (made := done(pa.Table.from_batches(held))) is not None:
-            yield made
+        if parts:
+            done()
+        if rows:
+            yield flushed()
 
     dealt = df.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(_cast(run, schema, df), schema)
 
 
+def _values(column: pa.Array):
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_primitive(column.type) and not column.null_count else column.to_pylist()
+
+
+def _joined(parts: list):
+    """Arrays or lists, one after another."""
+    if len(parts) == 1:
+        return parts[0] if isinstance(parts[0], np.ndarray) else list(parts[0])
+    if all(isinstance(p, np.ndarray) for p in parts):
+        return np.concatenate(parts)
+    return [x for p in parts for x in (p.tolist() if isinstance(p, np.ndarray) else p)]
+
+
 def _cast(run, schema: str, df: DataFrame):
     """Casts what run() makes to the schema's types."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -69,8 +96,6 @@ def _cast(run, schema: str, df: DataFrame):
 
 def _ends(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
     """Where groups end in a batch whose groups are runs of equal keys."""
-    import numpy as np
-
     new = np.zeros(max(len(batch) - 1, 0), bool)
     for k in keys:
         c = batch.column(k)
@@ -81,7 +106,3 @@ def _ends(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
             c = c.to_numpy(zero_copy_only=False)
             new |= c[1:] != c[:-1]
     return [*(np.nonzero(new)[0] + 1).tolist(), len(batch)]
-
-
-def _same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int, keys: list[str]) -> bool:
-    return all(a.column(k)[i].as_py() == b.column(k)[j].as_py() for k in keys)

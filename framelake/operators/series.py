@@ -25,7 +25,7 @@ def sampled_times(times: DataFrame, interval_ms: int, terminal: bool = True) ->
         rest = [int(times[-1])] if terminal and times[-1] != out[-1] else []
         return {"t_ms": out + rest, "terminal": [False] * len(out) + [True] * len(rest)}
 
-    known = times.where(F.col("t_ms").isNotNull()).select("stream_no", F.col("t_ms").cast("long").alias("t_ms")).distinct()
+    known = times.where(F.col("t_ms").isNotNull()).select("stream_no", F.col("t_ms").cast("long").alias("t_ms"))
     return each_group(known, ["stream_no"], ["t_ms"], ["t_ms"], taken, f"stream_no {dict(times.dtypes)['stream_no']}, t_ms bigint, terminal boolean")
 
 
