@@ -115,19 +115,30 @@ class Renderer:
 
 
 def state_text(events: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
-    """(stream_no, line_no, line) of the log that streaming.tracker gives."""
+    """(stream_no, line_no, line) of the log that streaming.tracker gives, or of one with activity (plans.log.with_activity).
+
+    A snapshot's size is its own (fw, fh); width and height stand in for one without.
+    """
+    has = set(events.columns)
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        r, first = Renderer(), True
+        r, shown_as = Renderer(), None
         whole = lambda v: None if pd.isna(v) else int(v)
         for e in rows.sort_values(["sequence", "element_no"], kind="stable").itertuples():
-            if first:
-                r.add(e.ts_ms, "screen", size=(width, height))
-                first = False
+            size = (whole(e.fw), whole(e.fh)) if {"fw", "fh"} <= has and not pd.isna(e.fw) else None
+            if shown_as is None or e.type == "snapshot" and e.sequence != shown_as:
+                r.add(e.ts_ms, "screen", size=size or (width, height))
+                shown_as = e.sequence
             box = None if pd.isna(e.x) else tuple(map(whole, (e.x, e.y, e.w, e.h)))
             was = None if pd.isna(e.from_x) else (whole(e.from_x), whole(e.from_y))
             if e.type == "resized":
-                r.add(e.ts_ms, "resized", size=box[2:])
+                r.add(e.ts_ms, "resized", size=size or box[2:])
+            elif e.type == "activity":
+                lasted = e.ts_ms - whole(e.from_ms)
+                if e.kind == "region_translated":
+                    r.add(e.ts_ms, "translated", box=box, duration=lasted, move=(whole(e.dx), whole(e.dy)))
+                else:
+                    r.add(e.ts_ms, "activity", whole(e.element_no), duration=lasted)
             elif not pd.isna(e.element_no):
                 r.add(e.ts_ms, e.type, whole(e.element_no), box, e.txt if isinstance(e.txt, str) else None, was)
         return pd.DataFrame([(int(key[0]), n, x) for n, x in enumerate(r.lines())], columns=["stream_no", "line_no", "line"])

@@ -10,7 +10,7 @@ import pytest
 from framelake.functions import geometry as G
 from framelake.functions import texts as T
 from framelake.operators import activity, detection, frames, manifests, models, motion, planes, scan, series
-from framelake.plans import catalog_more, log
+from framelake.plans import catalog_more, compact, log
 from framelake.sources import files, outputs
 from framelake.streaming import tracker
 from framelake.streaming.episodes import Episodes
@@ -86,6 +86,16 @@ def test_view_at_a_time(spark):
     assert [e[6] for e in see(9000)["elements"]] == ["Saved"] and see(9000)["samples"] == [(1, 3000, None, False)]
 
 
+def test_state_text_of_the_whole_sequence(spark):
+    rows = [
+        SNAP, {"sequence": 1, "ts_ms": 200, "type": "activity", "kind": "element_region_changed", "element_no": 1, "from_ms": 0}, {"sequence": 2, "ts_ms": 500, "type": "activity", "kind": "region_translated", "from_ms": 267, "dx": 4, "dy": -8, **box(0)},
+        {"sequence": 3, "ts_ms": 500, "type": "activity", "kind": "element_region_changed", "element_no": 1, "from_ms": 267}, {"sequence": 4, "ts_ms": 1000, "type": "resized", "fw": 400, "fh": 300, "from_w": 800, "from_h": 600},
+        SNAP | {"sequence": 5, "ts_ms": 2000, "fw": 400, "fh": 300},
+    ]
+    lines = [r["line"] for r in compact.state_text(a_log(spark, *rows)).orderBy("line_no").collect()]
+    assert lines == [compact.HEADER, "@0", "S800,600", "=1 10,10 Save", "@200 !1", "@500", "^233 0 10 100 30 4 -8", "!233/1", "@1000", "R400,300", "@2000", "S400,300", "=1 10,10 Save"]
+
+
 def test_discontinuities(spark):
     top = (1 << 63) - 1
     rows = [(1, 0, "a", 5), (1, 1, "a", 6), (1, 2, "b", 7), (1, 3, "a", 9), (2, 0, None, top), (2, 1, None, top), (3, 0, "x", 0)]
