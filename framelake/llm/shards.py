@@ -4,7 +4,7 @@ Rows are split in two, again and again, at the weighted median of the metadata d
 node's rows, until each leaf is one shard. A node that is to give k shards cuts its bytes at floor(k/2) : ceil(k/2).
 All nodes of a depth are cut together: one grouped aggregation gives each node's ranges, and a few for each part
 of the row key (dimension value, text hash, id hash) give histograms of bytes, of BINS bins a node. Only those
-histograms reach the driver, their size being bounded by shards and BINS, not by rows. Ties in the dimension are
+histograms reach the driver, MOST_BINS bins at most (fewer a node, and more passes, where nodes are many), and a row a node. Ties in the dimension are
 broken by the text's hash, and then by the id's hash. Equal texts share the metadata of the least of them, so they are next to one another
 in every order; a cut goes around them, unless they are more than WHOLE of a shard's bytes: then it goes through them, and
 sizes stay near equal.
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .runtime import checkpoint, inline_table, numbered
 
-BINS, SHARDS, PASSES = 1024, 40, 3
+#: Bins of a node's histogram at most, and of all nodes' together, which reach the driver; a cut is looked for until its bin is 2^-BITS of the range.
+BINS, MOST_BINS, BITS, SHARDS = 1024, 1 << 20, 30, 40
 #: A cut may be off by this share of a shard's bytes before it is looked for more finely.
 TOLERANCE = 0.002
 #: Rows of one text stay in one shard up to this share of a shard's bytes.
@@ -101,12 +102,12 @@ def _cuts(placed: DataFrame, nodes: dict, dims: list[str]) -> dict:
     out = {k: [wide[k], None, None, None] for k in stats}
     left = {k: (r[f"lo_{wide[k]}"], r[f"hi_{wide[k]}"]) for k, r in stats.items()}
     for part, column in enumerate(("v", "ht", "hi"), 1):
-        through = {}  # nodes whose cut runs through rows of one value of this part
-        for _ in range(PASSES):
-            if not left:
-                break
+        through, seen = {}, 0.0  # nodes whose cut runs through rows of one value of this part; bits of the range that have been told
+        while left and seen < BITS:
+            bins_a_node = max(16, min(BINS, MOST_BINS // len(left)))
+            seen += math.log2(bins_a_node)
             inside = keyed.join(_table(placed, [(k, *x) for k, x in left.items()], "node int, low double, high double"), "node").where(F.col(column).between(F.col("low"), F.col("high")))
-            cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(BINS - 1), F.floor((F.col(column) - F.col("low")) / (F.col("high") - F.col("low")) * BINS))).otherwise(F.lit(0)).cast("int")
+            cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins_a_node - 1), F.floor((F.col(column) - F.col("low")) / (F.col("high") - F.col("low")) * bins_a_node))).otherwise(F.lit(0)).cast("int")
             hist = inside.groupBy("node", cell.alias("bin")).agg(F.sum("size").alias("b"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
             narrowed, of = {}, {}
             for r in hist:
