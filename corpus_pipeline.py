@@ -38,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents whose sets of five-word shingles are similar by 0.8 or more the document with the smallest id stays.
 
-    Nulls, empty texts, ties, repeated rows, an empty table: as simhash.kept() says.
+    Operator 4's fingerprints and links come first, checked by the sets; pairs whose fingerprints differ in more bits are found exactly after that. Nulls, empty texts, ties, repeated rows, an empty table: as simhash.kept() says.
     """
     return simhash.kept(docs)
 

@@ -8,9 +8,10 @@ over TILE_ROWS rows are dealt over several tasks: their rows are cut by populati
 about TILE_ROWS, and each pair of parts within the radius is a task of its own. Each task returns no more links
 than it has rows (a spanning forest), so a group of n copies gives O(n) rows, not n squared.
 
-similar_documents() links texts by the exact Jaccard similarity of their sets of shingles. 64 bits can't bound that, so its cells are
-shingles in both sets' prefixes, and its fingerprints are parity sketches, a bit a shingle: sets that are similar enough differ
-in few bits for certain, so exclusive-or and bit counts lose no pair, and what they leave is decided by the sets.
+similar_documents() links texts by the exact Jaccard similarity of their sets of shingles. The links above come first, each decided by the sets.
+64 bits can't bound that similarity, so what they leave apart goes on: there cells are shingles in both sets' prefixes, and what is compared
+are parity sketches, a bit a shingle: sets that are similar enough differ in few bits for certain, so exclusive-or and bit counts
+lose no pair, and what they leave is decided by the sets.
 """
 
 from __future__ import annotations
@@ -104,20 +105,22 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int):
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices into a, then b) of a spanning forest of the pairs within the radius.
+    """Links (indices into a, then b) of a spanning forest of the pairs within the radius, each of them such a pair.
 
     Each tile's pairs are joined as they come; pairs that are joined already aren't looked at, so memory is that of one tile pair.
     """
     n, shift = len(a) + (0 if b is None else len(b)), 0 if b is None else len(a)
-    label = np.arange(n)
+    label, u, v = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in close_pairs(a, b, radius):
         j = j + shift
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        if len(i):
-            label = _merged(label, i, j)
-    child = np.nonzero(label != np.arange(n))[0]
-    return child, label[child]
+        while (apart := label[i] != label[j]).any():
+            i, j = i[apart], j[apart]
+            first = np.unique(np.stack((label[i], label[j]), axis=1), return_index=True)[1]  # each tree's first pair: no cycle arises
+            chosen = np.unique(first // 2)
+            u.append(i[chosen])
+            v.append(j[chosen])
+            label = _merged(label, u[-1], v[-1])
+    return np.concatenate(u), np.concatenate(v)
 
 
 def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -210,8 +213,8 @@ def band_count(n: int, radius: int) -> int:
 def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, bands: int | None = None) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of distinct fingerprints (fp: long) within radius bits.
 
-    Nulls are ignored. Every returned link is one within the radius, but for those a forest puts to its root. fps must be cheap to
-    read several times. bands: band_count() of the fingerprints unless given; results don't depend on it.
+    Nulls are ignored. Every returned link is one within the radius. fps must be cheap to read several times.
+    bands: band_count() of the fingerprints unless given; results don't depend on it.
     """
     if not 0 <= radius <= 15:
         raise ValueError("the radius must be from 0 to 15")
@@ -509,11 +512,36 @@ def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame, words: int, simil
     return checkpoint(joined.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"))
 
 
-def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _close_nodes(marks: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """Pairs (u < v) of nodes that links() of their fingerprints give; marks: (fp, node), a checkpoint.
+
+    A fingerprint's least node stands for it; the fingerprint's other nodes are paired with that one.
+    """
+    least = checkpoint(marks.groupBy("fp").agg(F.min("node").alias("least")))
+    of = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_node"))
+    linked = links(least, radius, tile_rows).join(of("u"), "u").join(of("v"), "v")
+    pairs = linked.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
+    return checkpoint(pairs.union(marks.join(least, "fp").select("least", "node")).where("u < v").distinct())
+
+
+def _between(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose nodes aren't in one component of root (node, root) already."""
+    root = few(root)
+    of = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
+def _further(root: DataFrame, linked: DataFrame) -> DataFrame:
+    """root (node, root) after the links (u, v) have been added."""
+    return root if linked.isEmpty() else connected_components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(linked))
+
+
+def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS, radius: int = RADIUS) -> DataFrame:
     """(id, text_hash, component, component_id), one row for each row of df: texts whose sets of `words`-word shingles have at
     least that Jaccard similarity are linked, and only these; component_id is the smallest id of those linked.
 
-    Every such pair is found: sets that equal are one node, others meet in a cell, that of a shingle in the prefix() of both, and
+    Sets that equal are one node. Links of the texts' fingerprints, as near_duplicates() makes them, are decided first, by the sets, and joined. Then no
+    pair between their components is lost: it meets in a cell, that of a shingle in the prefix() of both, and
     sets are compared themselves, unless sizes, places in the prefixes or sketches rule that out. In cells over LARGE_CELL nodes each is
     compared with its neighbour first; those that aren't one component by that are compared tile by tile, first by
     the likeliest pairs that would make them one, then by all that are left between components. Nulls, empty texts and
@@ -527,8 +555,9 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
         from xxhash import xxh128_digest
 
         for batch in batches:
-            keys, sizes, sketches, heads = [], [], [], []
+            fps, keys, sizes, sketches, heads = [], [], [], [], []
             for x in batch.column(2).to_pylist():
+                fps.append(fingerprint(x))
                 found = shingle_set(x, words)
                 keys.append(xxh128_digest(found.tobytes()))
                 sizes.append(len(found))
@@ -536,20 +565,23 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
                 heads.append(prefix(found, common, similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, heads)])
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), made], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), made], schema.names)
 
     schema = T.StructType([
-        own.schema["__id"], T.StructField("__hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()),
+        own.schema["__id"], T.StructField("__hash", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()),
         T.StructField("sketch", T.BinaryType()), T.StructField("head", T.ArrayType(T.LongType())),
     ])
     found = checkpoint(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     nodes = checkpoint(found.groupBy("key").agg(F.min("row").alias("node"), F.min("__id").alias("least"), F.min("__hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    marks = checkpoint(found.select("fp", "key").distinct().join(nodes.select("key", "node"), "key").select("fp", "node"))
+    tried = _may_be_alike(_close_nodes(marks, radius, tile_rows), nodes, similarity)
+    root = connected_components(_alike(tried, nodes, own, words, similarity))
     cells = found.join(few(nodes.select(F.col("node").alias("__n"))), F.col("row") == F.col("__n"), "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("head").alias("pos", "token"))
     cells = cells.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "node")
     met = checkpoint(cells.mapInArrow(_meet(similarity), "token long, u long, v long, n long, pos long"))
-    tried = _may_be_alike(met.where("token IS NULL").select("u", "v").distinct(), nodes, similarity)
-    linked = _alike(tried, nodes, own, words, similarity)
-    root = connected_components(linked)
+    # what fingerprints leave apart
+    pairs = _may_be_alike(_between(met.where("token IS NULL").select("u", "v").distinct(), root).join(few(tried), ["u", "v"], "left_anti"), nodes, similarity)
+    root, tried = _further(root, _alike(pairs, nodes, own, words, similarity)), tried.union(pairs)
     large = met.where("token IS NOT NULL").select("token", F.col("u").alias("node"), "n", "pos")
     if not large.isEmpty():
         of = lambda cells: cells.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -561,9 +593,7 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wor
             dealt = _dealt(rows, "node", lambda high, low: high >= similarity * low - _EPS, tile_rows).repartition("task").sortWithinPartitions("task", "side", "pop")
             pairs = dealt.select("task", "side", "node", "root", F.col("pop").alias("n"), "pos", "sketch").mapInArrow(_tiled(similarity, best), "u long, v long")
             pairs = checkpoint(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
-            linked, tried = _alike(pairs, nodes, own, words, similarity), tried.union(pairs)
-            if not linked.isEmpty():
-                root = connected_components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(linked))
+            root, tried = _further(root, _alike(pairs, nodes, own, words, similarity)), tried.union(pairs)
     joined = nodes.select("key", "least", "node").join(root, "node", "left").select("key", "least", F.coalesce("root", "node").alias("component"))
     low = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     member = joined.select("key", "component").join(low, "component")

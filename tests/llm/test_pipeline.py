@@ -1,13 +1,16 @@
 """corpus_pipeline against a brute-force version, stage by stage."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
-from framelake.llm import mixing
+from framelake.llm import mixing, simhash
+from framelake.llm.components import roots
 from framelake.llm.queries import vocabulary
 
+import numpy as np
 import pyarrow.parquet as pq
-from test_operators import base_spans, brute_components, sha, simulate
+from test_operators import base_spans, brute_components, brute_fingerprint, sha, simulate
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +44,40 @@ def test_pipeline(spark):
     assert clean >= 0.95 * sum(not base_spans(x["text"]) for x in second.values())
 
 
+def test_near_duplicates_begin_with_fingerprints(spark, monkeypatch):
+    """The stage with no cells of shingles: fingerprints within 3 bits are linked still, each link decided by the sets."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(400)]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            at = rnd.randrange(5, 395)
+            texts.append(" ".join([*base[:at], word(), *base[at + 1 :]]))
+    line = " ".join(word() for _ in range(13))
+    texts += [" ".join([line] * 30 + [word() for _ in range(40)]) for _ in range(5)]  # fingerprints of the line, sets apart
+    fps = np.array([brute_fingerprint(x) for x in texts], np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    assert near[-5:, -5:].all()
+    alike = brute_components(texts)  # here all pairs of a component are similar
+    i, j = np.nonzero(near & np.equal.outer(alike, alike))
+    want = set(roots(len(texts), i, j).tolist())
+    assert len(set(alike)) == 17 < len(want) < 45
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == set(alike)
+    monkeypatch.setattr(simhash, "prefix", lambda found, common, similarity: found[:0])
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == want
+
+
+def test_links_of_a_forest_are_within_the_radius():
+    chain = np.array([(1 << 3 * k) - 1 for k in range(20)] + [1 << 63 | 0x5555 << 40], np.uint64)
+    for a, b in ((chain, None), (chain[::2], chain[1::2])):
+        i, j = simhash.forest(a, b, 3)
+        both = a if b is None else np.concatenate((a, b))
+        assert len(i) == 19 and (np.bitwise_count(both[i] ^ both[j]) <= 3).all() and len(set(roots(len(both), i, j).tolist())) == 2
+
+
 def test_encoded_rows_have_their_places(spark, tmp_path):
     rows = [(i if i % 5 else None, f"text number {i}", "en", f"s{min(i % 7, 2)}", 10) for i in range(1500)]
     rows += [(9, "other text of one id", "en", "s0", 5)] * 2 + [(None, None, "de", None, None)] * 2
